@@ -28,13 +28,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldbook-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder, which cuts lineage and survives the loss of executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
