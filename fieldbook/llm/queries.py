@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from fieldbook.session import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldbook.llm.jaccard import jaccard_join
 
@@ -22,15 +29,58 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", kept_digest().alias("kept_sha256"))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.pii import pii_digests
+
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.media import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldbook.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fieldbook.llm.bpe import bpe_digests
+
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op8_virtual_slots": op8_virtual_slots,
+    f.__name__: f
+    for f in (op1_ngram_jaccard, op2_substring_dedup, op3_cross_polytope, op4_contextual_pii, op5_best_two_fit, op6_quality_trees, op7_transport_streams, op8_virtual_slots, op9_byte_bpe, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}

@@ -187,39 +187,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return judged.groupBy("key").applyInArrow(_merged(width), _SPANS_SQL)
 
 
-def _cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in source:
-        texts, spans = utf8(batch.column("_text")), batch.column("_spans").to_pylist()
-        kept, totals, removed = [], [], []
-        for text, packed_spans in zip(texts, spans, strict=True):
-            words = text.split() if text else []
-            totals.append(len(words))
-            if packed_spans:
-                rest, at = [], 0
-                for a, b in np.frombuffer(packed_spans, np.int64).reshape(-1, 2).tolist():
-                    rest += words[at:a]
-                    at = b
-                words = rest + words[at:]
-            removed.append(totals[-1] - len(words))
-            kept.append(b" ".join(words))
-        names = [x for x in batch.schema.names if x not in ("_text", "_spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept"])
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, keep: list[str] | None = None) -> DataFrame:
+def _cut(whole: bool):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts, spans = utf8(batch.column("_text")), batch.column("_spans").to_pylist()
+            kept, totals, removed = [], [], []
+            for text, packed_spans in zip(texts, spans, strict=True):
+                words = text.split() if text else []
+                totals.append(len(words))
+                if packed_spans:
+                    rest, at = [], 0
+                    for a, b in np.frombuffer(packed_spans, np.int64).reshape(-1, 2).tolist():
+                        rest += words[at:a]
+                        at = b
+                    words = rest + words[at:]
+                removed.append(totals[-1] - len(words))
+                kept.append(text if whole and not removed[-1] else b" ".join(words))
+            names = [x for x in batch.schema.names if x not in ("_text", "_spans")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept"])
+
+    return run
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """The columns `keep` (default: the id), with n_words, n_removed and kept (the words left, joined by one space).
 
     A word goes if a window of `width` words that covers it also starts in a row with a smaller id; windows are
     judged on the input. Words are runs of anything but ASCII white space, unchanged. Null and empty texts have no words
     and keep an empty text. Rows that share an id never remove each other's words; a row with a null id is left whole
-    and removes nothing. Columns of docs other than these don't matter, whatever their names.
+    and removes nothing. With `whole`, texts that lose nothing stay as they are, white space and nulls too. Columns of docs
+    other than these don't matter; those kept must not be named n_words, n_removed or kept.
     """
     keep = [id_col] if keep is None else keep
     spans = repeated_spans(docs, id_col, text_col, width).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
     own = docs.select(*keep, F.col(id_col).cast("bigint").alias("_own"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     joined = own.join(spans, (F.col("_own") == F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left").select(*keep, "_text", "_spans")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
-    return joined.mapInArrow(_cut, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_words bigint", "n_removed bigint", "kept string"]))
+    return joined.mapInArrow(_cut(whole), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_words bigint", "n_removed bigint", "kept string"]))
 
 
 def kept_digest(column: str = "kept"):
