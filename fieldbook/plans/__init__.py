@@ -1,0 +1 @@
+"""Bindings of the operators to the given tables."""
