@@ -1,4 +1,4 @@
 """Every query of the library but those of the llm subpackage."""
 
-from fieldbook.plans import aggregate_queries, scalar_queries  # noqa: F401
+from fieldbook.plans import aggregate_queries, join_queries, scalar_queries, series_queries  # noqa: F401
 from fieldbook.plans.registry import QUERIES, SQL  # noqa: F401
