@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +100,6 @@ def forecast_ets(dense: DataFrame, keys: Sequence[str], t: str, horizon: int, se
     A series is fitted if it has `least` points and `least_nonzero` of them aren't 0. A group is one monthly series, so it is small.
     """
     import numpy as np
-    import pandas as pd
 
     from fieldbook.session import ship
 
@@ -172,7 +172,6 @@ def isolation_scores(df: DataFrame, key: Sequence[str], features: Sequence[str],
     data) goes to all tasks, and scoring is vectorised.
     """
     import numpy as np
-    import pandas as pd
 
     from fieldbook.session import ship
 
@@ -211,8 +210,7 @@ def isolation_scores(df: DataFrame, key: Sequence[str], features: Sequence[str],
     feature[at], cut[at], path[at] = forest["feature"], forest["cut"], forest["path"]
     scale = float(_path_length(min(sample, max(2, total))))
 
-    @F.pandas_udf("double")
-    def raw(rows: pd.Series) -> pd.Series:
+    def raw(rows):
         x = np.stack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, len(names)))
         mean = np.zeros(len(x))
         for i in range(len(grown)):
@@ -225,7 +223,8 @@ def isolation_scores(df: DataFrame, key: Sequence[str], features: Sequence[str],
             mean += path[i, node]
         return pd.Series(2 ** (-mean / max(1, len(grown)) / scale))
 
-    scored = df.withColumn("_raw", raw(F.array(*(F.col(c).cast("double") for c in names))))
+    scored_by = F.pandas_udf(raw, "double", F.PandasUDFType.SCALAR)
+    scored = df.withColumn("_raw", scored_by(F.array(*(F.col(c).cast("double") for c in names))))
     ends = scored.agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"), F.percentile("_raw", F.lit(1 - share)).alias("_cut"))
     j = scored.crossJoin(F.broadcast(ends))
     return j.withColumns({"score": F.coalesce(F.try_divide(F.col("_raw") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)), "is_outlier": F.col("_raw") > F.col("_cut")}).drop("_raw", "_lo", "_hi", "_cut")
