@@ -1,0 +1,134 @@
+"""Record linkage: normalise, block, compare, score, cluster, and check against a truth."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fieldbook.functions.scalars import rounded, salted_token
+from fieldbook.operators.components import connected_components
+from fieldbook.session import ship
+
+
+def normalized(x: Column, titles: Sequence[str] = ()) -> Column:
+    """Upper-case letters and spaces, titles dropped, W as V and EE as I."""
+    c = F.upper(F.coalesce(x, F.lit("")))
+    if titles:
+        c = F.regexp_replace(c, r"\b(?:" + "|".join(titles) + r")\b\.?", " ")
+    c = F.regexp_replace(F.regexp_replace(c, "[^A-Z ]+", " "), " +", " ")
+    return F.replace(F.translate(F.trim(c), "W", "V"), F.lit("EE"), F.lit("I"))
+
+
+def block_keys(x: Column) -> Column:
+    """Distinct keys of the tokens longer than a letter: three consonants of the skeleton, or else two letters; `?` if there is none."""
+    tokens = F.filter(F.split(x, " "), lambda t: F.length(t) > 1)
+    skeleton = lambda t: F.regexp_replace(t, "[AEIOUY]", "")
+    keys = F.array_distinct(F.transform(tokens, lambda t: F.when(F.length(skeleton(t)) >= 3, F.substring(skeleton(t), 1, 3)).otherwise(F.substring(t, 1, 2))))
+    return F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit("?")))
+
+
+def candidate_pairs(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(a, b): pairs of records that share a block, each once."""
+    blocks = df.select(F.col(key).alias("k"), F.explode(block_keys(F.col(name))).alias("block"))
+    a, b = blocks.select(F.col("k").alias("a"), "block"), blocks.select(F.col("k").alias("b"), "block")
+    return a.join(b, "block").where("a < b").select("a", "b").distinct()
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    """1 for equal texts; common prefixes of up to four letters count more from 0.7 on."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    used = [False] * len(b)
+    first = []
+    for i, ch in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == ch:
+                used[j] = True
+                first.append(ch)
+                break
+    m = len(first)
+    if not m:
+        return 0.0
+    second = [ch for ch, u in zip(b, used, strict=True) if u]
+    swaps = sum(x != y for x, y in zip(first, second, strict=True)) // 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    prefix = 0
+    for x, y in zip(a[:4], b[:4], strict=False):
+        if x != y:
+            break
+        prefix += 1
+    return jaro + prefix * 0.1 * (1 - jaro) if jaro >= 0.7 else jaro
+
+
+def name_similarity(a: str, b: str, initial: float = 0.92) -> float:
+    """Tokens of the shorter name go to the best token of the longer, each at most once; a partial cover costs up to 15 %.
+
+    An initial against a token that starts with it counts `initial`.
+    """
+    x, y = (a or "").split(), (b or "").split()
+    if not x or not y:
+        return 0.0
+    if len(x) > len(y):
+        x, y = y, x
+    alike = lambda s, t: initial if s != t and 1 in (len(s), len(t)) and s[0] == t[0] else jaro_winkler(s, t)
+    pairs = sorted(((alike(s, t), i, j) for i, s in enumerate(x) for j, t in enumerate(y)), key=lambda p: (-p[0], p[1], p[2]))
+    left, right, total = set(), set(), 0.0
+    for value, i, j in pairs:
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            total += value
+    return total / len(x) * (0.85 + 0.15 * len(x) / len(y))
+
+
+def pair_similarity(pairs: DataFrame, a: str, b: str, into: str) -> DataFrame:
+    """Adds the similarity of two name columns, computed on the pair table in Arrow batches; equal pairs of names once a batch."""
+    ship(pairs.sparkSession)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+
+    def run(parts):
+        for pdf in parts:
+            known: dict[tuple, float] = {}
+            out = []
+            for x, y in zip(pdf[a], pdf[b], strict=True):
+                if (x, y) not in known:
+                    known[x, y] = name_similarity(x, y)
+                out.append(known[x, y])
+            yield pdf.assign(**{into: pd.Series(out, dtype=float)})
+
+    return pairs.mapInPandas(run, f"{kinds}, `{into}` double")
+
+
+def pair_score(name: Column, second: Column, has_second: Column, age_a: Column, age_b: Column) -> Column:
+    """0.65 name, 0.20 second name, 0.15 age (1 - difference / 10); a missing second name gives its weight to the first; unknown ages (0) count half."""
+    known = (age_a > 0) & (age_b > 0)
+    age = F.when(known, F.greatest(F.lit(0.0), 1 - F.abs(age_a - age_b) / 10.0)).otherwise(0.5)
+    return F.when(has_second, 0.65 * name + 0.20 * second).otherwise(0.85 * name) + 0.15 * age
+
+
+def gates(category_a: Column, category_b: Column, age_a: Column, age_b: Column, most: int = 6) -> Column:
+    """Same category, and ages at most `most` apart if both are known."""
+    return (category_a == category_b) & ((age_a == 0) | (age_b == 0) | (F.abs(age_a - age_b) <= most))
+
+
+def link_cluster(records: DataFrame, key: str, links: DataFrame, salt: str) -> DataFrame:
+    """(key, cluster, token): components of the linked pairs; a record without links is its own cluster."""
+    found = connected_components(links, "a", "b")
+    j = records.select(key).join(found.select(F.col("node").alias(key), "component"), key, "left").withColumn("cluster", F.coalesce("component", key))
+    return j.select(key, "cluster", salted_token(F.col("cluster").cast("string"), salt).alias("token"))
+
+
+def pairwise_quality(df: DataFrame, truth: str, cluster: str) -> DataFrame:
+    """Precision, recall and F1 over pairs, from counts of the cells; no pair is made. An empty side is perfect."""
+    pairs = lambda by: df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).cast("bigint").alias("p"))
+    tp = pairs([truth, cluster]).select(F.col("p").alias("true_positive"))
+    j = tp.crossJoin(pairs([cluster]).select(F.col("p").alias("predicted"))).crossJoin(pairs([truth]).select(F.col("p").alias("actual")))
+    ratio = lambda b: F.when(F.col(b) == 0, 1.0).otherwise(F.col("true_positive") / F.when(F.col(b) == 0, 1).otherwise(F.col(b)))
+    p, r = ratio("predicted"), ratio("actual")
+    return j.select("*", rounded(p).alias("precision"), rounded(r).alias("recall"), F.coalesce(rounded(F.try_divide(2 * p * r, p + r)), F.lit(0.0)).alias("f1"))
