@@ -9,11 +9,13 @@ time, a row of the tree arrays for each; long ones one at a time, in n log n ste
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +97,8 @@ def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
     return [t for t in token if t >= 0]
 
 
-def merge_many(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
-    """Ids of many pieces of 2 to SHORT bytes, merged side by side: a row of the tree arrays for each piece."""
+def merge_many(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
+    """Packed ids of many pieces of 2 to SHORT bytes, merged side by side: a row of the tree arrays for each piece."""
     lengths = np.array([len(p) for p in pieces])
     leaves = 1 << max(1, int(lengths.max() - 1).bit_length())
     k = len(pieces)
@@ -134,11 +136,13 @@ def merge_many(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
             for x in nodes:
                 tree[rows, x] = np.minimum(tree[rows, 2 * x], tree[rows, 2 * x + 1])
         rows = rows[tree[rows, 1] < _NONE]
-    return [[t for t in row if t >= 0] for row in token.tolist()]
+    live = token >= 0
+    flat, ends = token[live].astype("<u4").tobytes(), (4 * np.cumsum(live.sum(1))).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Encoder:
-    """Ids of texts by a rank file and a pattern; remembers pieces."""
+    """Ids of texts by a rank file and a pattern; remembers the ids of pieces as packed 32-bit integers."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks, self.pattern, self.known = Ranks(path), regex.compile(pattern), {}
@@ -151,9 +155,9 @@ class Encoder:
             raw = piece.encode()
             whole = self.ranks.ranks.get(raw)
             if whole is not None:
-                self.known[piece] = [whole]
+                self.known[piece] = struct.pack("<I", whole)
             elif len(raw) > SHORT:
-                self.known[piece] = merge_one(raw, self.ranks)
+                self.known[piece] = np.array(merge_one(raw, self.ranks), "<u4").tobytes()
             else:
                 short.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for own in short.values():
@@ -161,16 +165,30 @@ class Encoder:
                 part = own[a : a + 4096]
                 self.known.update(zip((p for p, _ in part), merge_many([r for _, r in part], self.ranks), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        pieces = [self.pattern.findall(t) if t else [] for t in texts]
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin and the last one's end)."""
+        pieces = [self.pattern.findall(t) if t else () for t in texts]
         self.learn(set().union(*pieces))
-        known, out = self.known, []
-        for own in pieces:
-            ids: list[int] = []
-            for p in own:
-                ids += known[p]
-            out.append(ids)
-        return out
+        packed = [b"".join(map(self.known.__getitem__, own)) for own in pieces]
+        return np.frombuffer(b"".join(packed), "<u4").astype(np.int32), np.cumsum([0, *(len(x) // 4 for x in packed)])
+
+
+class Decoder:
+    """Bytes of ids, for many texts at once."""
+
+    def __init__(self, path: str) -> None:
+        tokens = Ranks(path).tokens
+        own = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.size = np.array([len(t) for t in own])
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.bytes = np.frombuffer(b"".join(own), np.uint8)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.start[ids] - ends[:-1], size) + np.arange(ends[-1])
+        out, cuts = self.bytes[at].tobytes(), ends[bounds].tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @cache
@@ -179,24 +197,32 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 @cache
-def _tokens(path: str) -> list[bytes]:
-    tokens = Ranks(path).tokens
-    return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
-def _encoded(path: str, pattern: str, text: str, at_once: int = 1_000_000):
+def _runs(sizes: list[int], at_once: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about at_once units each."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held > at_once or i + 1 == len(sizes):
+            yield start, i + 1
+            start, held = i + 1, 0
+
+
+def _encoded(path: str, pattern: str, text: str, decode: bool, at_once: int = 1_000_000):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in source:
             rest = [x for x in batch.schema.names if x != text]
-            texts = batch.column(text).to_pylist()
-            start = held = 0
-            for i, t in enumerate(texts):
-                held += len(t or "")
-                if held > at_once or i + 1 == len(texts):
-                    ids = own.encode(texts[start : i + 1])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(start, i + 1 - start) for x in rest), pa.array(ids, pa.list_(pa.int32()))], [*rest, "ids"])
-                    start, held = i + 1, 0
+            column = batch.column(text)
+            for a, b in _runs([n or 0 for n in pc.utf8_length(column).to_pylist()], at_once):
+                ids, bounds = own.encode(column.slice(a, b - a).to_pylist())
+                made = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
+                if decode:
+                    made.append(pa.array(decoder(path).decode(ids, bounds), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in rest), *made], [*rest, "ids", "decoded"][: len(rest) + len(made)])
 
     return run
 
@@ -209,28 +235,35 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -
     """Replaces the text column by `ids` (array<int>); null and empty texts have no ids. Other columns stay, but for one named ids, which is replaced."""
     ship(df.sparkSession)
     df = df if text_col == "ids" else df.drop("ids")
-    return df.mapInArrow(_encoded(path, pattern, text_col), _schema(df, text_col, "ids array<int>"))
+    return df.mapInArrow(_encoded(path, pattern, text_col, False), _schema(df, text_col, "ids array<int>"))
 
 
 def bpe_decode(df: DataFrame, path: str) -> DataFrame:
-    """Replaces `ids` by `decoded` (binary); null ids decode to nothing."""
+    """Replaces `ids` by `decoded` (binary); null ids decode to nothing. A column named decoded is replaced."""
     ship(df.sparkSession)
     df = df.drop("decoded")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tokens(path)
         for batch in source:
             rest = [x for x in batch.schema.names if x != "ids"]
-            column = batch.column("ids")
-            values, offsets = column.flatten().to_pylist(), [0, *np.cumsum([len(x) if x is not None else 0 for x in column]).tolist()] if column.null_count else (np.asarray(column.offsets) - column.offsets[0].as_py()).tolist()
-            decoded = [b"".join(map(table.__getitem__, values[a:b])) for a, b in zip(offsets, offsets[1:])]  # noqa: B905
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), pa.array(decoded, pa.binary())], [*rest, "decoded"])
+            for a, b in _runs([n or 0 for n in pc.list_value_length(batch.column("ids")).to_pylist()], 500_000):
+                part = batch.slice(a, b - a)
+                lengths = pc.fill_null(pc.list_value_length(part.column("ids")), 0)
+                decoded = decoder(path).decode(np.asarray(part.column("ids").flatten()), np.cumsum([0, *lengths.to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in rest), pa.array(decoded, pa.binary())], [*rest, "decoded"])
 
     return df.mapInArrow(run, _schema(df, "ids", "decoded binary"))
 
 
+def bpe_round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """bpe_encode and bpe_decode in one pass: the text column gives way to `ids` and to `decoded`, which is made from the ids."""
+    ship(df.sparkSession)
+    df = df.drop(*({"ids", "decoded"} - {text_col}))
+    return df.mapInArrow(_encoded(path, pattern, text_col, True), _schema(df, text_col, "ids array<int>, decoded binary"))
+
+
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encoded, and decoded again from the ids."""
-    encoded = bpe_encode(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, pattern)
-    noted = encoded.select("id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.encode(F.concat_ws(",", F.col("ids").cast("array<string>")), "UTF-8"), 256).alias("ids_sha256"), "ids")
-    return bpe_decode(noted, path).select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe_round_trip(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, pattern)
+    written = F.sha2(F.encode(F.concat_ws(",", F.col("ids").cast("array<string>")), "UTF-8"), 256)
+    return made.select(F.col("id").alias(id_col), F.size("ids").cast("bigint").alias("n_tokens"), written.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
