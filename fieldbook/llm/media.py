@@ -134,7 +134,7 @@ def read_stream(media: bytes) -> dict:
         ends = np.cumsum(PACKET - offset[own])
         first = np.flatnonzero(starts[own])
         begins = [int(ends[i] - PACKET + offset[own[i]]) for i in first]
-        for i, a, b in zip(first, begins, [*begins[1:], len(data)], strict=True):
+        for i, a, b in zip(first, begins, [*begins[1:], len(data)], strict=False):
             unit = data[a:b]
             if len(unit) < 9 or unit[:3] != b"\0\0\1":
                 errors += 1
@@ -155,40 +155,61 @@ def padded(text: bytes | None, unit: int = 64) -> bytes:
     return text.ljust(max(unit, -(-len(text) // unit) * unit), b"\0")
 
 
-def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every text as a transport stream; null is empty. Repeated rows and null ids stay; other columns don't matter."""
+_READ = pa.struct([("payload", pa.binary()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_())]))), ("packets", pa.int64()), ("streams", pa.int64()), ("breaks", pa.int64()), ("errors", pa.int64())])
+_READ_SQL = "struct<payload:binary,units:array<struct<pts:bigint,offset:bigint,length:bigint,random_access:boolean>>,packets:bigint,streams:bigint,breaks:bigint,errors:bigint>"
+
+
+_KEYS = ("pts", "offset", "length", "random_access")
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def _read(media: list[bytes | None]) -> pa.Array:
+    found = [None if x is None else read_stream(x) for x in media]
+    for x in found:
+        if x is not None:
+            x["units"] = [dict(zip(_KEYS, u, strict=True)) for u in x["units"]]
+    return pa.array(found, _READ)
+
+
+def _muxed(docs: DataFrame, id_col: str, text_col: str, back: bool) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            texts = utf8(batch.column(1))
-            for a in range(0, len(texts), 1000):
-                part = texts[a : a + 1000]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array([len(t or b"") for t in part], pa.int64()), pa.array([write_stream(padded(t)) for t in part], pa.binary())], ["id", "n_bytes", "media"])
+            for part in _slices(batch):
+                texts = utf8(part.column(1))
+                media = pa.array([write_stream(padded(t)) for t in texts], pa.binary())
+                made = [part.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), media]
+                yield pa.RecordBatch.from_arrays([*made, *([_read(media.to_pylist())] if back else [])], ["id", "n_bytes", "media", "read"][: 3 + back])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary")
+    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary" + f", read {_READ_SQL}" * back)
     return got.withColumnRenamed("id", id_col)
 
 
-_READ = pa.struct([("payload", pa.binary()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_())]))), ("packets", pa.int64()), ("streams", pa.int64()), ("breaks", pa.int64()), ("errors", pa.int64())])
-_READ_SQL = "struct<payload:binary,units:array<struct<pts:bigint,offset:bigint,length:bigint,random_access:boolean>>,packets:bigint,streams:bigint,breaks:bigint,errors:bigint>"
+def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media): every text as a transport stream; null is empty. Repeated rows and null ids stay; other columns don't matter."""
+    return _muxed(docs, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """mux and demux in one pass: (id, n_bytes, media, read), where read comes from the stored bytes alone."""
+    return _muxed(docs, id_col, text_col, True)
 
 
 def demux(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Adds `read`, what read_stream finds in the media column; null media give null."""
+    """Adds `read`, what read_stream finds in the media column; null media give null. A column named read is replaced."""
     ship(df.sparkSession)
     df = df.drop("read")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                found = [None if x is None else read_stream(x) for x in part.column(media_col).to_pylist()]
-                for x in found:
-                    if x is not None:
-                        x["units"] = [dict(zip(("pts", "offset", "length", "random_access"), u, strict=True)) for u in x["units"]]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, _READ)], [*part.schema.names, "read"])
+            for part in _slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, _read(part.column(media_col).to_pylist())], [*part.schema.names, "read"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{kinds}, read {_READ_SQL}")
@@ -196,7 +217,7 @@ def demux(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all from the stored bytes read back."""
-    read = demux(mux(docs, id_col, text_col))
+    read = round_trip(docs, id_col, text_col)
     units = F.col("read.units")
     feature = F.concat_ws(
         ";",
