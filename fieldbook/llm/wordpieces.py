@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections.abc import Callable
 from functools import cache
 from pathlib import Path
 
-import numpy as np
-
-#: Stretches that a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
-_TAIL = b".,;:!?"
+#: Stretches that a worker remembers (some 200 bytes each); beyond that it starts anew.
+REMEMBERED = 900_000
+#: Signs that end a stretch after a letter or digit and start a token there; an apostrophe, or a part of a special token, may not.
+_TAIL = b".,;:!?#$%&*()[]{}+-/=@^_`~\"\\"
 
 
 class Stretches(dict):
@@ -27,6 +27,7 @@ class Stretches(dict):
         from tokenizers import Tokenizer
 
         self.library, self.of, self.add = Tokenizer.from_file(path), of, add
+        self.model = self.library.model
 
     def __missing__(self, stretch: bytes):
         body = stretch.rstrip(_TAIL)
@@ -34,6 +35,8 @@ class Stretches(dict):
             got = self.add(self[body], self[stretch[len(body) :]])
         elif b"<|" not in stretch and (low := stretch.lower()) != stretch:
             got = self[low]
+        elif (word := _plain_word(stretch)) is not None:
+            got = self.of([token.id for token in self.model.tokenize(word)])
         else:
             got = self.of(self.library.encode(stretch.decode(), add_special_tokens=False).ids)
         self[stretch] = got
@@ -44,15 +47,38 @@ class Stretches(dict):
             self.clear()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from 256 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {i: chr(i) if i in printable else chr(next(others)) for i in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _plain_word(stretch: bytes) -> str | None:
+    """The stretch as the tokenizer's model takes it, if it is letters up to U+017F alone: one piece, composed already, lower-cased letter by letter."""
+    if stretch.isalpha():
+        return stretch.decode().lower()
+    text = stretch.decode()
+    if text.isalpha() and max(text) <= "\u017f" and "\u0130" not in text:
+        return text.lower().encode().decode("latin-1").translate(_LETTERS)
+    return None
+
+
 def _letter_or_digit(body: bytes) -> bool:
-    """Whether the last character is an ASCII letter or digit, or a Latin letter of two bytes; punctuation after it starts a token."""
+    """Whether the last character is an ASCII letter or digit, or a Latin letter of two bytes; punctuation after it starts a token.
+
+    Not so the dotted capital I, whose lower case ends in a mark that goes with punctuation.
+    """
     if body[-1] < 128:
         return body[-1:].isalnum()
-    return len(body) > 1 and 0xC3 <= body[-2] <= 0xC5 and body[-2:] not in (b"\xc3\x97", b"\xc3\xb7")
+    return len(body) > 1 and 0xC3 <= body[-2] <= 0xC5 and body[-2:] not in (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @cache
