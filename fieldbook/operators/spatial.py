@@ -34,25 +34,32 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat",
     return pairs.withColumn("km", haversine(lat, lon, f"r_{lat}", f"r_{lon}")).where(F.col("km") <= km)
 
 
-def knn1_join(queries: DataFrame, key: str, points: DataFrame, point: str, lat: str = "lat", lon: str = "lon", small: int = 5000, start_km: float = 25.0, rounds: int = 12) -> DataFrame:
+def knn1_join(queries: DataFrame, key: str, points: DataFrame, point: str, lat: str = "lat", lon: str = "lon", small: int = 5000, start_km: float = 25.0) -> DataFrame:
     """The nearest point of each query (ties to the smaller point) and its distance.
 
-    Up to `small` points, which is checked, the points are broadcast. Beyond, the search radius doubles for those that have found
-    none within it, so that each round is a grid join; the last round has the whole sphere.
+    Up to `small` points, which is checked, the points are broadcast. Beyond, the search radius grows for those that have found
+    none within it, so that each round is a grid join; it ends when all have found one.
     """
     q = queries.select(key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     p = points.select(F.col(point), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where("_lat is not null and _lon is not null")
     best = lambda df: df.groupBy(key).agg(F.min(F.struct("km", F.col(point).alias("p"))).alias("m")).select(key, F.col("m.p").alias(point), F.col("m.km").alias("km"))
     if p.limit(small + 1).count() <= small:
         return best(q.crossJoin(F.broadcast(p)).withColumn("km", haversine(lat, lon, "_lat", "_lon")))
+    from fieldbook.session import settled
+
     found, radius = None, start_km
-    right = p.select(F.col(point).alias("p"), F.col("_lat").alias(lat), F.col("_lon").alias(lon))
-    for _ in range(rounds):
+    right = settled(p.select(F.col(point).alias("p"), F.col("_lat").alias(lat), F.col("_lon").alias(lon)))
+    while radius < 1.3e4:
         near = radius_join(q, right, radius, lat, lon, max_lat=85.0).groupBy(key).agg(F.min(F.struct("km", F.col("r_p").alias("p"))).alias("m")).select(key, F.col("m.p").alias(point), F.col("m.km").alias("km"))
+        near = settled(near)
         found = near if found is None else found.unionByName(near)
-        q = q.join(near.select(key), key, "left_anti")
-        radius *= 2
-    return found
+        q = settled(q.join(near.select(key), key, "left_anti"))
+        if q.isEmpty():
+            return found
+        radius *= 4
+    # What is left is farther from every point than a third of the way round; such queries are few.
+    rest = best(q.join(right.select(F.col("p").alias(point), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))).withColumn("km", haversine(lat, lon, "_lat", "_lon")))
+    return found.unionByName(rest)
 
 
 def kde_density(cells: DataFrame, key: str, weight: str, bandwidth: float, cutoff: float = 3.0, lat: str = "lat", lon: str = "lon", max_lat: float = 60.0) -> DataFrame:

@@ -221,11 +221,11 @@ def log_index(spark, d):
     return got.select("grp", "n", S.rounded(F.col("score")).alias("score"))
 
 
-@query(f"WITH {CASES}, g AS (SELECT grp, count(*) AS n FROM cases GROUP BY grp) SELECT grp, rank FROM (SELECT grp, row_number() OVER (ORDER BY n DESC, grp) AS rank FROM g) WHERE grp = 'FRANCE' OR grp = (SELECT max(grp) FROM g)")
+@query(f"WITH {CASES}, g AS (SELECT grp, count(*) AS n FROM cases GROUP BY grp) SELECT grp, rank FROM (SELECT grp, row_number() OVER (ORDER BY n DESC, grp) AS rank FROM g) WHERE grp = 'NATION_8' OR grp = (SELECT max(grp) FROM g)")
 def rank_of_entity(spark, d):
     g = A.count_by(cases(spark, d), ["grp"])
     last = g.agg(F.max("grp")).first()[0]
-    names = [n for n in dict.fromkeys(("FRANCE", last)) if n is not None]
+    names = [n for n in dict.fromkeys(("NATION_8", last)) if n is not None]
     found = [R.rank_of(g, "grp", "n", n).join(g.select("grp"), "grp", "left_semi") for n in names]
     return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
 

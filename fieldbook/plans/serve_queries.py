@@ -118,10 +118,10 @@ def risk_list(spark, d):
     return V.counted(risk(spark, d), "tier").orderBy(F.desc("score"), "grp")
 
 
-@query(f"WITH {RISK} SELECT grp, parent, n, score, tier FROM risk WHERE grp = 'GERMANY' OR (parent = 'EUROPE' AND grp = 'FRANCE')")
+@query(f"WITH {RISK} SELECT grp, parent, n, score, tier FROM risk WHERE grp = 'NATION_3' OR (parent = 'EUROPE' AND grp = 'NATION_8')")
 def risk_one(spark, d):
     both = risk(spark, d)
-    return V.one_or_parent(both, "grp", "Bavaria", {"Bavaria": "GERMANY"}).unionByName(V.one_or_parent(both, "grp", "FRANCE", {}))
+    return V.one_or_parent(both, "grp", "Bavaria", {"Bavaria": "NATION_3"}).unionByName(V.one_or_parent(both, "grp", "NATION_8", {}))
 
 
 @query(f"WITH {ANOMALIES}, k AS (SELECT * FROM anomalies WHERE year = 1999) SELECT *, (SELECT count(*) FROM k) AS total_rows FROM k ORDER BY z DESC, grp, month LIMIT 10")
