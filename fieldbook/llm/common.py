@@ -76,6 +76,11 @@ def runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
+def stretches(starts: np.ndarray, n: int) -> Iterable[tuple[int, int]]:
+    """(start, end) of the runs that begin at starts in n entries; none of none."""
+    return zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True) if len(starts) else ()
+
+
 def batches(rows: Iterable[dict], schema: pa.Schema, bytes_at_once: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """Record batches of rows that hold packed blocks, a few MB each."""
     held: list[dict] = []

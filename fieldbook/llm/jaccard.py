@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, utf8
+from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, stretches, utf8
 from fieldbook.operators.components import connected_components
 from fieldbook.session import settled, ship
 
 #: Shingles that a map task gathers before it sends a block to every partition.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _PAYLOAD = np.uint64((1 << 48) - 1)
 _TO_BLOCK = pa.schema([("key", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64()))])
 _BLOCK_SQL = "key int, lo binary, hi binary, sigs binary, sizes binary, counts binary, ids array<bigint>, doc_sizes array<bigint>, doc_sigs array<bigint>"
@@ -65,7 +65,7 @@ def _blocks(keys: list[int], width: int):
         row = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)[order]
         sig, size = np.array(sigs, np.uint64), np.array(sizes, np.uint32)
         starts = runs(part)
-        for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+        for a, b in stretches(starts, len(part)):
             first = runs(row[a:b])
             own = row[a:b][first]
             g = all_grams[a:b]
@@ -138,7 +138,7 @@ def _count(keys: list[int]):
         order = np.lexsort((sig, part))
         part, gram, sig, size, freq = part[order], gram[order], sig[order], size[order], freq[order]
         starts = runs(part)
-        for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+        for a, b in stretches(starts, len(part)):
             yield {"key": keys[part[a]], "grams": packed(gram[a:b]), "sigs": packed(sig[a:b]), "sizes": packed(size[a:b]), "freqs": packed(freq[a:b])}
         for x in _documents(table):
             yield {"key": key} | x
@@ -222,7 +222,7 @@ def _product(percent: int):
         grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
         order = np.lexsort((sig, right, group))
         starts = runs(group[order])
-        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        for a, b in stretches(starts, len(order)):
             x, y = order[a:b][~right[order[a:b]]], order[a:b][right[order[a:b]]]
             if not len(x) or (len(x) < 2 and not len(y)):
                 continue

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, utf8
+from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, stretches, utf8
 from fieldbook.session import ship
 
 #: Windows that a map task gathers before it sends a block to every partition.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _LOW = np.uint64((1 << 56) - 1)
 _BLOCK = pa.schema([("key", pa.int32()), ("h32", pa.binary()), ("h16", pa.binary()), ("h8", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary())])
 _BLOCK_SQL = "key int, h32 binary, h16 binary, h8 binary, ids binary, marks binary, counts binary, starts binary"
@@ -73,7 +73,7 @@ def _dealt(keys: list[int], part: np.ndarray, ids: np.ndarray, marks: np.ndarray
     order = np.lexsort((starts, marks, ids, part))
     part, ids, marks, starts = part[order], ids[order], marks[order], starts[order]
     cuts = runs(part)
-    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+    for a, b in stretches(cuts, len(part)):
         first = np.flatnonzero(np.concatenate([[True], (ids[a + 1 : b] != ids[a : b - 1]) | (marks[a + 1 : b] != marks[a : b - 1])]))
         row = {"key": keys[part[a]], "ids": packed(ids[a:b][first]), "marks": packed(marks[a:b][first]), "counts": packed(np.diff(np.append(first, b - a)).astype(np.uint32)), "starts": packed(_gaps(starts[a:b], first))}
         if h is not None:
@@ -169,7 +169,7 @@ def _merged(width: int):
         ids, marks, starts = ids[order], marks[order], starts[order]
         new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
         cuts = np.flatnonzero(new)
-        for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+        for a, b in stretches(cuts, len(ids)):
             s = starts[a:b]
             first = np.flatnonzero(np.concatenate([[True], s[1:] > s[:-1] + width]))
             last = np.append(first[1:], len(s)) - 1
