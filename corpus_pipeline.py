@@ -19,14 +19,25 @@ from fieldbook.llm.substring import substring_dedup
 from fieldbook.session import checkpoint_folder, table
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (a score under 0.3) go."""
+    name = unused(docs, "_score")
     trees = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, trees, into="_score").where("_score >= 0.3").select(*docs.columns)
+    return score(docs, trees, into=name).where(F.col(name) >= 0.3).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id; documents without words stay."""
+    """One document of each group of near copies stays, that with the smallest id; documents without words or id stay.
+
+    Rows that share an id are one document and stay or go together.
+    """
     groups = jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
@@ -34,8 +45,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has are cut; texts without any stay as they are."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = substring_dedup(docs, keep=rest, whole=True).withColumnRenamed("kept", "text")
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    cut = substring_dedup(docs, keep=rest, whole=True)
+    places = {c: f"c{i}" for i, c in enumerate(rest)} | {"text": "kept", "n_chars": "length"}
+    cut = cut.toDF(*(places[c] for c in rest), "n_words", "n_removed", "kept").withColumn("length", F.length("kept").cast("bigint"))
+    return cut.select(*(F.col(places[c]).alias(c) for c in docs.columns))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

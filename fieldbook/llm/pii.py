@@ -197,9 +197,9 @@ def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     spans = find_pii(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_mark")), "_id", "_t", ["_id", "_mark"], **options)
     spans = spans.where(F.size("spans") > 0).select("_id", "_mark", F.col("spans").alias("_spans")).dropDuplicates(["_id", "_mark"])
-    rest = [c for c in docs.columns if c != text_col]
-    own = docs.withColumn("_hash", F.xxhash64(text_col)).join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left")
-    own = own.select(*rest, F.col(text_col).alias("_text"), "_spans")
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    masked = own.mapInArrow(_masked, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "_masked string"]))
-    return masked.withColumnRenamed("_masked", text_col).select(*docs.columns)
+    rest = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col}
+    own = docs.select(*(F.col(c).alias(p) for c, p in rest.items()), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    own = own.join(spans, F.col(rest[id_col]).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left").select(*rest.values(), "_text", "_spans")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name in rest.values()]
+    masked = own.mapInArrow(_masked, ", ".join([*kinds, "_masked string"]))
+    return masked.select(*(F.col("_masked" if c == text_col else rest[c]).alias(c) for c in docs.columns))

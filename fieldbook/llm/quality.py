@@ -141,15 +141,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, trees: Trees, text_col: str = "text", into: str = "score") -> DataFrame:
     """Adds the probability of label 1 to every row, from its whole text; null and empty texts get a score too. A column of that name is replaced."""
     ship(docs.sparkSession)
-    docs = docs.drop(into) if into != text_col else docs
+    kept = [c for c in docs.columns if c != into or c == text_col]
+    at = kept.index(text_col)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = trees.scores(_described(utf8(batch.column(text_col))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, into])
+            found = trees.scores(_described(utf8(batch.column(at))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{into}` double")
+    own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    return own.mapInArrow(run, f"{kinds}, _score double").toDF(*kept, into)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:

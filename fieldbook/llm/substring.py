@@ -11,7 +11,6 @@ Windows are equal if their 64-bit hashes are: 61 bits or more of them are compar
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,19 +215,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged on the input. Words are runs of anything but ASCII white space, unchanged. Null and empty texts have no words
     and keep an empty text. Rows that share an id never remove each other's words; a row with a null id is left whole
     and removes nothing. With `whole`, texts that lose nothing stay as they are, white space and nulls too. Columns of docs
-    other than these don't matter; those kept must not be named n_words, n_removed or kept.
+    other than these don't matter; kept ones may have any names, and come first, in their order.
     """
     keep = [id_col] if keep is None else keep
+    places = [f"c{i}" for i in range(len(keep))]
     spans = repeated_spans(docs, id_col, text_col, width).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    own = docs.select(*keep, F.col(id_col).cast("bigint").alias("_own"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
-    joined = own.join(spans, (F.col("_own") == F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left").select(*keep, "_text", "_spans")
-    kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
-    return joined.mapInArrow(_cut(whole), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_words bigint", "n_removed bigint", "kept string"]))
+    own = docs.select(*(F.col(c).alias(p) for c, p in zip(keep, places, strict=True)), F.col(id_col).cast("bigint").alias("_own"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    joined = own.join(spans, (F.col("_own") == F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left").select(*places, "_text", "_spans")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in places]
+    cut = joined.mapInArrow(_cut(whole), ", ".join([*kinds, "n_words bigint", "n_removed bigint", "kept string"]))
+    return cut.toDF(*keep, "n_words", "n_removed", "kept")
 
 
 def kept_digest(column: str = "kept"):
     return F.sha2(F.encode(column, "UTF-8"), 256)
-
-
-def digest_of_words(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()
