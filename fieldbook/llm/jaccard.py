@@ -1,7 +1,9 @@
 """N-gram Jaccard join: which documents share most of their word shingles.
 
 The incidence matrix (distinct shingle sets by shingles) is cut into column blocks, one for each shuffle
-partition; a block task sees every set that holds a shingle of its columns and so knows how many do.
+partition; a block task sees every set that holds a shingle of its columns and so knows how many do. A shingle that is
+frequent among the sets of one map task's flush, such as those of a passage that a third of all documents share, never gathers in a
+block: the block learns only that it is frequent, which puts it last in everyone's order.
 Shingles of one set alone cannot count towards any overlap and stop there. The rest goes back to the sets,
 in blocks again. A set of n shingles links with none unless at least 75 % of n are shared ones (the first
 size-derived bound); of those that are left, the rarest shingles beyond that bound must meet a partner's
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,10 @@ from fieldbook.session import settled, ship
 
 #: Shingles that a map task gathers before it sends a block to every partition.
 FLUSH = 1_000_000
+#: A shingle in this share of the sets of a flush, and in so many at least, is frequent there.
+FREQUENT_SHARE, FREQUENT_SETS = 0.01, 32
+#: Stands for the count of sets of a shingle that is frequent in some flush.
+_FREQUENT = np.uint32(0xFFFFFFFF)
 _PAYLOAD = np.uint64((1 << 48) - 1)
 _TO_BLOCK = pa.schema([("key", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64()))])
 _BLOCK_SQL = "key int, lo binary, hi binary, sigs binary, sizes binary, counts binary, ids array<bigint>, doc_sizes array<bigint>, doc_sigs array<bigint>"
@@ -54,6 +61,15 @@ def shingles(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
     return np.unique(mixed(g))
 
 
+def _to_sets(gram: np.ndarray, sig: np.ndarray, size: np.ndarray, freq: np.ndarray, keys: list[int], gram_name: str, freq_name: str) -> Iterator[dict]:
+    """Entries packed for the row blocks of their sets."""
+    part = ((sig >> np.uint64(48)) % np.uint64(len(keys))).astype(np.uint32)
+    order = np.lexsort((sig, part))
+    part, gram, sig, size, freq = part[order], gram[order], sig[order], size[order], freq[order]
+    for a, b in stretches(runs(part), len(part)):
+        yield {"key": keys[part[a]], gram_name: packed(gram[a:b]), "sigs": packed(sig[a:b]), "sizes": packed(size[a:b]), freq_name: packed(freq[a:b])}
+
+
 def _blocks(keys: list[int], width: int):
     partitions = len(keys)
 
@@ -64,6 +80,21 @@ def _blocks(keys: list[int], width: int):
         part, all_grams = part[order], all_grams[order] & _PAYLOAD
         row = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)[order]
         sig, size = np.array(sigs, np.uint64), np.array(sizes, np.uint32)
+        # What is frequent here goes to its sets at once; the column block only hears that it is, by an entry of set 0.
+        number = all_grams | part.astype(np.uint64) << np.uint64(48)
+        by_number = np.argsort(number)
+        cuts = runs(number[by_number])
+        times = np.diff(np.append(cuts, len(number)))
+        often = np.zeros(len(number), bool)
+        often[by_number] = np.repeat(times >= max(FREQUENT_SETS, FREQUENT_SHARE * len(grams)), times)
+        if often.any():
+            yield from _to_sets(number[often], sig[row[often]], size[row[often]], np.full(often.sum(), _FREQUENT), keys, "lo", "counts")
+            told = np.unique(number[often])
+            sig, size = np.append(sig, np.uint64(0)), np.append(size, np.uint32(0))
+            part = np.concatenate([part[~often], (told >> np.uint64(48)).astype(part.dtype)])
+            all_grams, row = np.concatenate([all_grams[~often], told & _PAYLOAD]), np.concatenate([row[~often], np.full(len(told), len(grams), np.int32)])
+            order = np.argsort(part, kind="stable")
+            part, all_grams, row = part[order], all_grams[order], row[order]
         starts = runs(part)
         for a, b in stretches(starts, len(part)):
             first = runs(row[a:b])
@@ -110,11 +141,16 @@ def _documents(table: pa.Table) -> list[dict]:
 
 def _count(keys: list[int]):
     """A column block: how many sets hold each shingle; shared shingles go on to their sets."""
-    partitions = len(keys)
     number = {k: i for i, k in enumerate(keys)}
 
     def rows(table: pa.Table) -> Iterator[dict]:
         key = table.column("key")[0].as_py()
+        for x in table.filter(pc.and_(table.column("hi").is_null(), table.column("lo").is_valid())).to_pylist():
+            # Sent on with the key of the sets, as they came.
+            yield {"key": x["key"], "grams": x["lo"], "sigs": x["sigs"], "sizes": x["sizes"], "freqs": x["counts"]}
+        for x in _documents(table):
+            yield {"key": key} | x
+        table = table.filter(table.column("hi").is_valid())
         gram = _joined(table, "lo", np.uint32).astype(np.uint64) | (_joined(table, "hi", np.uint16).astype(np.uint64) << np.uint64(32))
         counts = _joined(table, "counts", np.uint32)
         sig, size = np.repeat(_joined(table, "sigs", np.uint64), counts), np.repeat(_joined(table, "sizes", np.uint32), counts)
@@ -130,20 +166,13 @@ def _count(keys: list[int]):
             new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])])
             gram, sig, size = gram[new], sig[new], size[new]
         starts = runs(gram)
-        freq = np.diff(np.append(starts, len(gram)))
-        freq = np.repeat(freq, freq).astype(np.uint32)
-        shared = freq > 1
-        gram, sig, size, freq = gram[shared] | np.uint64(number[key] << 48), sig[shared], size[shared], freq[shared]
-        part = ((sig >> np.uint64(48)) % np.uint64(partitions)).astype(np.uint32)
-        order = np.lexsort((sig, part))
-        part, gram, sig, size, freq = part[order], gram[order], sig[order], size[order], freq[order]
-        starts = runs(part)
-        for a, b in stretches(starts, len(part)):
-            yield {"key": keys[part[a]], "grams": packed(gram[a:b]), "sigs": packed(sig[a:b]), "sizes": packed(size[a:b]), "freqs": packed(freq[a:b])}
-        for x in _documents(table):
-            yield {"key": key} | x
+        times = np.diff(np.append(starts, len(gram)))
+        told = sig[starts] == 0  # set 0 sorts first
+        freq = np.repeat(np.where(told, _FREQUENT, times.astype(np.uint32)), times).astype(np.uint32)
+        shared = (freq > 1) & (sig != 0)
+        yield from _to_sets(gram[shared] | np.uint64(number[key] << 48), sig[shared], size[shared], freq[shared], keys, "grams", "freqs")
 
-    return lambda table: pa.Table.from_batches(batches(rows(table), _TO_SET), _TO_SET)
+    return lambda table: pa.Table.from_batches(list(batches(rows(table), _TO_SET)), _TO_SET)
 
 
 def _sets(percent: int):
@@ -152,9 +181,12 @@ def _sets(percent: int):
     def rows(table: pa.Table) -> Iterator[dict]:
         gram, sig = _joined(table, "grams", np.uint64), _joined(table, "sigs", np.uint64)
         size, freq = _joined(table, "sizes", np.uint32).astype(np.int64), _joined(table, "freqs", np.uint32)
-        order = np.argsort(sig, kind="stable")
+        order = np.lexsort((gram, sig))
+        if len(order):  # copies in several flushes send a frequent shingle each
+            g, x = gram[order], sig[order]
+            order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])]
         starts = runs(sig[order])
-        shared = np.diff(np.append(starts, len(sig)))
+        shared = np.diff(np.append(starts, len(order)))
         needed = -(-percent * size[order][starts] // 100)
         for a, n, need in zip(starts[shared >= needed], shared[shared >= needed], needed[shared >= needed], strict=True):
             own = order[a : a + n]

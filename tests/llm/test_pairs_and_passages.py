@@ -34,6 +34,40 @@ def test_jaccard_equals_brute_force(docs, texts):
         assert sorted(map(tuple, jaccard_join(docs, block_rows=block_rows).collect())) == want
 
 
+def test_frequent_shingles_in_small_flushes(texts, monkeypatch):
+    """Column and row blocks by hand, with flushes so small that some call a shingle frequent and others don't."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldbook.llm import jaccard
+
+    for flush, least in ((2000, 3), (500, 2), (10**9, 4)):
+        monkeypatch.setattr(jaccard, "FLUSH", flush)
+        monkeypatch.setattr(jaccard, "FREQUENT_SETS", least)
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts], pa.string())], ["id", "text"])
+        blocks = pa.Table.from_batches(list(jaccard._blocks([5], 5)(iter([batch]))))
+        counted = jaccard._count([5])(blocks)
+        freqs = np.concatenate([np.frombuffer(x, np.uint32) for x in counted.column("freqs").to_pylist() if x is not None])
+        assert (freqs == jaccard._FREQUENT).any()
+        sets = [x for x in jaccard._sets(75)(counted).to_pylist() if x["ids"] is None]
+        assert len({x["sig"] for x in sets}) == len(sets)
+        assert all(len(x["grams"]) == 8 * len(np.unique(np.frombuffer(x["grams"], np.uint64))) for x in sets)
+        grams = {x["sig"]: np.frombuffer(x["grams"], np.uint64) for x in sets}
+        heads = {x["sig"]: set(np.frombuffer(x["grams"], np.uint64)[: x["n_prefix"]].tolist()) for x in sets}
+        size = {x["sig"]: x["size"] for x in sets}
+        own = {}
+        hashes = jaccard.WordHashes()
+        for _, t in texts:
+            g = jaccard.shingles(t.encode() if t else None, hashes, 5)
+            if len(g):
+                own[int(jaccard.mixed(g ^ np.uint64(jaccard.BASE)).sum().astype(np.int64))] = set(g.tolist())
+        for a in own:
+            for b in own:
+                both = len(own[a] & own[b])
+                if a < b and 100 * both >= 75 * (len(own[a]) + len(own[b]) - both):
+                    assert heads[a] & heads[b] and len(np.intersect1d(grams[a], grams[b])) == both and size[a] == len(own[a])
+
+
 def test_jaccard_edges(spark, none):
     assert jaccard_join(none).collect() == []
     df = spark.createDataFrame([(None, "a b"), (7, "A  B"), (7, "A  B"), (9, None)], "doc_id bigint, text string")
