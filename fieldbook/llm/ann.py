@@ -4,7 +4,8 @@ Each table rotates unit vectors pseudo-randomly (sign flips and fast Hadamard tr
 the cell of its nearest signed axis; `hashes` rotations in a row make finer cells. A query probes the cells of its
 nearest axes in every table. Cells are split into blocks of bounded size, on the side of the queries and of the index, and a
 block's task ranks its pairs exactly, in double precision on the original vectors, and passes on each query's best. So the
-rows that move grow with the queries and the vectors, never with the pairs of a cell, however full it is.
+rows that move grow with the queries and the vectors, never with the pairs of a cell, however full it is. A query whose cells
+held fewer than k vectors is ranked against the whole index, in blocks of the same size.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.session import ship
+from fieldbook.session import settled, ship
 
 _CELLS = pa.schema([("id", pa.int64()), ("query", pa.bool_()), ("cell", pa.int64()), ("vector", pa.binary())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -90,12 +92,22 @@ def _hashed(tables: int, hashes: int, probes: int, seed: int):
     return rows
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows, from their bytes or from arrays of doubles."""
+    if pa.types.is_binary(column.type):
+        return np.array([np.frombuffer(b, np.float64) for b in column.to_pylist()])
+    lengths = {n for n in pc.unique(pc.list_value_length(column)).to_pylist()}
+    if len(lengths) > 1:
+        raise ValueError("vectors differ in length")
+    return np.concatenate([np.asarray(c.flatten()) for c in column.chunks]).reshape(len(column), -1) if lengths else np.empty((0, 0))
+
+
 def _ranked(k: int):
     """A block: each query's k best of the block's vectors, by score and then by id."""
 
     def run(table: pa.Table) -> pa.Table:
         query, ids = np.asarray(table.column("query")), np.asarray(table.column("id"))
-        x = np.array([np.frombuffer(b, np.float64) for b in table.column("vector").to_pylist()])
+        x = _matrix(table.column("vector"))
         index, asked = np.flatnonzero(~query), np.flatnonzero(query)
         if not len(index) or not len(asked):
             return _FOUND.empty_table()
@@ -116,7 +128,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20
     queries has the columns of vectors (none: every row whose id is divisible by 20); a row with the query's own id is no
     candidate. Vectors that are null, empty or zero, or hold a null or non-finite component, take no part, nor do null ids.
     An id that repeats counts once, with one of its vectors (the smallest). `hashes` makes cells finer for larger tables: there are
-    (2 d) ** hashes cells; `probes` is what each query visits in each table. Columns other than the two don't matter.
+    (2 d) ** hashes cells; `probes` is what each query visits in each table. Every query gets k rows, or all candidates if there
+    are fewer: one whose cells hold less is ranked against the whole index. Columns other than the two don't matter.
     """
     ship(vectors.sparkSession)
 
@@ -135,10 +148,32 @@ def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20
     # One row for each cell; joined back by cell, never broadcast by us.
     full = hashed.groupBy("cell").agg(F.count_if(~F.col("query")).alias("n_index"), F.count_if("query").alias("n_query"))
     parts = full.where("n_index > 0 and n_query > 0").select("cell", F.ceil(F.col("n_index") / block_rows).cast("int").alias("index_parts"), F.ceil(F.col("n_query") / block_rows).cast("int").alias("query_parts"))
-    dealt = hashed.join(parts, "cell").withColumn("part", F.pmod(F.hash("id"), F.when(F.col("query"), F.col("query_parts")).otherwise(F.col("index_parts"))))
+    single = _in_blocks(hashed.join(parts, "cell"), k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = settled(_best(single, k))
+    counted = ranked.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
+    short = settled(asked.select("id").join(counted, "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id", F.coalesce("n", F.lit(0)).alias("n")))
+    if short.isEmpty():
+        return ranked
+    # Short of k, but not of candidates: these meet every row of the index.
+    n_index = index.count()
+    itself = index.select("id", F.lit(1).alias("itself"))
+    short = settled(short.join(itself, "id", "left").where(F.col("n") < n_index - F.coalesce("itself", F.lit(0))).select("id"))
+    n_short = short.count()
+    if not n_short:
+        return ranked
+    every = index.select("id", F.lit(False).alias("query"), "vector").union(asked.join(short, "id", "left_semi").select("id", F.lit(True).alias("query"), "vector"))
+    sized = every.select("*", F.lit(0).cast("bigint").alias("cell"), F.lit(-(-n_index // block_rows)).alias("index_parts"), F.lit(-(-n_short // block_rows)).alias("query_parts"))
+    return ranked.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").union(_best(_in_blocks(sized, k), k))
+
+
+def _in_blocks(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block of a cell's queries and index. rows: (id, query, vector, cell, index_parts, query_parts)."""
+    dealt = rows.withColumn("part", F.pmod(F.hash("id"), F.when(F.col("query"), F.col("query_parts")).otherwise(F.col("index_parts"))))
     other = F.sequence(F.lit(0), F.when(F.col("query"), F.col("index_parts")).otherwise(F.col("query_parts")) - 1)
     blocks = dealt.withColumn("other", F.explode(other)).select("cell", F.when(F.col("query"), F.col("other")).otherwise(F.col("part")).alias("i"), F.when(F.col("query"), F.col("part")).otherwise(F.col("other")).alias("j"), "id", "query", "vector")
-    found = blocks.groupBy("cell", "i", "j").applyInArrow(_ranked(k), "query_id bigint, vec_id bigint, score double")
-    single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return blocks.groupBy("cell", "i", "j").applyInArrow(_ranked(k), "query_id bigint, vec_id bigint, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return single.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -90,6 +90,26 @@ def test_neighbours_recall_and_edges(spark):
     assert ann.neighbours(df.limit(0)).collect() == []
 
 
+def test_every_query_gets_all_neighbours_it_can(spark):
+    rng = np.random.default_rng(9)
+    hot = np.concatenate([np.repeat(rng.normal(size=(1, 64)), 600, 0), rng.normal(size=(40, 64))])
+    for x, ids, k in ((hot, np.arange(640), 20), (rng.normal(size=(21, 64)), np.arange(21), 20), (rng.normal(size=(8, 64)), np.arange(8), 20)):
+        df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id bigint, embedding array<double>")
+        asked = df.where("vec_id % 20 = 0 or vec_id >= 600")
+        outside = spark.createDataFrame([(5000, [float(v) for v in rng.normal(size=64)])], df.schema)
+        got = defaultdict(list)
+        for r in ann.neighbours(df, asked.union(outside), k=k, block_rows=64).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r)
+        want = {r["vec_id"]: min(k, len(x) - 1) for r in asked.collect()} | {5000: min(k, len(x))}
+        assert {q: len(rows) for q, rows in got.items()} == want
+        for q, rows in got.items():
+            assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and q not in {r["vec_id"] for r in rows}
+            if q != 5000:
+                assert all(r["score"] == pytest.approx(float(x[q] @ x[r["vec_id"]])) for r in rows)
+            if q != 5000 and len(x) < k + 2:
+                assert [r["vec_id"] for r in rows] == [int(v) for v in np.lexsort((ids, -(x @ x[q]))) if v != q]
+
+
 def test_streams_round_trip():
     rng = np.random.default_rng(1)
     for n in (64, 128, 16_384, 16_448, 50_048, 182 * 64):
