@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four kinds have fixed shapes; their matches are the seeds. Every identifier-like token (it holds digits, an at sign, or is what
-a shape rejected) has lexical patterns: the word before it, the word after it, and its own shape. Patterns and instances
-(normalised tokens) form a graph, which Spark scores in a few rounds: a pattern is as good as the share of its instances
-that are believed to be of one kind, an instance as good as the patterns that hold it. Patterns that end with high
-confidence and enough different instances, mark the tokens of that kind that no fixed shape accepts.
+Four kinds have fixed shapes; their matches are the seeds. Every candidate (a token with digits or an at sign, groups of digits
+side by side, a mail address in words) has lexical patterns: the word before or after it with its own shape, and the two words
+before or after it alone, whatever its shape. Patterns and instances (normalised candidates) form a graph, which Spark scores in
+a few rounds: a pattern is as good as its instances' mean belief of one kind, an instance that is no seed as good as the best
+pattern that holds it, and starts from a prior. Patterns that end with high confidence and enough different instances that are
+believed, mark the candidates that no fixed shape accepts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.session import settled, ship
@@ -27,6 +28,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Tokens that may be identifiers although no shape takes them: a run of signs and characters with four digits or more, or an at sign.
 _TOKEN = re.compile(r"[^\s\"'<>|,;]*(?:[0-9][^\s\"'<>|,;]*[0-9][^\s\"'<>|,;]*[0-9][^\s\"'<>|,;]*[0-9]|@)[^\s\"'<>|,;]*")
+#: Groups of digits side by side, such as a national phone number.
+_GROUPS = re.compile(r"\(?[0-9]+(?:(?:\)[ .\-/]?|[ .\-/]\(?)[0-9]+)+")
+#: The at of an address in words or with blanks, and the domain after it.
+_AT = re.compile(r"\s{1,3}at\s{1,3}|\s{0,3}[\[({]\s{0,3}(?:at|@)\s{0,3}[\])}]\s{0,3}|\s{0,3}@\s{0,3}", re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s{1,3}dot\s{1,3}|\s{0,3}[\[({]\s{0,3}(?:dot|\.)\s{0,3}[\])}]\s{0,3})[A-Za-z0-9-]+)+", re.IGNORECASE)
 _DIGITS = re.compile("[0-9]")
 _EDGE = ".:!?()[]{}*#$%&"
 
@@ -76,40 +82,68 @@ def _word(words: list[str], last: bool) -> str:
     return re.sub(r"[0-9]", "9", word.lower().strip(_EDGE + ",;"))[:30]
 
 
-def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, str, str]]:
-    """(kind or None, start, end, instance, pattern by neighbouring words, pattern by shape and word) of every identifier-like token.
-
-    The patterns: word before and shape; word after and shape.
+def _context(words: list[str], last: bool) -> str | None:
+    """The two words next to a candidate, ^ for the text's end; none if it stands there itself."""
+    near = words[-2:] if last else words[:2]
+    plain = [re.sub(r"[0-9]+", "9", w.lower().strip(_EDGE + ",;"))[:30] for w in near]
+    if not any(plain):
+        return None
+    return " ".join(["^", *plain] if last and len(plain) < 2 else [*plain, "^"] if len(plain) < 2 else plain)
+
+
+def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a mail address or like one) of what may be an identifier although no shape takes it; they may overlap."""
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        while a < b and text[a] in _EDGE:
+            a += 1
+        while b > a and text[b - 1] in _EDGE:
+            b -= 1
+        if a < b:
+            yield a, b, "@" in text[a:b]
+    for m in _GROUPS.finditer(text):
+        if 7 <= sum(map(str.isdigit, m[0])) <= 19:
+            yield *m.span(), False
+    for m in _AT.finditer(text):
+        a = m.start()
+        while a > 0 and m.start() - a < 64 and text[a - 1] in _LOCAL:
+            a -= 1
+        host = _HOST.match(text, m.end()) if a < m.start() else None
+        if host:
+            yield a, host.end(), True
+
+
+def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
+    """(kind or None, start, end, instance, patterns) of every base span and every candidate apart from these.
+
+    The patterns: word before and shape; word after and shape; two words before, two words after, with no more of the token
+    than whether it is like a mail address.
     """
     taken = sorted((a, b) for _, a, b in base)
-    out = [(kind, a, b) for kind, a, b in base]
-    if base or _DIGITS.search(text) or "@" in text:
-        k = 0
-        for m in _TOKEN.finditer(text):
-            a, b = m.span()
-            while a < b and text[a] in _EDGE:
-                a += 1
-            while b > a and text[b - 1] in _EDGE:
-                b -= 1
-            while k < len(taken) and taken[k][1] <= a:
-                k += 1
-            if a < b and (k == len(taken) or taken[k][0] >= b):
-                out.append((None, a, b))
+    out = [(kind, a, b, kind == "email") for kind, a, b in base]
+    k = 0
+    for a, b, mail in sorted(set(_candidates(text))):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or taken[k][0] >= b:
+            out.append((None, a, b, mail))
     found = []
-    for kind, a, b in out:
+    for kind, a, b, mail in out:
         token = text[a:b]
         shape = _shape(token)
-        before, after = _word(text[max(0, a - 60) : a].split(), True), _word(text[b : b + 60].split(), False)
-        found.append((kind, a, b, token.lower(), f"<{before} {shape}", f">{after} {shape}"))
+        left, right = text[max(0, a - 60) : a].split(), text[b : b + 60].split()
+        patterns = [f"<{_word(left, True)} {shape}", f">{_word(right, False)} {shape}"]
+        patterns += [f"{side}{'@' if mail else '9'} {words}" for side, words in (("2<", _context(left, True)), ("2>", _context(right, False))) if words]
+        found.append((kind, a, b, token.lower(), patterns))
     return found
 
 
-_ROW = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("before", pa.string()), ("after", pa.string())])
-_ROW_SQL = "array<struct<kind:string,start:bigint,end:bigint,instance:string,before:string,after:string>>"
+_ROW = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+_ROW_SQL = "array<struct<kind:string,start:bigint,end:bigint,instance:string,patterns:array<string>>>"
 
 
 def _found(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("kind", "start", "end", "instance", "before", "after")
+    names = ("kind", "start", "end", "instance", "patterns")
     for batch in source:
         texts = batch.column("_text").to_pylist()
         out = []
@@ -120,21 +154,26 @@ def _found(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(out, pa.list_(_ROW))], [*keep, "found"])
 
 
-def _patterns(held: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
-    """(pattern, kind) that may be trusted, by scoring the graph of patterns and instances."""
+def _patterns(held: DataFrame, rounds: int, confidence: float, support: int, prior: float) -> DataFrame:
+    """(pattern, trusted, score): the patterns that may be trusted with their kind, by scoring the graph of patterns and instances."""
     seen = held.select(F.explode("found").alias("f")).select("f.*")
-    edges = settled(seen.select("instance", "kind", F.explode(F.array("before", "after")).alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    # A seed is believed whole; others start at nothing and gain from their patterns.
-    belief = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
-    total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    edges = seen.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    edges = settled(edges)
+    # A seed is believed whole wherever it stands; the others have the prior until a pattern with enough support says more.
+    seeds = settled(edges.where("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0)))
+    unseen = edges.select("pattern", "instance").join(seeds.select("instance").distinct(), "instance", "left_anti")
+    total = edges.groupBy("pattern").agg(F.count("*").alias("n")).join(unseen.groupBy("pattern").agg(F.count("*").alias("n_open")), "pattern", "left")
+    belief = seeds.withColumn("seed", F.lit(True))
+    # One word and a shape are what rejected look-alikes share with seeds: these patterns have no prior, and spread belief when trusted only.
+    context = F.col("pattern").startswith("2")
     for _ in range(rounds):
-        held_by = edges.select("pattern", "instance").join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("n_kind"))
-        score = settled(held_by.join(total, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("score"), "n_kind", "n"))
-        good = score.where((F.col("score") >= confidence) & (F.col("n_kind") >= support)).select("pattern", "kind", "score")
-        gained = edges.where("kind is null").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least("score", F.lit(0.999)))))).alias("belief"))
-        seeds = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
-        belief = seeds.union(gained.select("instance", "kind", "belief"))
-    return good.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("trusted"))
+        mass = edges.select("pattern", "instance").join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count_if(F.col("belief") >= confidence).alias("n_kind"), F.count_if(~F.col("seed")).alias("n_gained"))
+        rest = F.coalesce("n_open", F.lit(0)) - F.col("n_gained")
+        score = settled(mass.where(F.col("n_kind") >= support).join(total, "pattern").select("pattern", "kind", ((F.col("mass") + F.when(context, prior * rest).otherwise(0.0)) / F.col("n")).alias("score")))
+        gained = unseen.join(score.where(context | (F.col("score") >= confidence)), "pattern").groupBy("instance", "kind").agg(F.max("score").alias("belief"))
+        belief = seeds.withColumn("seed", F.lit(True)).union(gained.select("instance", "kind", "belief", F.lit(False)))
+    good = score.where(F.col("score") >= confidence)
+    return good.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("trusted"), F.max("score").alias("score"))
 
 
 def spans_text(spans):
@@ -143,11 +182,13 @@ def spans_text(spans):
     return F.array_join(F.transform(F.array_sort(place), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rounds: int = 3, confidence: float = 0.9, support: int = 5) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rounds: int = 3, confidence: float = 0.9, support: int = 5, prior: float = 0.2) -> DataFrame:
     """The columns `keep` (default: the id), with base and spans (arrays of kind, start, end) for every row.
 
     base: what the fixed shapes match; spans: these and what trusted patterns add. A pattern is trusted from a confidence of
-    `confidence` and `support` different instances believed to be of its kind. Null and empty texts have none; repeated rows are
+    `confidence` and `support` different instances believed to be of its kind. An instance that is no seed starts at `prior`; with the
+    defaults, a context is trusted by itself if at least half of its different instances are seeds of one kind. Of added spans that
+    hold each other the longest stays. Null and empty texts have none; repeated rows are
     separate rows with equal results; an empty table gives an empty result. Columns of docs other than these don't matter.
     """
     ship(docs.sparkSession)
@@ -157,10 +198,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     marked = own.mapInArrow(_found, ", ".join([*(f"`{c}` {kinds[c]}" for c in own.columns if c != "_text"), f"found {_ROW_SQL}"]))
     slim = marked.select("_row", *(f"_k{i}" for i, c in enumerate(keep) if c != text_col), "found")
     held = settled(slim)
-    trusted = settled(_patterns(held, rounds, confidence, support))
+    trusted = settled(_patterns(held, rounds, confidence, support, prior))
     open_ = held.where(F.exists("found", lambda f: f["kind"].isNull())).select("_row", F.explode("found").alias("f")).where("f.kind is null")
-    sides = open_.select("_row", "f.start", "f.end", F.explode(F.array("f.before", "f.after")).alias("pattern")).join(trusted, "pattern")
-    added = sides.groupBy("_row", "start", "end").agg(F.max("trusted").alias("kind"))
+    sides = open_.select("_row", "f.start", "f.end", F.explode("f.patterns").alias("pattern")).join(trusted, "pattern")
+    added = sides.groupBy("_row", "start", "end").agg(F.max_by("trusted", F.struct("score", "trusted")).alias("kind"))
+    earlier = Window.partitionBy("_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("reach", F.max("end").over(earlier)).where("reach is null or end > reach")
     more = added.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     base = F.transform(F.filter("found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     joined = held.withColumn("base", base).join(more, "_row", "left")

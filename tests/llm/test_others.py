@@ -48,6 +48,24 @@ def test_patterns_discover_what_no_shape_takes(spark, docs, none):
     assert pii.pii_digests(none).collect() == []
 
 
+def test_contexts_discover_other_shapes_and_several_tokens(spark):
+    # Eight seeds and five unseen of each kind, in one context: over a tenth is unseen, no shape fits, and a candidate has several tokens.
+    said = [f"+1 (217) 555-0{k}10" for k in range(100, 108)], [f"ann{k}.lee@mail.example.com" for k in range(8)]
+    phones = ["(555) 010 7788", "555-010-7799", "020 7946 0958", "0555/0107744", "(555) 010-7733"]
+    mails = ["jane at example dot com", "joe [at] example [dot] org", "kim(at)example(dot)net", "lou @ example.org", "max at mail dot example dot com"]
+    texts = [f"note {k} please call desk phone {x} before noon today" for k, x in enumerate(said[0] + phones)]
+    texts += [f"note {k} please write mail to {x} for more details" for k, x in enumerate(said[1] + mails)]
+    # Half of nothing: a context of few seeds among many others stays untrusted, as do contexts without seeds.
+    few = [f"ticket of order {x} was closed again" for x in ["+1 (217) 555-09%02d" % k for k in range(6)] + [f"77-88-{k:04d}" for k in range(30)]]
+    other = [f"meet {k} at home dot by the gate, see part 1234-{k:04d} there" for k in range(9)]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts + few + other)), "doc_id bigint, text string")).collect()
+    got = {r["doc_id"]: [(s["kind"], (texts + few + other)[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in rows}
+    want = [("phone", x) for x in said[0] + phones] + [("email", x) for x in said[1] + mails]
+    assert [got[i] for i in range(len(want))] == [[w] for w in want]
+    assert [len(got[len(texts) + i]) for i in range(len(few))] == [1] * 6 + [0] * 30
+    assert all(not got[len(texts) + len(few) + i] for i in range(len(other)))
+
+
 def test_pii_digests_and_masks(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(PERSONAL)] + [(1, PERSONAL[1], "x"), (None, PERSONAL[0], "y")], "doc_id bigint, text string, _masked string")
     rows = pii.pii_digests(df).collect()
