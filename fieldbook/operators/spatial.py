@@ -88,17 +88,20 @@ def dbscan_weighted(cells: DataFrame, key: str, weight: str, eps_km: float, leas
     return own.select(key, F.coalesce("own", "near_cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def silhouette(points: DataFrame, key: str, cluster: str, lat: str = "lat", lon: str = "lon", most: int = 2000, seed: int = 7) -> DataFrame:
-    """Mean silhouette (haversine) of at most `most` clustered points, taken by hash order; a point alone in its cluster counts 0.
+def silhouette(points: DataFrame, key: str, cluster: str, lat: str = "lat", lon: str = "lon", block_rows: int = 1024) -> DataFrame:
+    """Mean silhouette (haversine) of all clustered points; a point alone in its cluster counts 0.
 
-    The sample is bounded by its parameter, so its self join is too.
+    Every block of points meets every block, and distances are summed by point and cluster before they are shuffled: the work grows
+    with the pairs, the rows that move with the points times the blocks and clusters.
     """
-    from fieldbook.operators.ranking import hash_sample
+    from fieldbook.session import settled
 
-    s = hash_sample(points.where(F.col(cluster) >= 0).select(key, cluster, lat, lon), [key], most, seed)
-    a = s.select(F.col(key).alias("a"), F.col(cluster).alias("ca"), F.col(lat).alias("la"), F.col(lon).alias("oa"))
-    b = s.select(F.col(key).alias("b"), F.col(cluster).alias("cb"), F.col(lat).alias("lb"), F.col(lon).alias("ob"))
-    d = a.crossJoin(F.broadcast(b)).where("a <> b").groupBy("a", "ca", "cb").agg(F.avg(haversine("la", "oa", "lb", "ob")).alias("d"))
+    s = settled(points.where(F.col(cluster) >= 0).select(key, cluster, lat, lon))
+    parts = max(1, -(-s.count() // block_rows))
+    own, other = F.pmod(F.xxhash64(key), F.lit(parts)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    a = s.select(F.col(key).alias("a"), F.col(cluster).alias("ca"), F.col(lat).alias("la"), F.col(lon).alias("oa"), own.alias("i"), other.alias("j"))
+    b = s.select(F.col(key).alias("b"), F.col(cluster).alias("cb"), F.col(lat).alias("lb"), F.col(lon).alias("ob"), own.alias("j"), other.alias("i"))
+    d = a.join(b, ["i", "j"]).where("a <> b").groupBy("a", "ca", "cb").agg(F.avg(haversine("la", "oa", "lb", "ob")).alias("d"))
     per = d.groupBy("a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("other"))
     value = F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0))
     return per.agg(F.count("*").alias("n"), rounded(F.avg(value), 4).alias("silhouette"))

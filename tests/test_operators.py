@@ -152,3 +152,22 @@ def test_contract(spark):
     assert [tuple(r) for r in got] == [("a", 1.0), ("OTHER", 0.0)]
     with pytest.raises(ValueError):
         models.apply_contract(spark.createDataFrame([("a",)], "c string"), contract)
+
+
+def test_silhouette_of_all_points(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 4 if i else 9, float(rng.normal(10 + i % 4, 0.4)), float(rng.normal(70 + i % 4, 0.4))) for i in range(2100)] + [(5000, -1, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "cell bigint, cluster int, lat double, lon double")
+    label = np.array([r[1] for r in rows[:-1]])
+    la, lo = (np.radians([r[k] for r in rows[:-1]]) for k in (2, 3))
+    h = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la[:, None]) * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+    far = np.arcsin(np.sqrt(h))
+    mean = {c: far[:, label == c].sum(1) / np.maximum(1, (label == c).sum() - (label == c)) for c in set(label.tolist())}
+    own = np.array([mean[c][k] for k, c in enumerate(label.tolist())])
+    near = np.min([np.where(label == c, np.inf, m) for c, m in mean.items()], 0)
+    value = np.where(label == 9, 0.0, (near - own) / np.maximum(near, own))
+    for block in (1024, 300):
+        got = spatial.silhouette(df, "cell", "cluster", block_rows=block).first()
+        assert got["n"] == 2100 and abs(got["silhouette"] - value.mean()) < 1e-4
