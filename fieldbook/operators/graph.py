@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import rounded
 from fieldbook.operators.components import connected_components
-from fieldbook.session import settled, ship
+from fieldbook.session import settled
 
 
 def collapse_edges(edges: DataFrame, where_types: Sequence[str] = ("group",)) -> DataFrame:
@@ -55,70 +54,42 @@ def pagerank(edges: DataFrame, weight: str = "weight", rounds: int = 20, damping
     return ranks
 
 
-def betweenness(edges: DataFrame, pivots: int = 300, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, pivots: int = 300) -> DataFrame:
     """(node, betweenness): unweighted, normalised, from at most `pivots` sources by hash order (all of them: exact).
 
-    Each source's search runs in a task over the broadcast adjacency, whose size is checked: beyond most_edges it raises, and a
-    larger graph is to be cut down to its communities first.
+    (source, node, paths) grows a level at a time by joins on the edges; a level's neighbours lie in the level before, itself or the
+    next, so only these two are excluded. Dependencies are summed back level by level. Each level is a checkpoint of at most
+    sources times nodes rows, and there are as many as the longest shortest path has edges.
     """
-    import numpy as np
-
-    ship(edges.sparkSession)
-    if edges.limit(most_edges + 1).count() > most_edges:
-        raise ValueError(f"more than {most_edges} edges; take a community at a time")
-    pairs = edges.select("a", "b").distinct().toPandas()
-    names = sorted(set(pairs["a"]) | set(pairs["b"]))
-    number = {x: i for i, x in enumerate(names)}
-    adjacent: list[list[int]] = [[] for _ in names]
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        adjacent[number[a]].append(number[b])
-        adjacent[number[b]].append(number[a])
-    spark, n = edges.sparkSession, len(names)
-    held = spark.sparkContext.broadcast(adjacent)
-    from fieldbook.operators.ranking import hash_sample
-
-    sources = hash_sample(spark.range(n), ["id"], min(pivots, n)).repartition(8)
-    scale = n / max(1, min(pivots, n))
-
-    def search(parts):
-        total = np.zeros(n)
-        for pdf in parts:
-            for s in pdf["id"]:
-                total += _dependencies(held.value, int(s))
-        yield pd.DataFrame({"id": np.arange(n), "part": total})
-
-    sums = sources.mapInPandas(search, "id long, part double").groupBy("id").agg(F.sum("part").alias("part"))
-    labels = spark.createDataFrame(pd.DataFrame({"id": range(n), "node": names}), "id long, node string")
-    norm = max(1.0, (n - 1) * (n - 2))
-    return labels.join(sums, "id").select("node", (F.col("part") * scale / norm).alias("betweenness"))
-
-
-def _dependencies(adjacent: list[list[int]], source: int):
-    """How much each node lies on the shortest paths from one source."""
-    import numpy as np
-
-    n = len(adjacent)
-    paths, depth = np.zeros(n), np.full(n, -1)
-    paths[source], depth[source] = 1, 0
-    layers = [[source]]
-    while layers[-1]:
-        following: list[int] = []
-        for u in layers[-1]:
-            for v in adjacent[u]:
-                if depth[v] < 0:
-                    depth[v] = depth[u] + 1
-                    following.append(v)
-                if depth[v] == depth[u] + 1:
-                    paths[v] += paths[u]
-        layers.append(following)
-    lies = np.zeros(n)
-    for layer in reversed(layers):
-        for v in layer:
-            for u in adjacent[v]:
-                if depth[u] == depth[v] - 1:
-                    lies[u] += paths[u] / paths[v] * (1 + lies[v])
-    lies[source] = 0
-    return lies
+    from fieldbook.operators.ranking import dense_index, hash_sample
+
+    pairs = edges.select("a", "b").where("a <> b")
+    links = settled(pairs.union(pairs.select("b", "a")).distinct().toDF("node", "next"))
+    nodes = settled(dense_index(links.select("node").distinct(), ["node"], "id"))
+    n = nodes.count()
+    sources = hash_sample(nodes, ["id"], min(pivots, n))
+    levels = [settled(sources.select("node", F.col("node").alias("source"), F.lit(1.0).alias("paths")))]
+    while True:
+        seen = levels[-1].select("source", "node")
+        if len(levels) > 1:
+            seen = seen.union(levels[-2].select("source", "node"))
+        reached = levels[-1].join(links, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        following = settled(reached.join(seen, ["source", "node"], "left_anti"))
+        if following.isEmpty():
+            break
+        levels.append(following)
+    lies = nodes.select("node", F.lit(0.0).alias("lies"))
+    below = None
+    for level in reversed(levels[1:]):
+        if below is not None:
+            passed = below.join(links, "node").select("source", F.col("next").alias("node"), ((1 + F.col("lies")) / F.col("paths")).alias("share")).groupBy("source", "node").agg(F.sum("share").alias("share"))
+            level = level.join(passed, ["source", "node"], "left")
+        else:
+            level = level.withColumn("share", F.lit(0.0))
+        below = settled(level.select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("lies")))
+        lies = lies.union(below.groupBy("node").agg(F.sum("lies").alias("lies")))
+    scale, norm = n / max(1, min(pivots, n)), max(1.0, (n - 1) * (n - 2))
+    return lies.groupBy("node").agg((F.sum("lies") * scale / norm).alias("betweenness"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, weight: str = "lw") -> DataFrame:

@@ -171,3 +171,34 @@ def test_silhouette_of_all_points(spark):
     for block in (1024, 300):
         got = spatial.silhouette(df, "cell", "cluster", block_rows=block).first()
         assert got["n"] == 2100 and abs(got["silhouette"] - value.mean()) < 1e-4
+
+
+def test_betweenness_by_joins_equals_a_plain_search(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(34)} | {(30, 31)})
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for p in pairs for v in p}
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        depth, paths, order = {s: 0}, {s: 1}, [s]
+        for u in order:
+            for v in near[u]:
+                if v not in depth:
+                    depth[v], paths[v] = depth[u] + 1, 0
+                    order.append(v)
+                if depth[v] == depth[u] + 1:
+                    paths[v] += paths[u]
+        lies = dict.fromkeys(order, 0.0)
+        for v in reversed(order[1:]):
+            want[v] += lies[v]
+            for u in near[v]:
+                if depth[u] == depth[v] - 1:
+                    lies[u] += paths[u] / paths[v] * (1 + lies[v])
+
+    def refuse(*_):
+        raise AssertionError("the edges went to the driver")
+
+    df = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}") for a, b in pairs], "a string, b string")
+    monkeypatch.setattr(type(df), "toPandas", refuse)
+    n = len(near)
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()}
+    assert got == {f"n{v:02d}": pytest.approx(x / ((n - 1) * (n - 2))) for v, x in want.items()}
