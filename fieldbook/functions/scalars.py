@@ -89,33 +89,41 @@ def observed_bucket(x: str | Column, rules: Sequence[tuple[str, str]]) -> Column
     return found
 
 
-_SECTION = r"[0-9]+[A-Za-z]?(?:\([^)]*\))?"
+#: A segment's list of sections: numbers with a letter or a part in brackets, and commas and blanks after each.
+_SECTIONS = r"(?U)^\s*(?:\d+[A-Za-z]?(?:\([^)]*\))?[,\s]*)++"
 
 
 def parse_citations(x: str | Column) -> Column:
     """struct(acts, pairs, first_act, first_section) of `<ACT> U/s: s1,s2 <ACT2> U/s: s3`.
 
-    Every segment after a delimiter starts with a list of sections; what follows the list names the next act. Act i goes with segment
-    i + 1, before repeats are dropped from acts; surplus segments go with the last act; a middle segment without a name
-    adds no act and so shifts the pairs after it. A text without delimiter is one act without sections.
+    Every segment after a delimiter starts with a list of sections, parted by commas or blanks; what follows the list names the next act,
+    but for the last segment, whose rest names none. Acts lose commas at their end. Act i goes with segment i + 1, before repeats are
+    dropped from acts; surplus segments go with the last act, and with an empty one if there is none; a middle segment without a name
+    adds no act and so shifts the pairs after it. A text without delimiter is one act, as it stands, without sections. Nulls and blanks
+    have neither; first_act and first_section are empty texts where there is none.
     """
-    listed = rf"^((?:{_SECTION})(?:\s*,\s*(?:{_SECTION}))*)?\s*,?\s*(.*)$"
+    named = lambda part: F.rtrim(clean_cat(part), F.lit(","))
+
+    def segment(part: Column) -> Column:
+        return _let(F.regexp_extract(part, _SECTIONS, 0), lambda head: F.struct(F.filter(F.split(head, r"[,\s]+"), lambda s: s != "").alias("sections"), named(F.substring(part, F.length(head) + 1, F.length(part))).alias("act")))
 
     def from_parts(parts: Column) -> Column:
-        first = F.transform(F.slice(parts, 1, 1), lambda p: F.trim(p))
-        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-        names = F.transform(rest, lambda p: F.trim(F.regexp_extract(p, listed, 2)))
-        sections = F.transform(rest, lambda p: F.regexp_extract_all(F.regexp_extract(p, listed, 1), F.lit(f"({_SECTION})"), 1))
-        return _let(F.filter(F.concat(first, names), lambda a: a != ""), lambda acts: _let(with_acts(acts, sections), lambda pairs: whole(acts, pairs)))
+        rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), segment)
+        return F.when(F.size(parts) == 1, whole(F.filter(parts, lambda a: a != ""), F.array().cast("array<struct<act:string,section:string>>"))).otherwise(_let(rest, lambda r: with_segments(named(F.element_at(parts, 1)), r)))
+
+    def with_segments(first: Column, rest: Column) -> Column:
+        names = F.transform(F.slice(rest, 1, F.size(rest) - 1), lambda r: r["act"])
+        return _let(F.filter(F.concat(F.array(first), names), lambda a: a != ""), lambda acts: whole(acts, pairs_of(acts, rest)))
 
-    def with_acts(acts: Column, sections: Column) -> Column:
-        pairs = F.flatten(F.transform(sections, lambda s, i: F.transform(s, lambda y: F.struct(F.try_element_at(acts, F.least(i + 1, F.size(acts))).alias("act"), y.alias("section")))))
-        return F.filter(pairs, lambda p: p["act"].isNotNull())
+    def pairs_of(acts: Column, rest: Column) -> Column:
+        act_of = lambda i: F.when(F.size(acts) > 0, F.element_at(acts, F.least(i + 1, F.size(acts)))).otherwise("")
+        return F.flatten(F.transform(rest, lambda r, i: F.transform(r["sections"], lambda s: F.struct(act_of(i).alias("act"), s.alias("section")))))
 
     def whole(acts: Column, pairs: Column) -> Column:
-        return F.struct(F.array_distinct(acts).alias("acts"), pairs.alias("pairs"), F.try_element_at(acts, F.lit(1)).alias("first_act"), F.try_element_at(pairs, F.lit(1))["section"].alias("first_section"))
+        first = lambda a: F.coalesce(F.try_element_at(a, F.lit(1)), F.lit(""))
+        return _let(pairs, lambda p: F.struct(F.array_distinct(acts).alias("acts"), p.alias("pairs"), first(acts).alias("first_act"), first(F.transform(p, lambda y: y["section"])).alias("first_section")))
 
-    return _let(F.split(clean_cat(x), r"(?i)\s*U/s\s*:\s*"), from_parts)
+    return _let(F.split(clean_cat(x), r"(?U)U/[sS]\s*:"), from_parts)
 
 
 def extract_suffix_code(x: str | Column) -> Column:

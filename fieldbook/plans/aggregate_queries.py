@@ -9,7 +9,7 @@ from fieldbook.operators import aggregates as A
 from fieldbook.operators import ranking as R
 from fieldbook.plans.bindings import CASES, LINES, cases, lines
 from fieldbook.plans.registry import query, rounded_sql
-from fieldbook.plans.scalar_queries import RULES, _rules_sql, citation_texts
+from fieldbook.plans.scalar_queries import CITED, RULES, _rules_sql, citation_texts
 from fieldbook.session import table
 
 
@@ -91,8 +91,8 @@ def dim_suffix_code(spark, d):
     return A.count_by(table(spark, d, "supplier").select(S.extract_suffix_code(raw)["code"].alias("code")), ["code"], where=F.col("code") != "")
 
 
-@query(f"""WITH {LINES}, pairs AS (SELECT DISTINCT case_id, item, size FROM lines) SELECT 'act' AS level, item AS act, '' AS section, CAST(count(DISTINCT case_id) AS BIGINT) AS n FROM pairs GROUP BY item
-UNION ALL SELECT 'section', item, CAST(size AS VARCHAR), count(*) FROM pairs GROUP BY ALL""")
+@query(f"""WITH {CITED} SELECT 'act' AS level, act, '' AS section, count(*) AS n FROM (SELECT unnest(acts) AS act FROM cited) GROUP BY act
+UNION ALL SELECT 'section', act, CAST(size AS VARCHAR), count(*) FROM pairs GROUP BY act, size""")
 def dim_citations(spark, d):
     acts, pairs = A.citation_counts(citation_texts(spark, d), "citation")
     return acts.select(F.lit("act").alias("level"), "act", F.lit("").alias("section"), "n").unionByName(pairs.select(F.lit("section").alias("level"), "act", "section", "n"))

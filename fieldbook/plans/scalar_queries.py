@@ -74,26 +74,38 @@ def observed_bucket(spark, d):
 
 
 def citation_texts(spark, d):
-    """Per case: brands in order, each with its sizes, as `<brand> U/s: s1,s2 <brand> U/s: s3`."""
+    """Per case: brands in order, each with its sizes, as `<brand> U/s: s1,s2 <brand> U/s: s3`, in six shapes by the case's number.
+
+    Well-formed; without the first brand; sizes parted by blanks; words behind the last size; a comma behind each brand; without the second brand.
+    """
     per_item = lines(spark, d).groupBy("case_id", "item").agg(F.array_sort(F.collect_set("size")).alias("sizes"))
-    part = F.concat("item", F.lit(" U/s: "), F.array_join("sizes", ","))
-    return per_item.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list(part)), " ").alias("citation"))
+    shape = F.col("case_id") % 6
+
+    def part(p, i):
+        nameless = ((shape == 1) & (i == 0)) | ((shape == 5) & (i == 1))
+        name = F.when(nameless, "").otherwise(F.concat(p["item"], F.when(shape == 4, ",").otherwise("")))
+        return F.concat(name, F.lit(" U/s: "), F.when(shape == 2, F.array_join(p["sizes"], " ")).otherwise(F.array_join(p["sizes"], ",")))
+
+    parts = per_item.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("item", "sizes"))).alias("parts"))
+    return parts.select("case_id", F.concat(F.array_join(F.transform("parts", part), " "), F.when(shape == 3, " and other things").otherwise("")).alias("citation"))
 
 
 CITED = f"""{LINES}, per_item AS (SELECT case_id, item, list_sort(list_distinct(list(size))) AS sizes FROM lines GROUP BY ALL),
-cited AS (SELECT case_id, list_sort(list(item || ' U/s: ' || array_to_string(sizes, ','))) AS parts, list(item) AS items FROM per_item GROUP BY case_id)"""
+placed AS (SELECT case_id, item, sizes, row_number() OVER (PARTITION BY case_id ORDER BY item) AS j FROM per_item),
+named AS (SELECT *, CASE WHEN (case_id % 6 = 1 AND j = 1) OR (case_id % 6 = 5 AND j = 2) THEN '' ELSE item END AS name FROM placed),
+cited AS (SELECT case_id, list(name ORDER BY j) FILTER (name <> '') AS acts, sum(len(sizes)) AS n_pairs, min(CASE WHEN j = 1 THEN sizes[1] END) AS first_size FROM named GROUP BY case_id),
+pairs AS (SELECT n.case_id, j, coalesce(acts[least(j, len(acts))], '') AS act, unnest(sizes) AS size FROM named n JOIN cited USING (case_id))"""
 
 
-@query(f"""WITH {CITED} SELECT case_id, array_to_string(list_sort(items), '|') AS acts, (SELECT CAST(sum(len(sizes)) AS BIGINT) FROM per_item p WHERE p.case_id = c.case_id) AS n_pairs,
-  list_sort(items)[1] AS first_act, CAST((SELECT min(s) FROM (SELECT unnest(sizes) AS s, item FROM per_item p WHERE p.case_id = c.case_id) x WHERE item = list_sort(items)[1]) AS VARCHAR) AS first_section FROM cited c""")
+@query(f"""WITH {CITED} SELECT case_id, coalesce(array_to_string(acts, '|'), '') AS acts, CAST(n_pairs AS BIGINT) AS n_pairs, coalesce(acts[1], '') AS first_act, CAST(first_size AS VARCHAR) AS first_section FROM cited""")
 def parse_citations(spark, d):
     got = citation_texts(spark, d).select("case_id", S.parse_citations("citation").alias("p"))
     return got.select("case_id", F.array_join("p.acts", "|").alias("acts"), F.size("p.pairs").cast("bigint").alias("n_pairs"), "p.first_act", "p.first_section")
 
 
-@query(f"""WITH {LINES}, pairs AS (SELECT DISTINCT case_id, item, size FROM lines),
-ranked AS (SELECT case_id, item AS act, CAST(size AS VARCHAR) AS section, dense_rank() OVER (PARTITION BY case_id ORDER BY item) AS act_order, row_number() OVER (PARTITION BY case_id, item ORDER BY size) AS section_order FROM pairs)
-SELECT case_id, act, section, CAST(act_order AS INT) AS act_order, CAST(section_order AS INT) AS section_order FROM ranked""")
+@query(f"""WITH {CITED}, firsts AS (SELECT case_id, act, size, min(j * 1000 + size) AS place FROM pairs GROUP BY case_id, act, size),
+acted AS (SELECT *, min(place) OVER (PARTITION BY case_id, act) AS act_place FROM firsts)
+SELECT case_id, act, CAST(size AS VARCHAR) AS section, CAST(dense_rank() OVER (PARTITION BY case_id ORDER BY act_place) AS INT) AS act_order, CAST(row_number() OVER (PARTITION BY case_id, act ORDER BY place) AS INT) AS section_order FROM acted""")
 def explode_citations(spark, d):
     from fieldbook.operators.aggregates import explode_citations as op
 
