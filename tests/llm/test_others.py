@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import re
@@ -133,31 +134,66 @@ def test_pii_digests_and_masks(spark):
     assert any("[EMAIL]" in r["text"] and r["_masked"] == "y" for r in masked)
 
 
+def nearest(x, ids, q, k):
+    """Rows by the exact product, summed from the first component to the last; q is the query's row."""
+    score = np.array([functools.reduce(lambda t, c: t + c, (float(a) * float(b) for a, b in zip(x[q], v)), 0.0) for v in x])
+    order = [i for i in np.lexsort((np.arange(len(x)), ids, -score)) if i != q][:k]
+    return [(int(ids[i]), float(score[i])) for i in order]
+
+
+def searched(df, **options):
+    got = defaultdict(list)
+    for r in ann.neighbours(df, **options).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(900, 64))
+    x = rng.normal(size=(900, 64)).astype(np.float32).astype(np.float64)
     x[100:160] = x[100]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    rows += [(2000, None), (2020, [0.0] * 64), (2040, [float("nan")] * 64), (2060, [None] * 64), (None, [1.0] * 64), (5, [float(v) for v in x[5]])]
+    rows += [(2000, None), (2020, [0.0] * 64), (2040, [float("nan")] * 64), (2060, [None] * 64), (None, [1.0] * 64)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    kept = np.array([[np.float32(v) for v in r] for r in x], np.float64)
-    for k, block in ((20, 512), (5, 16)):
-        got = defaultdict(list)
-        for r in ann.neighbours(df, k=k, block_rows=block).orderBy("query_id", "rank").collect():
-            got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for options in ({"k": 20}, {"k": 5, "block_rows": 16}):
+        got = searched(df, **options)
         assert sorted(got) == list(range(0, 900, 20))
         hits = 0
         for q, found in got.items():
-            score = kept @ kept[q]
-            score[q] = -np.inf
-            want = np.lexsort((np.arange(900), -score.round(9)))[:k]
-            hits += len(set(want.tolist()) & {v for v, _ in found})
-            assert [round(s, 9) for _, s in found] == sorted((round(float(score[v]), 9) for v, _ in found), reverse=True)
-            assert all(a[1] > b[1] or a[0] < b[0] for a, b in zip(found, found[1:]))
-        assert hits / (k * len(got)) >= 0.9
-    few = df.where("vec_id in (0, 1, 2)")
-    assert [(r["query_id"], r["rank"]) for r in ann.neighbours(few, hashes=2, probes=64).orderBy("rank").collect()][:1] == [(0, 1)]
+            want = nearest(x, np.arange(900), q, options["k"])
+            hits += len(set(want) & set(found))
+            assert found == sorted(found, key=lambda f: (-f[1], f[0])) and len(found) == options["k"]
+        assert hits / (options["k"] * len(got)) >= 0.9
     assert ann.neighbours(df.limit(0)).collect() == []
+    assert ann.neighbours(df.where("vec_id = 2020")).collect() == []
+
+
+def test_ties_do_not_depend_on_blocks(spark):
+    """Equal and opposite vectors, one of each per pair of rows: whatever the blocks, equal products go to the smaller id."""
+    rng = np.random.default_rng(12)
+    some = rng.normal(size=(60, 48))
+    x = np.concatenate([some, some[::-1], -some, some])
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(7)
+    want = {q: nearest(x, np.arange(len(x)), q, 12) for q in range(0, len(x), 20)}
+    for block in (5, 33, 512):
+        assert searched(df, k=12, hashes=1, probes=128, block_rows=block) == want
+
+
+def test_repeated_ids_and_odd_lengths(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(50, 8))
+    x[7], x[8] = x[9] * 1e-200, x[9] * 1e150
+    ids = np.array([*range(40), *range(15, 25)])
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    got = searched(df, k=49)
+    assert got == searched(df, k=49, hashes=2, probes=256)
+    # Rows that share an id are candidates of each other, and separate queries: 20 stands for two.
+    assert {q: len(v) for q, v in got.items()} == {0: 49, 20: 98}
+    assert got[0] == nearest(x, ids, 0, 49)
+    assert sorted(got[20]) == sorted(nearest(x, ids, 20, 49) + nearest(x, ids, 45, 49))
+    with pytest.raises(ValueError, match="length"):
+        ann.neighbours(spark.createDataFrame([(k, [1.0] * (3 + k // 30)) for k in range(60)], df.schema))
+    assert searched(df.where("vec_id in (0, 1)"), k=3)[0] == [(1, nearest(x[:2], ids[:2], 0, 1)[0][1])]
 
 
 def test_every_query_gets_all_neighbours_it_can(spark):
