@@ -26,6 +26,21 @@ def test_components_match_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
+def test_hot_keys_meet_their_facts(spark, monkeypatch):
+    from fieldbook.operators import components, skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    df = spark.createDataFrame([(i, 1 if i < 40 else None if i < 45 else i) for i in range(60)], "i int, k int")
+    facts = spark.createDataFrame([(1, "a"), (50, "b"), (99, "c")], "k int, v string")
+    assert skew.hot_keys(df, "k") == [1]
+    for how in ("inner", "left"):
+        got = sorted(map(str, skew.spread_join(df, facts, "k", [1], how).select("i", "k", "v").collect()))
+        assert got == sorted(map(str, df.join(facts, "k", how).select("i", "k", "v").collect()))
+    star = spark.createDataFrame([(7, i) for i in range(8, 60)] + [(60, i) for i in range(61, 90)] + [(3, 60)], "src int, dst int")
+    found = {r["node"]: r["component"] for r in components.connected_components(star).collect()}
+    assert found == {i: 7 if 7 <= i < 60 else 3 for i in [3, *range(7, 90)]}
+
+
 def test_guards(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "x int, tag string")
     with pytest.raises(ValueError):
