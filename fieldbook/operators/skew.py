@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than this part of all rows, so there are no more hot keys than its inverse.
-HOT_SHARE, LEAST_HOT = 0.001, 100
+HOT_SHARE, LEAST_HOT = 0.001, 1000
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
-    """The keys that hold more than a thousandth of the rows, and at least LEAST_HOT: a thousand keys at most. df is read twice."""
-    least = max(LEAST_HOT, int(df.count() * HOT_SHARE))
+    """The keys that hold more than a thousandth of the rows, and at least LEAST_HOT: a thousand keys at most. df is read twice, so it should be settled."""
+    n = df.count()
+    if n <= LEAST_HOT:
+        return []
+    least = max(LEAST_HOT, int(n * HOT_SHARE))
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_times")).where(F.col("_times") > least)
     return [r[0] for r in counts.select(key).collect()]
 
