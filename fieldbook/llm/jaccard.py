@@ -7,12 +7,19 @@ block: the block learns only that it is frequent, which puts it last in everyone
 Shingles of one set alone cannot count towards any overlap and stop there. The rest goes back to the sets,
 in blocks again. A set of n shingles links with none unless at least 75 % of n are shared ones (the first
 size-derived bound); of those that are left, the rarest shingles beyond that bound must meet a partner's
-rarest ones, so equal rare shingles join sets into candidate groups. Within a candidate group, blocks of at most
-`block_rows` sets are multiplied (sparse columns made dense a few thousand at a time), overlap counts accumulate, and
-pairs that can no longer reach 75 * (n + m) / 175 are discarded. A block task reports a spanning forest of the links it
-found, not all pairs, so a group of m near copies costs rows in proportion to m for each pair of blocks.
+rarest ones, so sets that share one of these are candidates.
+
+Candidates of a shingle are first compared with one of its sets, its hub, and linked sets become components; this is repeated
+with other hubs for frequent shingles whose sets are still in several components. That takes rows in proportion to the
+sets, however many near copies a group has. What is left open then: for a shingle of at most `RARE` sets, its pairs from
+different components; for more frequent ones, blocks of at most `block_rows` sets, made of one component where that is large, that are multiplied
+with each other (sparse columns made dense a few thousand at a time), but never within a component. Overlap
+counts accumulate, and pairs that can no longer reach 75 * (n + m) / 175 are discarded. A block task reports a spanning forest of the links it
+found, not all pairs. So only sets that share a frequent shingle among their rarest and yet aren't alike cost more than in proportion:
+m of them m / 256 rows each.
 
 Equal sets are one row of the matrix, so exact copies cost nothing after the first shuffle.
+Shingles are equal if 48 bits of their hashes and their block are, sets if the 64-bit sums of their shingles' hashes are.
 """
 
 from __future__ import annotations
@@ -27,12 +34,17 @@ from pyspark.sql import functions as F
 
 from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, stretches, utf8
 from fieldbook.operators.components import connected_components
-from fieldbook.session import settled, ship
+from fieldbook.operators.skew import hot_keys, spread_join
+from fieldbook.session import ship, written
 
 #: Shingles that a map task gathers before it sends a block to every partition.
 FLUSH = 1_000_000
 #: A shingle in this share of the sets of a flush, and in so many at least, is frequent there.
 FREQUENT_SHARE, FREQUENT_SETS = 0.01, 32
+#: Turns of comparing sets with hubs, and the most sets of a shingle whose open pairs are compared one by one.
+HUB_TURNS, RARE = 3, 32
+#: Rows that meet one copy of a hub.
+_HUB_ROWS = 1000
 #: Stands for the count of sets of a shingle that is frequent in some flush.
 _FREQUENT = np.uint32(0xFFFFFFFF)
 _PAYLOAD = np.uint64((1 << 48) - 1)
@@ -274,26 +286,111 @@ def _product(percent: int):
     return run
 
 
-def _paired(sets: DataFrame, groups: DataFrame, block_rows: int) -> DataFrame:
-    """Rows dealt to pairs of blocks. Sets of a group are split by size class (factor 4/3, so that links stay within neighbouring classes) and by hash."""
+def _with_hub(percent: int):
+    """Rows in the order of (hub, part), each hub's own set first: the sets that link with their hub."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, n = np.zeros(0, np.uint64), 0
+        for batch in source:
+            hubs, others = [], []
+            for hub, member, sig, size, grams in zip(*(batch.column(x).to_pylist() for x in ("hub", "member", "sig", "size", "grams")), strict=True):
+                own = np.frombuffer(grams, np.uint64)
+                if not member:
+                    head, n = np.sort(own), size
+                elif 100 * min(n, size) >= percent * max(n, size):
+                    at = np.searchsorted(head, own)
+                    both = int((head[np.minimum(at, len(head) - 1)] == own).sum())
+                    if 100 * both >= percent * (n + size - both):
+                        hubs.append(hub)
+                        others.append(sig)
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(others, pa.int64())], schema=_EDGES)
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): the pairs (hub, sig) that link. A hub of many pairs is copied once for each thousand of them or so."""
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / _HUB_ROWS).cast("int").alias("parts"))
+    busy = hot_keys(pairs, "hub")
+    dealt = spread_join(pairs, sizes, "hub", busy).select("hub", F.pmod(F.hash("sig"), F.col("parts")).alias("part"), "sig")
+    members = dealt.join(sets, "sig").select("hub", "part", F.lit(True).alias("member"), "sig", "size", "grams")
+    heads = sets.join(sizes.withColumnRenamed("hub", "sig"), "sig").select(F.col("sig").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "sig", "size", "grams")
+    met = members.union(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
+    return met.mapInArrow(_with_hub(percent), "src bigint, dst bigint")
+
+
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(gram, sig, c): c is the component that the set is in so far, maybe by itself."""
+    own = labels.select(F.col("node").alias("sig"), "component")
+    return postings.join(own, "sig", "left").select("gram", "sig", F.coalesce("component", "sig").alias("c"))
+
+
+def _open(marked: DataFrame, turn: int) -> DataFrame:
+    """(gram, n, hub) of each shingle whose sets are in several components; the hub is one of its sets, another one in every turn."""
+    hub = F.min_by(F.struct("sig", "c"), F.struct(F.xxhash64("sig", F.lit(turn)), "sig"))
+    found = marked.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), hub.alias("hub"))
+    return written(found.where("low < high").select("gram", "n", "hub"))
+
+
+def _links_of_sets(sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """(node, component) of the sets that link with others."""
+    postings = written(sets.select("sig", "n_prefix", "grams").mapInArrow(_postings, "gram bigint, sig bigint"))
+    often = hot_keys(postings, "gram")
+    marked = postings.withColumn("c", F.col("sig"))
+    links = postings.select(F.col("sig").alias("src"), F.col("sig").alias("dst")).limit(0)
+    labels = links.toDF("node", "component")
+    for turn in range(HUB_TURNS + 1):
+        left = _open(marked, turn)
+        todo = left.where(F.col("n") > RARE) if turn else left
+        if turn == HUB_TURNS or todo.isEmpty():
+            break
+        pairs = written(spread_join(marked, todo.select("gram", "hub"), "gram", often).where("c <> hub.c").select("hub.sig", "sig").toDF("hub", "sig").distinct())
+        links = links.union(written(_verified(pairs, sets, percent)))
+        labels = connected_components(links)
+        marked = written(_labelled(postings, labels))
+    if left.isEmpty():
+        return labels
+    few = spread_join(marked, left.where(F.col("n") <= RARE).select("gram", "n"), "gram", often)
+    held = few.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("sig", "c"))).alias("own"))  # RARE entries at most
+    both = held.select("own", F.posexplode("own").alias("at", "hub")).select("hub", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("other"))
+    pairs = written(both.where("hub.c <> other.c").select("hub.sig", "other.sig").toDF("hub", "sig").distinct())
+    links = links.union(written(_verified(pairs, sets, percent)))
+    frequent = left.where(F.col("n") > RARE)
+    if not frequent.isEmpty():
+        hubs = spread_join(marked, frequent.select("gram", F.col("hub.sig").alias("hub")), "gram", often)
+        groups = connected_components(hubs.select("sig", "hub").distinct(), "sig", "hub")
+        known = marked.groupBy("sig").agg(F.min("c").alias("c"))
+        links = links.union(written(_paired(sets.join(known, "sig"), groups, percent, block_rows).groupBy("task").applyInArrow(_with_cells(percent), "src bigint, dst bigint")))
+    return connected_components(links)
+
+
+def _paired(sets: DataFrame, groups: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """Rows dealt to pairs of blocks.
+
+    Sets of a group are split by size class (factor 100 / percent, so that links stay within neighbouring classes), by component (`unit`;
+    those of less than block_rows sets together, as unit 0) and by hash. Blocks of one unit other than 0 don't meet.
+    """
     spark = sets.sparkSession
-    member = sets.join(groups.select(F.col("node").alias("sig"), F.col("component").alias("group")), "sig")
-    member = member.withColumn("class", F.floor(F.log("size") / F.log(F.lit(4 / 3))).cast("int"))
-    cells = member.groupBy("group", "class").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
-    shape = cells.groupBy("group").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("class", "parts"))).alias("parts"))
-    dealt = member.join(shape, "group").withColumn("part", F.pmod(F.hash("sig"), F.col("parts")[F.col("class")]))
+    factor = float(np.log(max(100 / percent, 1.0001)))
+    member = written(sets.join(groups.select(F.col("node").alias("sig"), F.col("component").alias("group")), "sig").withColumn("class", F.floor(F.log("size") / F.lit(factor)).cast("int")))
+    in_group = hot_keys(member, "group")
+    large = member.groupBy("group", "c").agg(F.count("*").alias("n")).where(F.col("n") >= block_rows).select("c").distinct().withColumn("unit", F.col("c"))
+    member = written(spread_join(member, large, "c", hot_keys(member, "c"), "left").withColumn("unit", F.coalesce("unit", F.lit(0))))
+    cells = member.groupBy("group", "class", "unit").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
+    shape = cells.groupBy("group").agg(F.sum("n").alias("n"), F.collect_list(F.struct("class", "unit", "parts")).alias("cells"))
+    dealt = spread_join(member, shape, "group", in_group)
+    mine = F.filter("cells", lambda x: (x["class"] == F.col("class")) & (x["unit"] == F.col("unit")))[0]["parts"]
+    dealt = dealt.withColumn("part", F.pmod(F.hash("sig"), mine))
     small = dealt.where(F.col("n") <= block_rows)
     # Small groups share tasks: the pair of blocks is the group itself.
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
     alone = small.select(F.pmod(F.hash("group"), F.lit(bins)).cast("bigint").alias("task"), "group", F.lit("").alias("cell"), F.lit(False).alias("right"), "sig", "size", "grams")
-    own, up = F.col("parts")[F.col("class")], F.try_element_at("parts", F.col("class") + 1)
-    down = F.try_element_at("parts", F.col("class") - 1)
-    name = lambda c, s, d, t: F.concat_ws(":", c, s, d, t)
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    within = F.transform(upto(own), lambda s: F.struct(name(F.col("class"), F.least(s, "part"), F.col("class"), F.greatest(s, "part")).alias("cell"), (F.col("part") > s).alias("right")))
-    above = F.transform(upto(F.coalesce(up, F.lit(0))), lambda s: F.struct(name(F.col("class"), F.col("part"), F.col("class") + 1, s).alias("cell"), F.lit(False).alias("right")))
-    below = F.transform(upto(F.coalesce(down, F.lit(0))), lambda s: F.struct(name(F.col("class") - 1, s, F.col("class"), F.col("part")).alias("cell"), F.lit(True).alias("right")))
-    spread = dealt.where(F.col("n") > block_rows).withColumn("to", F.explode(F.concat(within, above, below)))
+    near = F.filter("cells", lambda x: (F.abs(x["class"] - F.col("class")) <= 1) & ((x["unit"] != F.col("unit")) | (x["unit"] == 0)))
+    own = F.struct("class", "unit", F.col("part").alias("part"))
+    name = lambda x: F.concat_ws(",", x["class"], x["unit"], x["part"])
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda p: F.struct(x["class"].alias("class"), x["unit"].alias("unit"), p.alias("part")))))
+    to = F.transform(others, lambda o: F.struct(F.concat_ws(":", name(F.least(own, o)), name(F.greatest(own, o))).alias("cell"), (own > o).alias("right")))
+    spread = dealt.where(F.col("n") > block_rows).withColumn("to", F.explode(to))
     spread = spread.select(F.xxhash64("group", "to.cell").alias("task"), "group", F.col("to.cell").alias("cell"), F.col("to.right").alias("right"), "sig", "size", "grams")
     return alone.union(spread)
 
@@ -304,7 +401,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the
     smallest id that links reach. Null and empty texts have no shingles, link with nothing and are their own
     component. Repeated rows, and ids that occur twice, are separate rows of the result. A null id takes part in
-    links, but never names a component that has another id; other columns are ignored.
+    links, but never names a component that has another id; other columns are ignored. An empty table gives an empty result; very
+    long texts are handled whole, their shingles in memory one text at a time.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -312,19 +410,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     blocks = source.mapInArrow(_blocks(keys, width), _BLOCK_SQL)
     counted = blocks.groupBy("key").applyInArrow(_count(keys), _SET_SQL)
-    held = settled(counted.groupBy("key").applyInArrow(_sets(percent), _SETS_SQL))
+    held = written(counted.groupBy("key").applyInArrow(_sets(percent), _SETS_SQL))
     rows = held.where("ids is not null").select(F.explode(F.arrays_zip("ids", "doc_sizes", "doc_sigs")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.doc_sizes").alias("n_shingles"), F.col("x.doc_sigs").alias("sig"))
     sets = held.where("ids is null").select("sig", "size", "n_prefix", "grams")
-    postings = sets.select("sig", "n_prefix", "grams").mapInArrow(_postings, "gram bigint, sig bigint")
-    hubs = postings.groupBy("gram").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).where("hub < last").select("gram", "hub")
-    groups = connected_components(postings.join(hubs, "gram").where("sig <> hub").select("sig", "hub").distinct(), "sig", "hub")
-    forest = _paired(sets, groups, block_rows).groupBy("task").applyInArrow(_with_cells(percent), "src bigint, dst bigint")
-    linked = connected_components(forest)
-    least = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("least"))
-    named = least.join(linked.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    linked = _links_of_sets(sets, percent, block_rows)
+    worded = rows.where("n_shingles > 0")
+    common = hot_keys(worded, "sig")
+    least = worded.groupBy("sig").agg(F.min("id").alias("least"))
+    named = written(least.join(linked.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "least", F.coalesce("component", "sig").alias("component")))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_sig = named.join(lowest, "component").select("sig", "component_id")
-    return rows.join(of_sig, "sig", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    of_sig = spread_join(named, lowest, "component", hot_keys(named, "component")).select("sig", "component_id")
+    found = spread_join(worded, of_sig, "sig", common, "left").select("id", "n_shingles", "component_id")
+    return found.union(rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))).withColumnRenamed("id", id_col)
 
 
 def _with_cells(percent: int):

@@ -1,3 +1,4 @@
+import random
 import re
 
 from fieldbook.llm.jaccard import jaccard_join
@@ -6,7 +7,7 @@ from fieldbook.llm.substring import substring_dedup
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def components(texts):
+def components(texts, percent=75):
     sets = []
     for i, t in texts:
         w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -21,7 +22,7 @@ def components(texts):
     for a, (i, x) in enumerate(sets):
         for j, y in sets[a + 1 :]:
             both = len(x & y)
-            if x and y and 100 * both >= 75 * (len(x) + len(y) - both):
+            if x and y and 100 * both >= percent * (len(x) + len(y) - both):
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
     return sorted((i, len(x), find(i)) for i, x in sets)
@@ -34,6 +35,35 @@ def test_jaccard_equals_brute_force(docs, texts):
         assert sorted(map(tuple, jaccard_join(docs, block_rows=block_rows).collect())) == want
 
 
+def chained(n, seed):
+    """Near copies of near copies, and texts that share a passage and nothing else: groups that no single hub holds together."""
+    rng = random.Random(seed)
+    say = lambda k: [f"v{rng.randrange(3000)}" for _ in range(k)]
+    passage, last, out = say(12), say(60), []
+    for i in range(n):
+        if i % 3 == 0:
+            out.append(say(rng.randrange(4, 9)) + passage)
+        else:
+            last = list(last) if i % 40 else say(60)
+            last[rng.randrange(60)] = f"z{i}"
+            out.append(last)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_open_shingles_are_settled_by_pairs_and_blocks(spark, monkeypatch):
+    from fieldbook.llm import jaccard
+
+    texts = chained(240, 5)
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for percent, turns, rare, block_rows in ((75, 2, 4, 256), (75, 1, 0, 4), (50, 0, 0, 8), (50, 0, 10**6, 4)):
+        want = components(texts, percent)
+        assert 20 < len({c for _, _, c in want}) < 200
+        monkeypatch.setattr(jaccard, "HUB_TURNS", turns)
+        monkeypatch.setattr(jaccard, "RARE", rare)
+        got = sorted(map(tuple, jaccard_join(df, percent=percent, block_rows=block_rows).collect()))
+        assert got == want, (percent, turns, rare, block_rows)
+
+
 def test_frequent_shingles_in_small_flushes(texts, monkeypatch):
     """Column and row blocks by hand, with flushes so small that some call a shingle frequent and others don't."""
     import numpy as np
