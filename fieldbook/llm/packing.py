@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,43 +90,52 @@ def _pieces(path: str, capacity: int, end: int):
     close = np.array([end], "<u4").tobytes()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = wordpieces.packed_ids(path)
+        ids_of = wordpieces.packed_ids(path)
         for batch in source:
             out: list[list] = [[] for _ in _PIECES]
             for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                ids = b"".join(map(known.__getitem__, text.split() if text else ())) + close
+                ids = ids_of(text) + close
                 twin = zlib.crc32(ids)
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[a : a + 4 * capacity]
                     for column, value in zip(out, (i, k, a // 4, len(own) // 4, zlib.crc32(own), twin), strict=True):
                         column.append(value)
-                known.tidy()
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PIECES, strict=True)], schema=_PIECES)
 
     return run
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_rows: int = 20_000) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` of 1 to capacity. pieces should be settled: it is counted first."""
+    """Adds sequence_id and offset to rows with a `length` of 1 to capacity; columns of these names are replaced, others may have any name.
+
+    pieces must be settled: it is counted first, and rows are dealt to groups by their content and their place in it, so that equal rows
+    don't share a group. An empty table gives an empty result; a null length, or one out of bounds, raises.
+    """
     groups = max(1, -(-pieces.count() // group_rows))
-    names = pieces.columns
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    places = [f"c{i}" for i in range(len(kept))]
+    length = places[kept.index("length")]
 
     def pack(table: pa.Table) -> pa.Table:
-        sequence, offset = best_two_fit(np.asarray(table.column("length")), capacity)
-        base = table.column("_group")[0].as_py() << 32
-        return table.select(names).append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
+        lengths = table.column(length)
+        if lengths.null_count or not 1 <= pc.min(lengths).as_py() <= pc.max(lengths).as_py() <= capacity:
+            raise ValueError(f"lengths must lie between 1 and {capacity}")
+        sequence, offset = best_two_fit(np.asarray(lengths), capacity)
+        base = table.column("dealt")[0].as_py() << 32
+        return table.select(places).append_column("sequence", pa.array(sequence + base)).append_column("place", pa.array(offset))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    # Pieces of the longest documents can be many; the hash takes their place in the document too.
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*names), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(pack, kinds + ", sequence_id bigint, offset bigint")
+    own = pieces.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(kept, places, strict=True)))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    dealt = own.withColumn("dealt", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *(c for c in places)), F.lit(groups)))
+    return dealt.groupBy("dealt").applyInArrow(pack, kinds + ", sequence bigint, place bigint").toDF(*kept, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end: int = 1, group_rows: int = 20_000) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row.
 
     Null and empty texts are the closing id alone. Repeated rows are packed once each. Null ids are kept; an empty table gives
-    an empty result; other columns don't matter.
+    an empty result; other columns don't matter; very long texts become as many pieces as it takes. tokenizer: a .json file of the
+    tokenizers library, or a .model file of SentencePiece.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))

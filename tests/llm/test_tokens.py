@@ -12,6 +12,7 @@ P = pytest.importorskip("public_tokenizers")
 from fieldbook.llm import bpe, packing, token_counts, wordpieces  # noqa: E402
 
 WORD, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")
@@ -37,11 +38,38 @@ def odd_texts():
 
 def test_stretches_give_the_library_ids(library, texts):
     ids, counts = wordpieces.packed_ids(WORD), wordpieces.counts(WORD)
+    assert wordpieces.drops_blanks(WORD) and not wordpieces.drops_blanks(BYTES) and not wordpieces.drops_blanks(PIECES)
     for text in [*odd_texts(), *(t for _, t in texts if t)]:
         want = library.encode(text, add_special_tokens=False).ids
-        parts = text.encode().split()
-        assert np.frombuffer(b"".join(map(ids.__getitem__, parts)), "<u4").tolist() == want
-        assert sum(map(counts.__getitem__, parts)) == len(want)
+        assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want
+        assert counts(text.encode()) == len(want)
+
+
+def test_other_tokenizers_get_whole_texts(spark, docs, texts, tmp_path):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    said = [(i, t) for i, t in texts if t is None or len(t) < 2000] + [(1000, "a  b"), (1001, "a b"), (1002, " a b\n")]
+    df = spark.createDataFrame(said, "doc_id bigint, text string")
+    library, model = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for path, encode in ((BYTES, lambda t: library.encode(t, add_special_tokens=False).ids), (PIECES, model.encode)):
+        want = {i: len(encode(t or "")) for i, t in said}
+        store = str(tmp_path / "both")  # one store for both tokenizers: versions keep them apart
+        assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, path, store).collect()} == want
+    packed = packing.pack_documents(df, BYTES).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in packed} == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in said}
+
+
+def test_pieces_with_clashing_columns(spark):
+    from fieldbook.session import settled
+
+    df = settled(spark.createDataFrame([(1, 5, "x", 7, "g")] * 300, "offset int, length bigint, sequence_id string, piece int, _group string"))
+    got = packing.pack_pieces(df, capacity=10, group_rows=100)
+    assert got.columns == ["length", "piece", "_group", "sequence_id", "offset"]
+    rows = got.collect()
+    assert len(rows) == 300 and len({r["sequence_id"] for r in rows}) <= 152 and {r["offset"] for r in rows} == {0, 5}
+    with pytest.raises(Exception, match="between 1 and"):
+        packing.pack_pieces(df, capacity=4).collect()
 
 
 def test_token_counts(spark, docs, texts, none, library, tmp_path):
