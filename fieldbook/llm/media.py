@@ -3,8 +3,9 @@
 Writing: a payload is cut into units, each an elementary packet with a presentation time stamp, on one stream of one program;
 transport packets carry program tables, continuity counters, a random-access mark at each unit and stuffing. Reading: the
 program association and map tables (with their checksums) lead to the elementary streams, counters are checked, elementary
-packets are put together from transport packets, and time stamps and random-access points are kept with the payload.
-All of it works on arrays of whole packets.
+packets are put together from transport packets, and time stamps and random-access points are kept with the payload. A packet
+that was sent twice counts once, lost synchronisation is found again, and a unit that lacks packets is marked.
+All of it works on arrays of whole packets. Texts are handled one at a time, however long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,62 +89,126 @@ def write_stream(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _tables(packets: np.ndarray, pid: np.ndarray, starts: np.ndarray, offset: np.ndarray, wanted: int, table: int) -> list[bytes]:
-    """Bodies of the valid sections of one table that fit a packet."""
-    found = []
-    for i in np.flatnonzero((pid == wanted) & starts):
-        data = packets[i, offset[i] :].tobytes()
-        data = data[1 + data[0] :] if data else b""
-        if len(data) > 8 and data[0] == table:
-            size = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)
-            if 12 <= size <= len(data) and section_crc(data[: size - 4]) == int.from_bytes(data[size - 4 : size], "big"):
-                found.append(data[8 : size - 4])
+def _bodies(parts: list[tuple[bool, bytes]], table: int) -> list[bytes]:
+    """Bodies of the valid sections of one table; parts: the payloads of its packets, and whether a section starts in each.
+
+    A section may go on in the packets after it, and several may share a packet.
+    """
+    found, held = [], None
+    for starts, data in parts:
+        pieces = [data]
+        if starts:
+            # The first byte says how much still belongs to the section before.
+            at = 1 + data[0] if data else 0
+            pieces = [data[1:at], data[at:]]
+        for k, piece in enumerate(pieces):
+            held = piece if k else None if held is None else held + piece
+            while held and len(held) >= 3 and held[0] != 0xFF:
+                size = 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)
+                if len(held) < size:
+                    break
+                if held[0] == table and size >= 12 and section_crc(held[: size - 4]) == int.from_bytes(held[size - 4 : size], "big"):
+                    found.append(held[8 : size - 4])
+                held = held[size:]
     return found
 
 
+def _packets(media: bytes) -> tuple[np.ndarray, int]:
+    """(packets, errors): whole packets that start with the sync byte. Bytes between them are skipped, one error for each stretch."""
+    n = len(media) // PACKET
+    packets = np.frombuffer(media, np.uint8, n * PACKET).reshape(n, PACKET)
+    if (packets[:, 0] == SYNC).all():
+        return packets, int(len(media) % PACKET > 0)
+    raw = np.frombuffer(media, np.uint8)
+    sync = np.flatnonzero(raw == SYNC)
+    sure = lambda p: all(q >= len(raw) or raw[q] == SYNC for q in (p, p + PACKET, p + 2 * PACKET))
+    first = lambda low, high: next((int(p) for p in sync[np.searchsorted(sync, low) : np.searchsorted(sync, high)] if sure(p)), None)
+    out, errors, at, kept = [], 0, 0, False
+    while at + PACKET <= len(raw):
+        if raw[at] == SYNC and (kept or sure(at)):
+            run = raw[at : len(raw) - (len(raw) - at) % PACKET : PACKET] == SYNC
+            many = len(run) if run.all() else int(run.argmin())
+            kept, after = True, at + many * PACKET
+            # A last packet within which better ones begin is no packet.
+            lost = first(after - PACKET + 1, after) if after < len(raw) and not (after + PACKET < len(raw) and sure(after + PACKET)) else None
+            many -= lost is not None
+            errors += lost is not None
+            out.append(raw[at : at + many * PACKET].reshape(many, PACKET))
+            at = after if lost is None else lost
+            continue
+        errors += 1
+        if kept and at + PACKET < len(raw) and sure(at + PACKET):  # one packet has lost its sync byte
+            at += PACKET
+            continue
+        found = first(at, len(raw))
+        at, kept = (len(raw), False) if found is None else (found, True)
+    errors += at < len(raw)
+    return np.concatenate([np.zeros((0, PACKET), np.uint8), *out]), errors
+
+
 def read_stream(media: bytes) -> dict:
     """Payload of all elementary streams, with time stamps, random-access points and the errors that were met.
 
-    units: (time stamp or None, offset in the payload, length, whether it starts at a random-access mark). Packets
-    without the sync byte, an incomplete last one and units that are cut short count as errors; what can be read is.
+    units: (time stamp or None, offset in the payload, length, whether it starts at a random-access mark, whether packets are missing
+    within it). Stretches without packets, packets marked as damaged, an incomplete last one, what precedes a
+    stream's first unit and units that are cut short count as errors; what can be read is. A packet that repeats the one before it
+    on its stream is dropped; any other jump of the counter is a break, unless the stream announces it.
     """
-    n = len(media) // PACKET
-    packets = np.frombuffer(media, np.uint8, n * PACKET).reshape(n, PACKET)
-    good = packets[:, 0] == SYNC
-    errors = int((~good).sum()) + (len(media) % PACKET > 0)
-    packets = packets[good]
+    packets, errors = _packets(media)
+    n = len(packets)
+    damaged = packets[:, 1] & 0x80 > 0
+    errors += int(damaged.sum())
+    packets = packets[~damaged]
     pid = (packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]
     starts, control, counter = packets[:, 1] & 0x40 > 0, packets[:, 3] >> 4 & 3, packets[:, 3] & 15
     field = control & 2 > 0
     offset = np.where(field, 5 + packets[:, 4].astype(np.int64), 4)
-    marked = field & (packets[:, 4] > 0) & (packets[:, 5] & 0x40 > 0)
+    told = np.where(field & (packets[:, 4] > 0), packets[:, 5], 0)
+    marked, announced = told & 0x40 > 0, told & 0x80 > 0
     loaded = (control & 1 > 0) & (offset < PACKET)
-    programs = [int.from_bytes(x[i + 2 : i + 4], "big") & 0x1FFF for x in _tables(packets, pid, starts, offset, PAT_PID, 0) for i in range(0, len(x) - 3, 4) if x[i : i + 2] != b"\0\0"]
+
+    def own_packets(wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """Packets of a stream without repeats (equal but for a clock in the first bytes), and by how much the counter jumps to each (0: as it should)."""
+        own = np.flatnonzero((pid == wanted) & loaded)
+        if len(own) > 1:
+            again = np.concatenate([[False], (counter[own[1:]] == counter[own[:-1]]) & (packets[own[1:], 12:] == packets[own[:-1], 12:]).all(1)])
+            own = own[~again]
+        jump = np.concatenate([[0], (counter[own[1:]].astype(int) - counter[own[:-1]] - 1) & 15]).astype(int)[: len(own)]
+        return own, np.where(announced[own], 0, jump)
+
+    def sections(wanted: int, table: int) -> list[bytes]:
+        return _bodies([(bool(starts[i]), packets[i, offset[i] :].tobytes()) for i in own_packets(wanted)[0]], table)
+
+    programs = [int.from_bytes(x[i + 2 : i + 4], "big") & 0x1FFF for x in sections(PAT_PID, 0) for i in range(0, len(x) - 3, 4) if x[i : i + 2] != b"\0\0"]
     streams: dict[int, int] = {}
     for program in dict.fromkeys(programs):
-        for x in _tables(packets, pid, starts, offset, program, 2):
+        for x in sections(program, 2):
             at = 4 + (int.from_bytes(x[2:4], "big") & 0x0FFF)
             while at + 5 <= len(x):
                 streams.setdefault(int.from_bytes(x[at + 1 : at + 3], "big") & 0x1FFF, x[at])
                 at += 5 + (int.from_bytes(x[at + 3 : at + 5], "big") & 0x0FFF)
     payload, units, breaks, held = [], [], 0, 0
     for stream in streams:
-        own = np.flatnonzero((pid == stream) & loaded)
-        breaks += int(((counter[own[1:]] - counter[own[:-1]]) & 15 != 1).sum())
+        own, jump = own_packets(stream)
+        breaks += int((jump > 0).sum())
         data = packets[own][np.arange(PACKET) >= offset[own][:, None]].tobytes()
         ends = np.cumsum(PACKET - offset[own])
         first = np.flatnonzero(starts[own])
+        errors += int(len(own) > 0 and (not len(first) or first[0] > 0))
         begins = [int(ends[i] - PACKET + offset[own[i]]) for i in first]
-        for i, a, b in zip(first, begins, [*begins[1:], len(data)], strict=False):
+        for i, j, a, b in zip(first, [*first, len(own)][1:], begins, [*begins, len(data)][1:], strict=True):
             unit = data[a:b]
             if len(unit) < 9 or unit[:3] != b"\0\0\1":
                 errors += 1
                 continue
             size = int.from_bytes(unit[4:6], "big")
             body = unit[9 + unit[8] : 6 + size if size else None]
-            errors += size > len(unit) - 6
+            short = size > len(unit) - 6
+            errors += short
+            # Missing: a jump inside the unit, or at the next one's start if the unit is short or its length unknown.
+            missing = bool((jump[i + 1 : j] > 0).any()) or ((short or not size) and j < len(own) and bool(jump[j] > 0))
             pts = (unit[9] >> 1 & 7) << 30 | unit[10] << 22 | unit[11] >> 1 << 15 | unit[12] << 7 | unit[13] >> 1 if unit[7] & 0x80 and len(unit) > 13 else None
-            units.append((pts, held, len(body), bool(marked[own[i]])))
+            units.append((pts, held, len(body), bool(marked[own[i]]), missing))
             payload.append(body)
             held += len(body)
     return {"payload": b"".join(payload), "units": units, "packets": n, "streams": len(streams), "breaks": breaks, "errors": errors}
@@ -155,11 +220,11 @@ def padded(text: bytes | None, unit: int = 64) -> bytes:
     return text.ljust(max(unit, -(-len(text) // unit) * unit), b"\0")
 
 
-_READ = pa.struct([("payload", pa.binary()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_())]))), ("packets", pa.int64()), ("streams", pa.int64()), ("breaks", pa.int64()), ("errors", pa.int64())])
-_READ_SQL = "struct<payload:binary,units:array<struct<pts:bigint,offset:bigint,length:bigint,random_access:boolean>>,packets:bigint,streams:bigint,breaks:bigint,errors:bigint>"
+_READ = pa.struct([("payload", pa.binary()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_()), ("missing", pa.bool_())]))), ("packets", pa.int64()), ("streams", pa.int64()), ("breaks", pa.int64()), ("errors", pa.int64())])
+_READ_SQL = "struct<payload:binary,units:array<struct<pts:bigint,offset:bigint,length:bigint,random_access:boolean,missing:boolean>>,packets:bigint,streams:bigint,breaks:bigint,errors:bigint>"
 
 
-_KEYS = ("pts", "offset", "length", "random_access")
+_KEYS = ("pts", "offset", "length", "random_access", "missing")
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:

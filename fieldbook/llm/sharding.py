@@ -3,17 +3,21 @@
 A record's hash puts it into one of some thousand slots, for good. Bytes and rows are summed by slot, and a map,
 a small table with a version, names the shard of every slot. Rebalancing edits the map: slots stay where they are as long
 as their shard is within its even part of the bytes, and the surplus slots (the smallest ones) go to the least loaded
-shards, largest first. Adding shards is the same edit with more shards.
+shards, largest first. Adding shards is the same edit with more shards. Every version of the map is written to a store; a later run
+reads the newest one, counts its own bytes into it, edits it and writes the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldbook.session import settled
+from fieldbook.session import checkpoint_folder, settled
 
 SLOTS = 4096
+MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes bigint"
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -40,6 +44,20 @@ def first_map(sizes: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     return sizes.select(F.lit(1).alias("version"), "virtual_slot", F.floor(F.col("virtual_slot") * shards / slots).cast("int").alias("shard"), "bytes")
 
 
+def write_map(chosen: DataFrame, store: str) -> None:
+    """Adds one version of a map to the store, a folder that all machines reach."""
+    chosen.select(F.col("version").cast("int"), F.col("virtual_slot").cast("int"), F.col("shard").cast("int"), F.col("bytes").cast("bigint")).coalesce(1).write.mode("append").parquet(store)
+
+
+def read_map(spark: SparkSession, store: str, version: int | None = None) -> DataFrame | None:
+    """A version of the stored map (none given: the newest); None if the store doesn't hold it. An append that ran twice does no harm."""
+    spark.range(0).select(*(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in MAP_SCHEMA.split(", "))).write.mode("append").parquet(store)
+    held = spark.read.schema(MAP_SCHEMA).parquet(store)
+    known = held.agg(F.max("version")).first()[0] if version is None else version
+    found = held.where(F.col("version") == known).dropDuplicates(["virtual_slot"])
+    return None if known is None or found.isEmpty() else found
+
+
 def rebalanced(old: DataFrame, shards: int) -> DataFrame:
     """The next version of a slot map, with bytes near equal over shards 0 to shards - 1; few slots move.
 
@@ -64,18 +82,40 @@ def rebalanced(old: DataFrame, shards: int) -> DataFrame:
     return judged.join(F.broadcast(moved), "virtual_slot", "left").select("version", "virtual_slot", F.coalesce("to", "shard").alias("shard"), "bytes")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def next_map(sizes: DataFrame, shards: int, store: str, slots: int = SLOTS) -> DataFrame:
+    """The newest stored map with the bytes of `sizes`, edited for `shards` shards, as it was written to the store and read back.
+
+    An empty store gets the map of even ranges first, as version 1. A stored map of another number of slots raises ValueError.
+    """
+    spark = sizes.sparkSession
+    old = read_map(spark, store)
+    if old is None:
+        write_map(first_map(sizes, shards, slots), store)
+        old = read_map(spark, store)
+    if old.count() != slots:
+        raise ValueError(f"the stored map has {old.count()} slots, not {slots}")
+    now = old.drop("bytes").join(F.broadcast(sizes.select("virtual_slot", "bytes")), "virtual_slot").select("version", "virtual_slot", "shard", "bytes")
+    version = old.first()["version"] + 1
+    write_map(rebalanced(now, shards), store)
+    return read_map(spark, store, version)
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, store: str | None = None) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version) for every row.
 
     The law is `bytes`: the sizes of the shards are near equal, as far as single slots allow. slot is the
-    row's place in its shard, without gaps from 0. Null ids and texts, repeated rows and an empty table are fine; columns
+    row's place in its shard, without gaps from 0. store: a folder with the versions of the slot map (none: a new one under the
+    checkpoint folder); the newest is edited for these rows and becomes the next version, so slots stay where they are unless their
+    shard is over its part. Null ids and texts, very long texts, repeated rows and an empty table are fine; columns
     other than the two don't matter. A place is found by counting within (virtual slot, part), where a part is one of
-    16 by the text's checksum, plus what the parts before it hold; no task sees a whole shard.
+    16 by the row's place in the input, plus what the parts before it hold; no task sees a whole shard, even of equal rows.
     """
     parts = 16
-    rows = sized(docs, id_col, text_col, slots).withColumn("part", F.pmod(F.xxhash64("text_crc32", F.col(id_col)), F.lit(parts)).cast("int"))
+    spark = docs.sparkSession
+    store = store or f"{checkpoint_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    rows = settled(sized(docs, id_col, text_col, slots).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")))
     cells = settled(rows.groupBy("virtual_slot", "part").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
-    chosen = rebalanced(first_map(slot_sizes(cells.drop("rows"), slots), shards, slots), shards)
+    chosen = next_map(slot_sizes(cells.drop("rows"), slots), shards, store, slots)
     # At most slots * parts rows: small enough for a window by shard and for a broadcast.
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     places = settled(cells.join(F.broadcast(chosen.select("virtual_slot", "shard", "version")), "virtual_slot").select("virtual_slot", "part", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base")))

@@ -230,6 +230,57 @@ def test_streams_round_trip():
     assert media.section_crc(b"123456789") == 0x0376E6E7
 
 
+def packets_of(pid, parts, counter=0, first=True):
+    """Packets of one stream by hand: each part is a payload of at most 184 bytes, stuffed by an adaptation field."""
+    out = []
+    for k, part in enumerate(parts):
+        head = bytes([0x47, (0x40 if first and k == 0 else 0) | pid >> 8, pid & 255])
+        room = 184 - len(part)
+        field = b"" if not room else bytes([room - 1]) + (b"\0" + b"\xff" * (room - 2) if room > 1 else b"")
+        out.append(head + bytes([(0x30 if field else 0x10) | (counter + k) & 15]) + field + part)
+    return out
+
+
+def foreign_stream():
+    """Another writer's stream: a program table over two packets, two streams, units without a length, a repeated packet."""
+    extra = b"".join(bytes([6]) + (0xE000 | 0x300 + k).to_bytes(2, "big") + (0xF000 | 20).to_bytes(2, "big") + bytes(20) for k in range(9))
+    own = b"".join(bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\0" for kind, pid in ((0x1B, 0x200), (0x0F, 0x201)))
+    pat = b"\0" + media._section(0, 1, b"\0\0\xe0\x10" + (5).to_bytes(2, "big") + (0xE000 | 0x50).to_bytes(2, "big"))
+    pmt = b"\0" + media._section(2, 5, (0xE200).to_bytes(2, "big") + b"\xf0\0" + extra + own)
+    assert len(pmt) > 184
+    video = b"\0\0\1\xe0\0\0\x80\x80\5" + media._stamp(90_001) + bytes(range(250)) + b"end"
+    sound = b"\0\0\1\xc0" + (3 + 5).to_bytes(2, "big") + b"\x80\0\0" + b"sound"
+    one = packets_of(0x200, [video[:184], video[184:]])
+    return packets_of(0, [pat]) + packets_of(0x50, [pmt[:184], pmt[184:]]) + one[:1] + packets_of(0x201, [sound]) + one[:1] + one[1:], bytes(range(250)) + b"end", b"sound"
+
+
+def test_foreign_streams():
+    stream, video, sound = foreign_stream()
+    got = media.read_stream(b"".join(stream))
+    assert (got["streams"], got["errors"], got["breaks"]) == (11, 0, 0)
+    assert got["payload"] == video + sound and got["units"] == [(90_001, 0, len(video), False, False), (None, len(video), 5, False, False)]
+    # Junk ahead of the first packet, between packets, and a packet that has lost its sync byte.
+    for junk in (b"x", b"\x47", b"y" * 500):
+        got = media.read_stream(junk + b"".join(stream[:3]) + junk + b"".join(stream[3:]))
+        assert got["payload"] == video + sound and got["errors"] == 2, junk
+    broken = [*stream, b"\0" + packets_of(0x201, [b"z"], 1, False)[0][1:], *packets_of(0x201, [b"\0\0\1\xc0\0\5\x80\0\0ok"], 2)]
+    got = media.read_stream(b"".join(broken))
+    assert got["errors"] == 1 and got["breaks"] == 1 and got["payload"] == video + sound + b"ok"
+
+
+def test_missing_and_repeated_packets():
+    payload = bytes(range(256)) * 100
+    whole = media.write_stream(payload)
+    cut = [whole[a : a + 188] for a in range(0, len(whole), 188)]
+    for k in range(2, len(cut)):
+        got = media.read_stream(b"".join([*cut[: k + 1], cut[k], *cut[k + 1 :]]))
+        assert got["payload"] == payload and got["breaks"] == got["errors"] == 0
+    lost = media.read_stream(b"".join(cut[:5] + cut[6:]))
+    assert lost["breaks"] == 1 and [u[4] for u in lost["units"]] == [True, False]
+    damaged = media.read_stream(b"".join([*cut[:5], cut[5][:1] + bytes([cut[5][1] | 0x80]) + cut[5][2:], *cut[6:]]))
+    assert damaged["breaks"] == 1 and damaged["errors"] == 2 and damaged["units"][0][4]
+
+
 def test_media_columns(docs, texts, none):
     by = dict(texts)
     rows = media.media_digests(docs).collect()
@@ -267,6 +318,36 @@ def test_few_slots_move_when_shards_are_added(spark):
     assert len(loads) == 5 and max(loads) - min(loads) <= 2 * 106
 
 
+def test_stored_maps(spark, docs, tmp_path):
+    """Two versions of a map on disk, then a third for one more shard: only what the edit names moves."""
+    store = str(tmp_path / "maps")
+    rows = {}
+    for turn, shards in enumerate((16, 16, 17)):
+        got = sharding.shard_documents(docs, shards=shards, store=store, slots=256).collect()
+        rows[turn] = {r["doc_id"]: (r["virtual_slot"], r["shard"], r["map_version"]) for r in got}
+        assert {v for _, _, v in rows[turn].values()} == {turn + 2}
+    maps = {v: {r["virtual_slot"]: r["shard"] for r in sharding.read_map(spark, store, v).collect()} for v in (1, 2, 3, 4)}
+    assert all(len(m) == 256 for m in maps.values()) and sharding.read_map(spark, store, 9) is None
+    assert {r["version"] for r in sharding.read_map(spark, store).collect()} == {4}
+    for turn in rows:
+        assert all(maps[turn + 2][slot] == shard for slot, shard, _ in rows[turn].values())
+    edited = {s for s in maps[3] if maps[3][s] != maps[4][s]}
+    moved = {s for (s, a, _), (_, b, _) in zip(rows[1].values(), (rows[2][i] for i in rows[1]), strict=True) if a != b}
+    assert moved <= edited and 16 in maps[4].values() and len(edited) < 200
+    assert set(maps[1].values()) == set(range(16))
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard_documents(docs, store=store, slots=128)
+
+
+def test_equal_rows_are_spread(spark):
+    df = spark.range(900).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same").alias("text"))
+    rows = sharding.shard_documents(df, shards=3, slots=64).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 900 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_quality_on_held_out_rows(spark, data, none):
     docs, labels = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{data.replace('0.001', '0.01')}/labels.parquet")
     got = quality.quality(docs, labels)
