@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import rounded
 from fieldbook.operators.components import connected_components
+from fieldbook.operators.ranking import dense_index, hash_sample
 from fieldbook.session import settled
 
 
@@ -61,8 +62,6 @@ def betweenness(edges: DataFrame, pivots: int = 300) -> DataFrame:
     next, so only these two are excluded. Dependencies are summed back level by level. Each level is a checkpoint of at most
     sources times nodes rows, and there are as many as the longest shortest path has edges.
     """
-    from fieldbook.operators.ranking import dense_index, hash_sample
-
     pairs = edges.select("a", "b").where("a <> b")
     links = settled(pairs.union(pairs.select("b", "a")).distinct().toDF("node", "next"))
     nodes = settled(dense_index(links.select("node").distinct(), ["node"], "id"))
@@ -138,7 +137,7 @@ def louvain(edges: DataFrame, weight: str = "lw", levels: int = 4, rounds: int =
         la, lb = labels.select(F.col("node").alias("a"), F.col("c").alias("ca")), labels.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         current = settled(current.join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
     sizes = membership.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first"))
-    numbers = sizes.withColumn("number", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)
+    numbers = dense_index(sizes, [F.desc("n"), "first"], "number")
     return membership.join(numbers.select("community", "number"), "community").select("node", F.col("number").alias("community"))
 
 

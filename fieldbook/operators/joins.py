@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import rounded, safe_rate
+from fieldbook.operators.ranking import running_total
 
 
 def conform_dimension(df: DataFrame, key: str, dim: DataFrame, dim_key: str, attributes: Mapping[str, str]) -> DataFrame:
@@ -150,8 +151,7 @@ def relationship_check(child: DataFrame, child_key: str, parent: DataFrame, pare
 
 
 def rank_window(df: DataFrame, by: str, into: str) -> DataFrame:
-    """Average ranks (1 is the smallest value): equal values are counted first, so the window sees distinct values."""
+    """Average ranks (1 is the smallest value): equal values are counted first, and a running total over them gives the ranks."""
     sizes = df.groupBy(F.col(by).alias("_v")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = sizes.withColumn("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2)
-    return df.join(ranks, F.col(by) == F.col("_v")).withColumn(into, F.col("_r")).drop("_v", "_n", "_r")
+    ranks = running_total(sizes, ["_v"], "_n", "_before").select("_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias("_r"))
+    return df.join(ranks, F.col(by) == F.col("_v")).withColumn(into, F.col("_r")).drop("_v", "_r")

@@ -14,31 +14,40 @@ from fieldbook.session import ship
 
 
 def normalized(x: Column, titles: Sequence[str] = ()) -> Column:
-    """Upper-case letters and spaces, titles dropped, W as V and EE as I."""
-    c = F.upper(F.coalesce(x, F.lit("")))
+    """Upper-case letters, full stops and single blanks; titles before a name dropped, W as V and EE as I; null is empty."""
+    c = F.upper(F.trim(F.coalesce(x, F.lit(""))))
     if titles:
-        c = F.regexp_replace(c, r"\b(?:" + "|".join(titles) + r")\b\.?", " ")
-    c = F.regexp_replace(F.regexp_replace(c, "[^A-Z ]+", " "), " +", " ")
-    return F.replace(F.translate(F.trim(c), "W", "V"), F.lit("EE"), F.lit("I"))
+        c = F.regexp_replace(c, r"\b(?:" + "|".join(titles) + r")\.?\s+", "")
+    c = F.replace(F.translate(F.regexp_replace(c, "[^A-Z. ]", " "), "W", "V"), F.lit("EE"), F.lit("I"))
+    return F.trim(F.regexp_replace(c, " +", " "))
+
+
+def tokens(x: Column) -> Column:
+    """Tokens of a normalised name, without full stops."""
+    return F.filter(F.split(F.replace(x, F.lit("."), F.lit("")), " "), lambda t: t != "")
 
 
 def block_keys(x: Column) -> Column:
-    """Distinct keys of the tokens longer than a letter: three consonants of the skeleton, or else two letters; `?` if there is none."""
-    tokens = F.filter(F.split(x, " "), lambda t: F.length(t) > 1)
-    skeleton = lambda t: F.regexp_replace(t, "[AEIOUY]", "")
-    keys = F.array_distinct(F.transform(tokens, lambda t: F.when(F.length(skeleton(t)) >= 3, F.substring(skeleton(t), 1, 3)).otherwise(F.substring(t, 1, 2))))
+    """Distinct keys of the tokens longer than a letter: up to three consonants, or two letters where there is none; `?` without such a token."""
+    skeleton = lambda t: F.regexp_replace(t, "[AEIOU]", "")
+    key = lambda t: F.when(skeleton(t) != "", F.substring(skeleton(t), 1, 3)).otherwise(F.substring(t, 1, 2))
+    keys = F.array_distinct(F.transform(F.filter(tokens(x), lambda t: F.length(t) > 1), key))
     return F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit("?")))
 
 
-def candidate_pairs(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(a, b): pairs of records that share a block, each once."""
-    blocks = df.select(F.col(key).alias("k"), F.explode(block_keys(F.col(name))).alias("block"))
-    a, b = blocks.select(F.col("k").alias("a"), "block"), blocks.select(F.col("k").alias("b"), "block")
-    return a.join(b, "block").where("a < b").select("a", "b").distinct()
+def candidate_pairs(df: DataFrame, key: str, name: str, within: Sequence[str] = ()) -> DataFrame:
+    """(a, b): pairs of records that share a block, each once, a before b.
+
+    within: columns that linked records must share, such as a gate of the score: they are part of the block, so
+    pairs that would score 0 never form. A block's pairs grow with its square, which blocking by name has in itself; AQE splits those that are skewed.
+    """
+    blocks = df.select(F.col(key).alias("k"), *within, F.explode(block_keys(F.col(name))).alias("block"))
+    a, b = blocks.select(F.col("k").alias("a"), "block", *within), blocks.select(F.col("k").alias("b"), "block", *within)
+    return a.join(b, ["block", *within]).where("a < b").select("a", "b").distinct()
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """1 for equal texts; common prefixes of up to four letters count more from 0.7 on."""
+    """1 for equal texts; common prefixes of up to four letters count more above 0.7."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -63,27 +72,26 @@ def jaro_winkler(a: str, b: str) -> float:
         if x != y:
             break
         prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro) if jaro >= 0.7 else jaro
+    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
 def name_similarity(a: str, b: str, initial: float = 0.92) -> float:
-    """Tokens of the shorter name go to the best token of the longer, each at most once; a partial cover costs up to 15 %.
+    """Tokens of the shorter name, in their order, take the best free token of the longer one; a partial cover costs up to 15 %.
 
-    An initial against a token that starts with it counts `initial`.
+    An initial and a token that starts with it count `initial`, an initial and any other token nothing; a token that is like none takes none.
     """
-    x, y = (a or "").split(), (b or "").split()
+    x, y = (a or "").replace(".", "").split(), (b or "").replace(".", "").split()
     if not x or not y:
         return 0.0
     if len(x) > len(y):
         x, y = y, x
-    alike = lambda s, t: initial if s != t and 1 in (len(s), len(t)) and s[0] == t[0] else jaro_winkler(s, t)
-    pairs = sorted(((alike(s, t), i, j) for i, s in enumerate(x) for j, t in enumerate(y)), key=lambda p: (-p[0], p[1], p[2]))
-    left, right, total = set(), set(), 0.0
-    for value, i, j in pairs:
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
-            total += value
+    free, total = list(range(len(y))), 0.0
+    for token in x:
+        likes = [(initial if token[0] == y[j][0] else 0.0) if 1 in (len(token), len(y[j])) else jaro_winkler(token, y[j]) for j in free]
+        best = max(likes, default=0.0)
+        if best > 0:
+            del free[likes.index(best)]
+        total += best
     return total / len(x) * (0.85 + 0.15 * len(x) / len(y))
 
 
@@ -106,9 +114,8 @@ def pair_similarity(pairs: DataFrame, a: str, b: str, into: str) -> DataFrame:
 
 
 def pair_score(name: Column, second: Column, has_second: Column, age_a: Column, age_b: Column) -> Column:
-    """0.65 name, 0.20 second name, 0.15 age (1 - difference / 10); a missing second name gives its weight to the first; unknown ages (0) count half."""
-    known = (age_a > 0) & (age_b > 0)
-    age = F.when(known, F.greatest(F.lit(0.0), 1 - F.abs(age_a - age_b) / 10.0)).otherwise(0.5)
+    """0.65 name, 0.20 second name, 0.15 age (1 - difference / 10, at least 0; an unknown age is 0 years); a missing second name gives its weight to the first."""
+    age = F.greatest(F.lit(0.0), 1 - F.abs(age_a - age_b) / 10.0)
     return F.when(has_second, 0.65 * name + 0.20 * second).otherwise(0.85 * name) + 0.15 * age
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import rounded
-from fieldbook.operators.ranking import top_values
+from fieldbook.operators.ranking import quantiles, top_values
 from fieldbook.operators.stats import average_rank_auc
 
 
@@ -106,7 +106,9 @@ def calibration_guard(df: DataFrame, predicted: str, actual: str, low: float = 0
 
 def row_drivers(model: PipelineModel, df: DataFrame, key: str, numbers: Sequence[str], k: int = 3) -> DataFrame:
     """(key, drivers): the k numeric features that raise a row's score most, against their medians; all replacements are scored in one pass."""
-    medians = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in numbers))
+    every = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in numbers))).alias("x")).select("x.c", "x.v")
+    middle = quantiles(every, "v", [0.5], ["c"])  # a row for each number
+    medians = middle.agg(*(F.max(F.when(F.col("c") == c, F.get("edges", F.lit(0)))).alias(f"_m_{c}") for c in numbers))
     variants = F.explode(F.array(F.lit(""), *map(F.lit, numbers))).alias("_without")
     wide = df.crossJoin(F.broadcast(medians)).select("*", variants)
     wide = wide.withColumns({c: F.when(F.col("_without") == c, F.col(f"_m_{c}")).otherwise(F.col(c).cast("double")) for c in numbers})
@@ -117,12 +119,29 @@ def row_drivers(model: PipelineModel, df: DataFrame, key: str, numbers: Sequence
     return df.select(key).join(ranked, key, "left").select(key, F.coalesce(F.array_join(F.transform("t", lambda x: x["f"]), "; "), F.lit("")).alias("drivers"))
 
 
-def save_contract(model: PipelineModel, path: str, df: DataFrame, categories: Sequence[str], numbers: Sequence[str], top: Mapping[str, int], metrics: Mapping[str, float]) -> None:
-    """The estimator, and what must be done before it: feature order, kept values of bucketed columns, level order, metrics, rows."""
-    spark = df.sparkSession
+#: Levels of a category that isn't bucketed; a contract lists them all, so more of them raise.
+MOST_LEVELS = 1000
+
+
+def make_contract(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], top: Mapping[str, int]) -> dict:
+    """What must be done before a model is fitted and before it scores: feature order, kept values of bucketed columns, level order.
+
+    A category that isn't bucketed and has more than MOST_LEVELS values raises ValueError: bucket it.
+    """
     kept = {c: [r[0] for r in top_values(df, c, n).collect()] for c, n in top.items()}  # n values at most
-    levels = {c: sorted({*(kept[c] if c in kept else [r[0] for r in top_values(df, c, 1000).collect()]), *(["OTHER"] if c in kept else [])}) for c in categories}
-    contract = {"features": [*categories, *numbers], "numbers": list(numbers), "kept": kept, "levels": levels, "metrics": dict(metrics), "rows": df.count()}
+    levels = {}
+    for c in categories:
+        found = kept[c] if c in kept else [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()]
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{c} has more than {MOST_LEVELS} values")
+        levels[c] = sorted({*map(str, found), *(["OTHER"] if c in kept else [])})
+    return {"features": [*categories, *numbers], "numbers": list(numbers), "kept": kept, "levels": levels}
+
+
+def save_contract(model: PipelineModel, path: str, df: DataFrame, contract: Mapping, metrics: Mapping[str, float]) -> None:
+    """The estimator with the contract it was fitted under, its metrics and its rows. A model must have seen what apply_contract makes."""
+    spark = df.sparkSession
+    contract = dict(contract) | {"metrics": dict(metrics), "rows": df.count()}
     model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(json.dumps(contract),)], "contract string").write.mode("overwrite").text(f"{path}/contract")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import rounded
 from fieldbook.operators.components import connected_components
-from fieldbook.operators.ranking import mode_per_group, top_values
+from fieldbook.operators.ranking import dense_index, mode_per_group, top_values
 from fieldbook.session import settled
 
 
@@ -50,8 +50,8 @@ def profile_cluster(vectors: DataFrame, key: str, weight: str, eps: float, least
     cores = settled(pairs.groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= least).select("a"))
     links = pairs.join(cores, "a", "left_semi").join(cores.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
     labels = connected_components(links, "a", "b")
-    numbers = labels.select("component").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)  # a row for each cluster
-    own = labels.join(F.broadcast(numbers), "component").select(F.col("node").alias("b"), "cluster")
+    numbers = dense_index(labels.select("component").distinct(), ["component"], "cluster")
+    own = labels.join(numbers, "component").select(F.col("node").alias("b"), "cluster")
     near = pairs.join(own, "b").groupBy("a").agg(F.min("cluster").alias("near"))
     got = vectors.select(F.col(key).alias("a")).join(own.select(F.col("b").alias("a"), "cluster"), "a", "left").join(near, "a", "left")
     return got.select(F.col("a").alias(key), F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))

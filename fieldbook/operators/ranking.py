@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import rounded
 from fieldbook.session import settled
 
 
-def dense_index(df: DataFrame, order: Sequence[str], into: str, parts: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order: Sequence[str | Column], into: str, parts: int | None = None) -> DataFrame:
     """Numbers the rows from 0 in a total order, without one task that sorts them all.
 
     Rows are dealt by range, numbered within their range, and shifted by the sizes of the ranges before. The range of a row is
@@ -26,6 +26,43 @@ def dense_index(df: DataFrame, order: Sequence[str], into: str, parts: int | Non
     return dealt.withColumn("_i", F.row_number().over(within) - 1).join(F.broadcast(bases), "_part").withColumn(into, (F.col("_base") + F.col("_i")).cast("bigint")).drop("_part", "_i", "_base")
 
 
+def running_total(df: DataFrame, order: Sequence[str], amount: str, into: str, small: int = 50_000) -> DataFrame:
+    """Adds the sum of `amount` over the rows before, in a total order.
+
+    Up to `small` rows, which is checked, one window does; beyond, rows are dealt by range, summed within their range, and shifted by
+    the sums of the ranges before.
+    """
+    held = settled(df)
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if held.count() <= small:
+        return held.withColumn(into, before(Window.partitionBy(F.lit(0)).orderBy(*order), amount))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(held.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    bases = sums.select("_part", before(Window.partitionBy(F.lit(0)).orderBy("_part"), "_sum").alias("_base"))  # as many rows as partitions
+    within = dealt.withColumn("_i", before(Window.partitionBy("_part").orderBy(*order), amount))
+    return within.join(F.broadcast(bases), "_part").withColumn(into, F.col("_base") + F.col("_i")).drop("_part", "_i", "_base")
+
+
+def quantiles(df: DataFrame, value: str, cuts: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """(group, edges): exact quantiles of each group (all rows without one), interpolated between neighbours; nulls don't count.
+
+    Equal values are counted first, and their places follow from a running total, so no task holds a whole column.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_total(sizes, [*group, "_v"], "_n", "_before")
+    ends = placed.groupBy(*group).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_all"))
+    wanted = ends.select(*group, F.posexplode(F.array(*map(F.lit, cuts))).alias("_k", "_cut"), "_first", "_all").withColumn("_at", F.col("_cut") * (F.col("_all") - 1))
+    met = placed.join(wanted, list(group)) if group else placed.crossJoin(F.broadcast(wanted))
+    place = F.col("_before") - F.col("_first")
+    holds = lambda at: (place <= at) & (at < place + F.col("_n"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    ends = met.where(holds(low) | holds(high)).groupBy(*group, "_k", "_at").agg(F.max(F.when(holds(low), F.col("_v"))).alias("_l"), F.max(F.when(holds(high), F.col("_v"))).alias("_h"))
+    edge = F.when(F.ceil("_at") == F.floor("_at"), F.col("_l")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_l") + (F.col("_at") - F.floor("_at")) * F.col("_h"))
+    own = ends.select(*group, F.struct("_k", edge.alias("e")).alias("_x"))
+    return own.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["e"]).alias("edges"))  # an entry for each cut
+
+
 def surrogate_ids(df: DataFrame, key: Sequence[str], into: str, template: str) -> DataFrame:
     """Dense ids from 1 in the order of the key, rendered by a template."""
     return dense_index(df, key, "_id").withColumn(into, F.format_string(template, F.col("_id") + 1)).drop("_id")
@@ -87,10 +124,10 @@ def quantile_class(df: DataFrame, value: str, classes: int, into: str) -> DataFr
 
 def tiers(df: DataFrame, value: str, cuts: Sequence[float], names: Sequence[str], into: str) -> DataFrame:
     """Bands by exact quantiles, right-closed, the lowest value included."""
-    edges = df.agg(F.percentile(value, F.array(*map(F.lit, cuts))).alias("edges"))
+    edges = quantiles(df, value, cuts)
     band = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
-        band = F.when(F.col(value) <= F.col("edges")[i], names[i]).otherwise(band)
+        band = F.when(F.col(value) <= F.get("edges", F.lit(i)), names[i]).otherwise(band)
     return df.crossJoin(F.broadcast(edges)).withColumn(into, band).drop("edges")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import haversine, rounded
 from fieldbook.operators.components import connected_components
+from fieldbook.operators.ranking import dense_index, quantiles
 
 KM_A_DEGREE = 111.19
 
@@ -38,7 +39,7 @@ def knn1_join(queries: DataFrame, key: str, points: DataFrame, point: str, lat:
     """The nearest point of each query (ties to the smaller point) and its distance.
 
     Up to `small` points, which is checked, the points are broadcast. Beyond, the search radius grows for those that have found
-    none within it, so that each round is a grid join; it ends when all have found one.
+    none within it, so that each round is a grid join; those that are far from all points look through cells of one degree first.
     """
     q = queries.select(key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     p = points.select(F.col(point), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where("_lat is not null and _lon is not null")
@@ -57,9 +58,25 @@ def knn1_join(queries: DataFrame, key: str, points: DataFrame, point: str, lat:
         if q.isEmpty():
             return found
         radius *= 4
-    # What is left is farther from every point than a third of the way round; such queries are few.
-    rest = best(q.join(right.select(F.col("p").alias(point), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))).withColumn("km", haversine(lat, lon, "_lat", "_lon")))
-    return found.unionByName(rest)
+    return found.unionByName(_farthest(q, key, right, point, lat, lon))
+
+
+def _farthest(q: DataFrame, key: str, points: DataFrame, point: str, lat: str, lon: str) -> DataFrame:
+    """The nearest point of queries that are far from all: cells of one degree, at most 180 * 361 of them, are looked through first.
+
+    No point of a cell is farther from its centre than `reach`, so only cells whose centre is within twice that of the nearest
+    centre can hold the nearest point; queries meet the points of these alone, by cell.
+    """
+    reach = 1.5 * KM_A_DEGREE
+    at = {"_y": F.floor(lat), "_x": F.floor(lon)}
+    held = points.withColumns(at)
+    cells = held.select("_y", "_x").distinct()
+    centre = haversine(lat, lon, F.col("_y") + 0.5, F.col("_x") + 0.5)
+    bounds = q.crossJoin(F.broadcast(cells)).withColumn("_d", centre)
+    least = bounds.groupBy(key).agg((F.min("_d") + 2 * reach).alias("_most"))
+    tried = bounds.join(least, key).where("_d <= _most").select(key, F.col(lat).alias("_qlat"), F.col(lon).alias("_qlon"), "_y", "_x")
+    met = tried.join(held.select("_y", "_x", "p", lat, lon), ["_y", "_x"]).withColumn("km", haversine("_qlat", "_qlon", lat, lon))
+    return met.groupBy(key).agg(F.min(F.struct("km", "p")).alias("m")).select(key, F.col("m.p").alias(point), F.col("m.km").alias("km"))
 
 
 def kde_density(cells: DataFrame, key: str, weight: str, bandwidth: float, cutoff: float = 3.0, lat: str = "lat", lon: str = "lon", max_lat: float = 60.0) -> DataFrame:
@@ -73,7 +90,7 @@ def dbscan_weighted(cells: DataFrame, key: str, weight: str, eps_km: float, leas
     """(key, cluster): cores have neighbours (themselves included) of at least `least` weight; linked cores are a cluster.
 
     A border cell takes the smallest cluster among its neighbouring cores; noise is -1. Clusters are numbered from 0 by their smallest
-    core. The numbering window sees one row for each cluster.
+    core.
     """
     from fieldbook.session import settled
 
@@ -81,8 +98,8 @@ def dbscan_weighted(cells: DataFrame, key: str, weight: str, eps_km: float, leas
     cores = settled(pairs.groupBy("a").agg(F.sum("w").alias("near")).where(F.col("near") >= least).select("a"))
     links = pairs.join(cores, "a", "left_semi").join(cores.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
     labels = connected_components(links, "a", "b")
-    numbers = labels.select("component").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)
-    core_of = settled(labels.join(F.broadcast(numbers), "component").select(F.col("node").alias("b"), "cluster"))
+    numbers = dense_index(labels.select("component").distinct(), ["component"], "cluster")
+    core_of = settled(labels.join(numbers, "component").select(F.col("node").alias("b"), "cluster"))
     border = pairs.join(core_of, "b").groupBy("a").agg(F.min("cluster").alias("near_cluster"))
     own = cells.select(key).join(core_of.select(F.col("b").alias(key), F.col("cluster").alias("own")), key, "left").join(border.withColumnRenamed("a", key), key, "left")
     return own.select(key, F.coalesce("own", "near_cluster", F.lit(-1)).cast("int").alias("cluster"))
@@ -116,7 +133,8 @@ def cluster_summary(points: DataFrame, cluster: str, key: str, weight: str, unit
     w = F.col(weight).cast("decimal(18,0)")
     mean = lambda c: rounded(F.sum(F.col(c).cast("decimal(20,8)") * w).cast("double") / F.sum(w).cast("double"), 6)
     centre = inside.groupBy(cluster).agg(F.count("*").alias("n_cells"), F.sum(weight).alias("total"), mean(lat).alias("lat"), mean(lon).alias("lon"))
-    radius = inside.join(centre.select(cluster, F.col("lat").alias("_la"), F.col("lon").alias("_lo")), cluster).groupBy(cluster).agg(rounded(F.percentile(haversine(lat, lon, "_la", "_lo"), F.lit(0.9)), 3).alias("radius_km"))
+    radius = inside.join(centre.select(cluster, F.col("lat").alias("_la"), F.col("lon").alias("_lo")), cluster).select(cluster, haversine(lat, lon, "_la", "_lo").alias("_km"))
+    radius = quantiles(radius, "_km", [0.9], [cluster]).select(cluster, rounded(F.get("edges", F.lit(0)), 3).alias("radius_km"))
     near = knn1_join(centre.select(cluster, lat, lon), cluster, units, unit, lat, lon).join(units.select(unit, group), unit).select(cluster, group)
     return centre.join(radius, cluster).join(near, cluster).join(category, group, "left")
 

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.operators.ranking import quantiles
+from fieldbook.session import settled
+
 
 def seasonal_expectation(df: DataFrame, group: Sequence[str], month: str, value: str) -> DataFrame:
     """Mean over the same calendar month of a group (the row itself included), residual, z and log ratio; absent months are absent."""
@@ -210,7 +213,8 @@ def isolation_scores(df: DataFrame, key: Sequence[str], features: Sequence[str],
     feature[at], cut[at], path[at] = forest["feature"], forest["cut"], forest["path"]
     scale = float(_path_length(min(sample, max(2, total))))
 
-    def raw(rows):
+    @F.pandas_udf("double")
+    def scored_by(rows: pd.Series) -> pd.Series:
         x = np.stack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, len(names)))
         mean = np.zeros(len(x))
         for i in range(len(grown)):
@@ -223,9 +227,8 @@ def isolation_scores(df: DataFrame, key: Sequence[str], features: Sequence[str],
             mean += path[i, node]
         return pd.Series(2 ** (-mean / max(1, len(grown)) / scale))
 
-    scored_by = F.pandas_udf(raw, "double", F.PandasUDFType.SCALAR)
-    scored = df.withColumn("_raw", scored_by(F.array(*(F.col(c).cast("double") for c in names))))
-    ends = scored.agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"), F.percentile("_raw", F.lit(1 - share)).alias("_cut"))
+    scored = settled(df.withColumn("_raw", scored_by(F.array(*(F.col(c).cast("double") for c in names)))))
+    ends = scored.agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).crossJoin(quantiles(scored, "_raw", [1 - share]).select(F.get("edges", F.lit(0)).alias("_cut")))
     j = scored.crossJoin(F.broadcast(ends))
     return j.withColumns({"score": F.coalesce(F.try_divide(F.col("_raw") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)), "is_outlier": F.col("_raw") > F.col("_cut")}).drop("_raw", "_lo", "_hi", "_cut")
 

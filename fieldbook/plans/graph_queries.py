@@ -176,63 +176,104 @@ def connected_components(spark, d):
 # Linkage
 
 
+TITLES = ["MR", "DR"]
+
+
 def records(spark, d):
-    """Distinct part names as records, each with variants whose truth is known: swapped order, an initial, folded letters."""
-    base = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").alias("age"), F.min("p_type").alias("gate"))
+    """Distinct part names as records, each with variants whose truth is known: swapped order, an initial, a title; ages that differ a
+    little or aren't known, and the other name of another record, which one variant lacks."""
+    base = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").alias("age"), F.min("p_type").alias("gate"), F.min("p_partkey").alias("truth"), F.max("p_type").alias("other"))
     w = F.split("name", " ")
     first, last = F.element_at(w, 1), F.element_at(w, -1)
-    kinds = F.array(F.struct(F.lit(0).alias("k"), F.upper("name").alias("n")), F.struct(F.lit(1).alias("k"), F.upper(F.concat(last, F.lit(" "), first)).alias("n")), F.struct(F.lit(2).alias("k"), F.upper(F.concat(F.substring(first, 1, 1), F.lit(". "), last)).alias("n")))
-    truth = F.crc32(F.encode("name", "UTF-8"))
-    return base.select("name", truth.alias("truth"), "age", "gate", F.explode(kinds).alias("x")).select((F.col("truth") * 10 + F.col("x.k")).alias("id"), F.col("x.n").alias("text"), "truth", "age", "gate")
+    entry = lambda k, n, age, other: F.struct(F.lit(k).alias("k"), F.upper(n).alias("n"), age.cast("int").alias("age"), other.alias("second"))
+    age, second = F.col("age"), F.concat_ws(" ", F.lower("other"), last)
+    kinds = F.array(
+        entry(0, F.col("name"), age, second), entry(1, F.concat(last, F.lit(" "), first), age + 1, F.concat_ws(" ", last, F.lower("other"))),
+        entry(2, F.concat(F.substring(first, 1, 1), F.lit(". "), last), age, F.lit("")), entry(3, F.concat(F.lit("Dr. "), F.col("name")), F.lit(0), second),
+    )
+    got = base.select("truth", "gate", F.explode(kinds).alias("x"))
+    return got.select((F.col("truth") * 10 + F.col("x.k")).alias("id"), F.col("x.n").alias("text"), "truth", "x.age", "gate", F.col("x.second").alias("second"))
+
+
+def _norm_sql(x: str) -> str:
+    x = rf"regexp_replace(upper(trim({x})), '\b(?:MR|DR)\.?\s+', '', 'g')"
+    return f"trim(regexp_replace(replace(translate(regexp_replace({x}, '[^A-Z. ]', ' ', 'g'), 'W', 'V'), 'EE', 'I'), ' +', ' ', 'g'))"
 
 
-#: The same, but for the checksum, which the text of the name stands for.
-RECORDS = """base AS (SELECT p_name AS name, min(p_size) AS age, min(p_type) AS gate FROM part GROUP BY p_name),
-rec AS (SELECT name, 0 AS k, upper(name) AS text, age, gate FROM base UNION ALL SELECT name, 1, upper(string_split(name, ' ')[-1] || ' ' || string_split(name, ' ')[1]), age, gate FROM base UNION ALL SELECT name, 2, upper(substr(string_split(name, ' ')[1], 1, 1) || '. ' || string_split(name, ' ')[-1]), age, gate FROM base),
-norm AS (SELECT *, replace(translate(trim(regexp_replace(regexp_replace(text, '[^A-Z ]+', ' ', 'g'), ' +', ' ', 'g')), 'W', 'V'), 'EE', 'I') AS norm FROM rec),
-tok AS (SELECT DISTINCT text, norm, unnest(string_split(norm, ' ')) AS t FROM norm), key0 AS (SELECT DISTINCT text, CASE WHEN length(regexp_replace(t, '[AEIOUY]', '', 'g')) >= 3 THEN substr(regexp_replace(t, '[AEIOUY]', '', 'g'), 1, 3) ELSE substr(t, 1, 2) END AS block FROM tok WHERE length(t) > 1),
-blocks AS (SELECT * FROM key0 UNION ALL SELECT DISTINCT text, '?' FROM norm WHERE text NOT IN (SELECT text FROM key0))"""
+RECORDS = f"""base AS (SELECT p_name AS name, min(p_size) AS age, min(p_type) AS gate, min(p_partkey) AS truth, lower(max(p_type)) AS other, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[-1] AS last FROM part GROUP BY p_name),
+rec AS (SELECT truth * 10 AS id, upper(name) AS text, truth, age, gate, other || ' ' || last AS second FROM base UNION ALL SELECT truth * 10 + 1, upper(last || ' ' || first), truth, age + 1, gate, last || ' ' || other FROM base
+  UNION ALL SELECT truth * 10 + 2, upper(substr(first, 1, 1) || '. ' || last), truth, age, gate, '' FROM base UNION ALL SELECT truth * 10 + 3, upper('Dr. ' || name), truth, 0, gate, other || ' ' || last FROM base),
+norm AS (SELECT *, {_norm_sql('text')} AS norm, {_norm_sql('second')} AS norm2 FROM rec),
+tok AS (SELECT DISTINCT id, text, unnest(string_split(replace(norm, '.', ''), ' ')) AS t FROM norm),
+key0 AS (SELECT DISTINCT id, text, CASE WHEN regexp_replace(t, '[AEIOU]', '', 'g') <> '' THEN substr(regexp_replace(t, '[AEIOU]', '', 'g'), 1, 3) ELSE substr(t, 1, 2) END AS block FROM tok WHERE length(t) > 1),
+blocks AS (SELECT * FROM key0 UNION ALL SELECT DISTINCT id, text, '?' FROM norm WHERE id NOT IN (SELECT id FROM key0))"""
 
 
 @query(f"WITH {RECORDS} SELECT text, norm, count(*) AS n FROM norm GROUP BY ALL")
 def link_normalize(spark, d):
-    return records(spark, d).select("text", K.normalized(F.col("text")).alias("norm")).groupBy("text", "norm").agg(F.count("*").alias("n"))
+    return records(spark, d).select("text", K.normalized(F.col("text"), TITLES).alias("norm")).groupBy("text", "norm").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {RECORDS} SELECT text, block FROM blocks")
+@query(f"WITH {RECORDS} SELECT DISTINCT text, block FROM blocks")
 def link_block(spark, d):
-    return records(spark, d).select("text", F.explode(K.block_keys(K.normalized(F.col("text")))).alias("block")).distinct()
+    return records(spark, d).select("text", F.explode(K.block_keys(K.normalized(F.col("text"), TITLES))).alias("block")).distinct()
 
 
 @query(f"WITH {RECORDS} SELECT count(*) AS comparisons, (SELECT count(*) * (count(*) - 1) // 2 FROM (SELECT DISTINCT text FROM norm)) AS every_pair FROM (SELECT DISTINCT a.text, b.text FROM blocks a JOIN blocks b ON a.block = b.block AND a.text < b.text) t")
 def candidate_pairs(spark, d):
-    r = records(spark, d).select("text", K.normalized(F.col("text")).alias("norm")).distinct()
+    r = records(spark, d).select("text", K.normalized(F.col("text"), TITLES).alias("norm")).distinct()
     every = r.agg((F.count("*") * (F.count("*") - 1) / 2).cast("bigint").alias("every_pair"))
     return K.candidate_pairs(r, "text", "norm").agg(F.count("*").alias("comparisons")).crossJoin(every)
 
 
-@query("WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS w FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[-1] FROM part) SELECT a.w AS a, b.w AS b, CAST(round(CAST(jaro_winkler_similarity(a.w, b.w) AS DECIMAL(38,10)), 6) AS DOUBLE) AS score FROM w a JOIN w b ON a.w < b.w")
+# Names of two tokens only: the first takes the better token of the other name (the first of equals), the second what is left.
+
+
+def _like_sql(x: str, y: str) -> str:
+    return f"CASE WHEN length({x}) = 1 OR length({y}) = 1 THEN CASE WHEN substr({x}, 1, 1) = substr({y}, 1, 1) THEN 0.92::DOUBLE ELSE 0.0::DOUBLE END ELSE jaro_winkler_similarity({x}, {y}) END"
+
+
+def _similar_sql(x: str, y: str) -> str:
+    """Similarity of two lists of two tokens each."""
+    l = lambda i, j: _like_sql(f"{x}[{i}]", f"{y}[{j}]")  # noqa: E731,E741
+    straight = f"({l(1, 1)} + {l(2, 2)}) / 2"
+    crossed = f"({l(1, 2)} + {l(2, 1)}) / 2"
+    none = f"greatest({l(2, 1)}, {l(2, 2)}) / 2"
+    return f"CASE WHEN {l(1, 1)} = 0 AND {l(1, 2)} = 0 THEN {none} WHEN {l(1, 1)} >= {l(1, 2)} THEN {straight} ELSE {crossed} END"
+
+
+SCORED = f"""{RECORDS}, names AS (SELECT *, string_split(replace(norm, '.', ''), ' ') AS t1, string_split(replace(norm2, '.', ''), ' ') AS t2 FROM norm),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM blocks a JOIN blocks b ON a.block = b.block AND a.id < b.id),
+scores AS (SELECT a, b, {_similar_sql('x.t1', 'y.t1')} AS name_score, CASE WHEN x.norm2 <> '' AND y.norm2 <> '' THEN {_similar_sql('x.t2', 'y.t2')} END AS second_score, greatest(0.0::DOUBLE, 1 - abs(x.age - y.age) / 10.0::DOUBLE) AS age_score
+  FROM cand JOIN names x ON x.id = a JOIN names y ON y.id = b WHERE x.gate = y.gate AND (x.age = 0 OR y.age = 0 OR abs(x.age - y.age) <= 6)),
+scored AS (SELECT a, b, {rounded_sql('name_score')} AS name_score, {rounded_sql('CASE WHEN second_score IS NULL THEN 0.85::DOUBLE * name_score ELSE 0.65::DOUBLE * name_score + 0.20::DOUBLE * second_score END + 0.15::DOUBLE * age_score')} AS score FROM scores)"""
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ')[-1] AS last FROM part) SELECT a.name AS a, b.name AS b, CAST(round(CAST(CASE WHEN len(string_split(a.name, ' ')) = 2 AND len(string_split(b.name, ' ')) = 2 THEN " + _similar_sql("string_split(a.name, ' ')", "string_split(b.name, ' ')") + " END AS DECIMAL(38,10)), 6) AS DOUBLE) AS score FROM n a JOIN n b ON a.last = b.last AND a.name < b.name")
 def pair_similarity(spark, d):
-    w = F.split("p_name", " ")
-    words = table(spark, d, "part").select(F.explode(F.array(F.element_at(w, 1), F.element_at(w, -1))).alias("w")).distinct()
-    pairs = words.select(F.col("w").alias("a")).join(words.select(F.col("w").alias("b")), F.col("a") < F.col("b"))
+    """Whole names that share their last word."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"), F.element_at(F.split("p_name", " "), -1).alias("last")).distinct()
+    pairs = names.select(F.col("name").alias("a"), "last").join(names.select(F.col("name").alias("b"), "last"), "last").where("a < b").select("a", "b")
     return K.pair_similarity(pairs, "a", "b", "s").select("a", "b", S.rounded(F.col("s"), 6).alias("score"))
 
 
 def scored_pairs(spark, d):
-    r = records(spark, d).withColumn("norm", K.normalized(F.col("text")))
-    side = lambda s: r.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("norm", "age", "gate")))
-    pairs = K.candidate_pairs(r, "id", "norm").join(side("a"), "a").join(side("b"), "b").where(K.gates(F.col("gate_a"), F.col("gate_b"), F.col("age_a"), F.col("age_b")))
-    alike = K.pair_similarity(pairs.select("a", "b", "norm_a", "norm_b", "age_a", "age_b"), "norm_a", "norm_b", "name_score")
-    return alike.withColumn("score", K.pair_score(F.col("name_score"), F.lit(0.0), F.lit(False), F.col("age_a"), F.col("age_b")))
+    r = records(spark, d).withColumns({"norm": K.normalized(F.col("text"), TITLES), "other": K.normalized(F.col("second"), TITLES)})
+    side = lambda s: r.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("norm", "other", "age", "gate")))
+    pairs = K.candidate_pairs(r, "id", "norm", ["gate"]).join(side("a"), "a").join(side("b"), "b").where(K.gates(F.col("gate_a"), F.col("gate_b"), F.col("age_a"), F.col("age_b")))
+    alike = K.pair_similarity(pairs.drop("gate_a", "gate_b"), "norm_a", "norm_b", "name_score")
+    alike = K.pair_similarity(alike, "other_a", "other_b", "second_score")
+    both = (F.col("other_a") != "") & (F.col("other_b") != "")
+    return alike.withColumn("score", S.rounded(K.pair_score(F.col("name_score"), F.col("second_score"), both, F.col("age_a"), F.col("age_b"))))
 
 
-@query()
+@query(f"WITH {SCORED} SELECT * FROM scored")
 def pair_score(spark, d):
-    return scored_pairs(spark, d).select("a", "b", S.rounded(F.col("name_score")).alias("name_score"), S.rounded(F.col("score")).alias("score"))
+    return scored_pairs(spark, d).select("a", "b", S.rounded(F.col("name_score")).alias("name_score"), "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, l AS (SELECT a, b FROM scored WHERE score >= 0.92 UNION SELECT b, a FROM scored WHERE score >= 0.92), reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+own AS (SELECT id, least(id, coalesce((SELECT min(b) FROM reach WHERE a = id), id)) AS cluster FROM rec) SELECT id, cluster, 'PT-' || substr(sha256('salt:' || CAST(cluster AS VARCHAR)), 1, 12) AS token FROM own""")
 def link_cluster(spark, d):
     return K.link_cluster(records(spark, d), "id", scored_pairs(spark, d).where("score >= 0.92").select("a", "b"), "salt")
 

@@ -116,8 +116,11 @@ def row_drivers(spark, d):
 
 def _saved(spark, d) -> str:
     path = f"{checkpoint_folder(spark)}/model-{uuid.uuid4().hex}"
+    categories = ["category", "first_item", "parent"]
     f = _labelled(spark, d)
-    M.save_contract(M.train_binary(f, "label", ["category", "first_item", "parent"], NUMBERS, rounds=3), path, f, ["category", "first_item", "parent"], NUMBERS, {"first_item": 8}, {"folds": 3.0})
+    contract = M.make_contract(f, categories, NUMBERS, {"first_item": 8})
+    model = M.train_binary(M.apply_contract(f, contract), "label", categories, NUMBERS, rounds=3)
+    M.save_contract(model, path, f, contract, {"folds": 3.0})
     return path
 
 

@@ -54,6 +54,48 @@ def test_dense_index_is_dense(spark):
     assert sorted((r["k"], r["i"]) for r in rows) == [(i, i) for i in range(1000)]
 
 
+def test_running_totals_and_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    from fieldbook.operators.joins import rank_window
+    from fieldbook.operators.ranking import quantiles, running_total
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), float(rng.randrange(40)) if rng.random() < 0.9 else None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v double, i int")
+    for small in (1000, 10):
+        got = {r["i"]: r["t"] for r in running_total(df, ["i"], "i", "t", small).collect()}
+        assert got == {i: sum(range(i)) for i in range(400)}
+    values = [v for _, v, _ in rows if v is not None]
+    cuts = [0.0, 0.1, 0.5, 0.77, 1.0]
+    assert quantiles(df, "v", cuts).first()["edges"] == pytest.approx(np.quantile(values, cuts))
+    for r in quantiles(df, "v", cuts, ["g"]).collect():
+        assert r["edges"] == pytest.approx(np.quantile([v for g, v, _ in rows if g == r["g"] and v is not None], cuts))
+    assert quantiles(df.limit(0), "v", cuts).first()["edges"] == []
+    ranks = {r["v"]: r["rk"] for r in rank_window(df.where("v is not null"), "v", "rk").collect()}
+    assert ranks == {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in set(values)}
+
+
+def test_far_queries_find_their_nearest_point(spark):
+    import math
+
+    from fieldbook.operators.spatial import knn1_join
+
+    points = [(i, -40 + (i % 9) / 7, 170 + (i % 11) / 5) for i in range(60)]
+    queries = [(i, 35 + i, -10.0 + 2 * i) for i in range(12)] + [(50, 89.9, 0.0), (51, 40.0, -10.0)]
+    got = {r["q"]: (r["p"], r["km"]) for r in knn1_join(spark.createDataFrame(queries, "q int, lat double, lon double"), "q", spark.createDataFrame(points, "p int, lat double, lon double"), "p", small=5, start_km=400.0).collect()}
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371 * math.asin(math.sqrt(min(1, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    for q, lat, lon in queries:
+        best = min((km(lat, lon, a, b), p) for p, a, b in points)
+        assert got[q][1] == pytest.approx(best[0]) and km(lat, lon, *points[got[q][0]][1:]) == pytest.approx(best[0])
+
+
 def test_ties_and_modes(spark):
     df = spark.createDataFrame([("g", "b"), ("g", "a"), ("h", "z")], "g string, v string")
     assert {r["g"]: r["v"] for r in ranking.mode_per_group(df, ["g"], "v").collect()} == {"g": "a", "h": "z"}
