@@ -42,7 +42,7 @@ FLUSH = 1_000_000
 #: A shingle in this share of the sets of a flush, and in so many at least, is frequent there.
 FREQUENT_SHARE, FREQUENT_SETS = 0.01, 32
 #: Turns of comparing sets with hubs, and the most sets of a shingle whose open pairs are compared one by one.
-HUB_TURNS, RARE = 3, 32
+HUB_TURNS, RARE = 2, 32
 #: Rows that meet one copy of a hub.
 _HUB_ROWS = 1000
 #: Stands for the count of sets of a shingle that is frequent in some flush.
@@ -332,21 +332,32 @@ def _open(marked: DataFrame, turn: int) -> DataFrame:
     return written(found.where("low < high").select("gram", "n", "hub"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: these join components, so only as many rows as there are links go through the rounds."""
+    own = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    ends = links.join(own("src"), "src", "left").join(own("dst"), "dst", "left").select("src", "dst", F.coalesce("src_c", "src").alias("a"), F.coalesce("dst_c", "dst").alias("b"))
+    ends = written(ends.where("a <> b"))
+    if ends.isEmpty():
+        return labels
+    joined = connected_components(ends, "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    nodes = labels.union(ends.select("src", "a")).union(ends.select("dst", "b")).toDF("node", "was").distinct()
+    return written(spread_join(nodes, joined, "was", hot_keys(labels, "component"), "left").select("node", F.coalesce("now", "was").alias("component")))
+
+
 def _links_of_sets(sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """(node, component) of the sets that link with others."""
     postings = written(sets.select("sig", "n_prefix", "grams").mapInArrow(_postings, "gram bigint, sig bigint"))
     often = hot_keys(postings, "gram")
     marked = postings.withColumn("c", F.col("sig"))
-    links = postings.select(F.col("sig").alias("src"), F.col("sig").alias("dst")).limit(0)
-    labels = links.toDF("node", "component")
+    labels = postings.select(F.col("sig").alias("node"), F.col("sig").alias("component")).limit(0)
     for turn in range(HUB_TURNS + 1):
         left = _open(marked, turn)
         todo = left.where(F.col("n") > RARE) if turn else left
         if turn == HUB_TURNS or todo.isEmpty():
             break
         pairs = written(spread_join(marked, todo.select("gram", "hub"), "gram", often).where("c <> hub.c").select("hub.sig", "sig").toDF("hub", "sig").distinct())
-        links = links.union(written(_verified(pairs, sets, percent)))
-        labels = connected_components(links)
+        links = written(_verified(pairs, sets, percent))
+        labels = _merged(labels, links) if turn else connected_components(links)
         marked = written(_labelled(postings, labels))
     if left.isEmpty():
         return labels
@@ -354,14 +365,14 @@ def _links_of_sets(sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
     held = few.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("sig", "c"))).alias("own"))  # RARE entries at most
     both = held.select("own", F.posexplode("own").alias("at", "hub")).select("hub", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("other"))
     pairs = written(both.where("hub.c <> other.c").select("hub.sig", "other.sig").toDF("hub", "sig").distinct())
-    links = links.union(written(_verified(pairs, sets, percent)))
+    links = written(_verified(pairs, sets, percent))
     frequent = left.where(F.col("n") > RARE)
     if not frequent.isEmpty():
         hubs = spread_join(marked, frequent.select("gram", F.col("hub.sig").alias("hub")), "gram", often)
         groups = connected_components(hubs.select("sig", "hub").distinct(), "sig", "hub")
         known = marked.groupBy("sig").agg(F.min("c").alias("c"))
         links = links.union(written(_paired(sets.join(known, "sig"), groups, percent, block_rows).groupBy("task").applyInArrow(_with_cells(percent), "src bigint, dst bigint")))
-    return connected_components(links)
+    return _merged(labels, links)
 
 
 def _paired(sets: DataFrame, groups: DataFrame, percent: int, block_rows: int) -> DataFrame:
