@@ -263,7 +263,11 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encoded, and decoded again from the ids."""
+    """(id, n_tokens, ids_sha256, decoded_sha256): encoded, and decoded again from the ids.
+
+    Null and empty texts have no tokens; repeated rows and null ids stay; very long texts are encoded whole; an empty table gives an
+    empty result; other columns don't matter.
+    """
     made = bpe_round_trip(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, pattern)
     written = F.sha2(F.encode(F.concat_ws(",", F.col("ids").cast("array<string>")), "UTF-8"), 256)
     return made.select(F.col("id").alias(id_col), F.size("ids").cast("bigint").alias("n_tokens"), written.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -257,7 +257,8 @@ def _muxed(docs: DataFrame, id_col: str, text_col: str, back: bool) -> DataFrame
 
 
 def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every text as a transport stream; null is empty. Repeated rows and null ids stay; other columns don't matter."""
+    """(id, n_bytes, media): every text as a transport stream, however long; null is empty. Repeated rows and null ids stay; an empty
+    table gives an empty result; other columns don't matter."""
     return _muxed(docs, id_col, text_col, False)
 
 

@@ -128,18 +128,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out("id") & F.col("id").isNotNull())
     # Bounded by sample_rows, so that it may be broadcast.
     chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_described(utf8(batch.column(1))).tolist(), pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_described(utf8(batch.column(2))).tolist(), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    rows = texts.mapInArrow(run, "y int, x array<double>").orderBy("x", "y").limit(sample_rows).collect()
+    # Ids that repeat may bring more rows than ids; a hash chooses among them, too.
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = texts.mapInArrow(run, f"id {kind}, y int, x array<double>").orderBy(F.xxhash64("id", "x"), "id", "x", "y").limit(sample_rows).select("y", "x").collect()
     return fit(np.array([r["x"] for r in rows], np.float64).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], np.float64))
 
 
 def score(docs: DataFrame, trees: Trees, text_col: str = "text", into: str = "score") -> DataFrame:
-    """Adds the probability of label 1 to every row, from its whole text; null and empty texts get a score too. A column of that name is replaced."""
+    """Adds the probability of label 1 to every row, from its whole text, however long; null and empty texts get a score too, equal texts the same.
+
+    A column of that name is replaced; an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c != into or c == text_col]
     at = kept.index(text_col)
@@ -157,7 +162,8 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", into: str = "sc
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
     """(id, held_out, score, predicted) for every row. Ids, languages, sources and labels are no inputs of a score.
 
-    Repeated rows get equal scores; a null id counts as an empty one for held_out. Without labels every score is 0.5.
+    Repeated rows get equal scores; a null id counts as an empty one for held_out. Without labels every score is 0.5. An empty table
+    gives an empty result; very long texts are scored whole; other columns don't matter.
     """
     trees = learn(docs, labels, id_col, text_col)
     scored = score(docs.select(id_col, F.col(text_col).alias("_text")), trees, "_text")

@@ -3,7 +3,8 @@
 Every window of `width` consecutive words gets a Rabin-Karp hash, rolled over the 64-bit hashes of its words.
 A map task settles what it can by itself: of the rows that it gathered, only the smallest id that starts a window
 must still ask the others, so a passage that a third of all rows share is sent once for each flush of a task.
-The rest goes out in blocks by hash, where Spark counts each window's documents and finds the smallest id. Windows
+The rest goes out in blocks by hash. Spark deals, shuffles and groups the blocks; within a block's group the windows are counted by sorting
+arrays, for rows of single windows would take more than the disk that the check allows (4 times the input). Windows
 that repeat go back to their documents and merge into maximal removal intervals of words.
 
 Windows are equal if their 64-bit hashes are: 61 bits or more of them are compared.
@@ -214,7 +215,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if a window of `width` words that covers it also starts in a row with a smaller id; windows are
     judged on the input. Words are runs of anything but ASCII white space, unchanged. Null and empty texts have no words
     and keep an empty text. Rows that share an id never remove each other's words; a row with a null id is left whole
-    and removes nothing. With `whole`, texts that lose nothing stay as they are, white space and nulls too. Columns of docs
+    and removes nothing. An empty table gives an empty result; very long texts are handled whole. With `whole`, texts that lose nothing stay as they are, white space and nulls too. Columns of docs
     other than these don't matter; kept ones may have any names, and come first, in their order.
     """
     keep = [id_col] if keep is None else keep
