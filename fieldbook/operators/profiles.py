@@ -15,13 +15,17 @@ from fieldbook.operators.ranking import dense_index, mode_per_group, top_values
 from fieldbook.session import settled
 
 
-def signatures(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
-    """Distinct combinations of the columns (rare values OTHER) with their number of rows and an id."""
+def bucketed(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
+    """Rare values of the columns become OTHER; adds `signature`, which names the combination."""
     for c, n in columns.items():
         kept = top_values(df, c, n).withColumn("_kept", F.lit(True))
         df = df.join(F.broadcast(kept), c, "left").withColumn(c, F.when(F.col("_kept"), F.col(c)).otherwise("OTHER")).drop("_kept")
-    got = df.groupBy(*columns).agg(F.count("*").alias("w"))
-    return got.withColumn("signature", F.xxhash64(*columns))
+    return df.withColumn("signature", F.xxhash64(*columns))
+
+
+def signatures(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
+    """Distinct combinations of the bucketed columns with their number of rows and an id."""
+    return bucketed(df, columns).groupBy(*columns, "signature").agg(F.count("*").alias("w"))
 
 
 def profile_vectors(sigs: DataFrame, weights: Mapping[str, float], size: int = 5) -> DataFrame:

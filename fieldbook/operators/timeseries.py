@@ -244,10 +244,11 @@ def injected_recall(df: DataFrame, group: Sequence[str], t: str, month: str, val
     """One row: how many of the rows that were multiplied (by 3 to 6, chosen by hash) the rule finds again."""
     from fieldbook.functions.scalars import rounded
 
-    h = F.xxhash64(F.lit(seed), *group, t)
+    # A hash that other engines have too.
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *group, t).cast("binary")), 1, 8), 16, 10).cast("bigint")
     picked = (F.col(value) >= least) & (F.pmod(h, F.lit(every)) == 0)
-    factor = 3 + F.pmod(F.shiftright(h, 16), F.lit(301)) / 100
-    changed = df.withColumn("_picked", picked).withColumn(value, F.when(picked, F.round(F.col(value) * factor)).otherwise(F.col(value)).cast("bigint"))
+    percent = 300 + F.pmod(F.shiftright(h, 16), F.lit(301))
+    changed = df.withColumn("_picked", picked).withColumn(value, F.when(picked, F.floor((F.col(value) * percent + 50) / 100)).otherwise(F.col(value)).cast("bigint"))
     scored = seasonal_expectation(changed, group, month, value).where("_picked")
     found = anomaly_rule(value, "expected", "residual", "z", z_cut=2.0, ratio_cut=1.8)
     return scored.agg(F.count("*").alias("n_injected"), F.count_if(found).alias("n_found"), F.coalesce(rounded(F.avg(found.cast("int"))), F.lit(0.0)).alias("recall"))

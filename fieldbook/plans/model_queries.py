@@ -124,10 +124,12 @@ def _saved(spark, d) -> str:
     return path
 
 
-@query()
+@query(f"""WITH {MODEL}, known AS (SELECT * FROM mt WHERE status IN ('F', 'O')), top AS (SELECT first_item FROM known GROUP BY first_item ORDER BY count(*) DESC, first_item LIMIT 8)
+SELECT status, count(*) AS n, 'category; first_item; parent; month; dow; n_items' AS features, (SELECT count(*) FROM known) AS model_rows, (SELECT string_agg(x, '; ' ORDER BY x) FROM (SELECT first_item AS x FROM top UNION ALL SELECT 'OTHER')) AS levels FROM mt GROUP BY status""")
 def save_contract(spark, d):
     c = M.read_contract(spark, _saved(spark, d))
-    return features(spark, d).groupBy("status").agg(F.count("*").alias("n")).withColumn("features", F.lit("; ".join(c["features"]))).withColumn("model_rows", F.lit(c["rows"]))
+    told = {"features": F.lit("; ".join(c["features"])), "model_rows": F.lit(c["rows"]).cast("bigint"), "levels": F.lit("; ".join(c["levels"]["first_item"]))}
+    return features(spark, d).groupBy("status").agg(F.count("*").alias("n")).withColumns(told)
 
 
 CONTRACT = {"features": ["item", "kind", "quantity"], "numbers": ["quantity"], "kept": {"item": ["Brand#11", "Brand#12"]}, "levels": {"item": ["Brand#11", "Brand#12", "OTHER"], "kind": ["ECONOMY", "PROMO"]}}
@@ -165,23 +167,41 @@ def matched_benchmark(spark, d):
 # Profiles
 
 
+SIGNED = {"category": 5, "segment": 5, "status": 3, "grp": 12}
+
+
 def _sigs(spark, d):
-    return P.signatures(cases(spark, d).select("category", "segment", "status", "grp"), {"category": 5, "segment": 5, "status": 3, "grp": 12})
+    return P.signatures(cases(spark, d).select(*SIGNED), SIGNED)
 
 
 WEIGHTS = {"category": 3.0, "segment": 2.0, "status": 1.0, "grp": 1.0}
 
 
-@query()
+def _kept_sql(c: str, n: int) -> str:
+    return f"CASE WHEN {c} IN (SELECT {c} FROM cases GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT {n}) THEN {c} ELSE 'OTHER' END AS {c}"
+
+
+@query(f"WITH {CASES}, s AS (SELECT {_kept_sql('category', 5)}, {_kept_sql('segment', 5)}, {_kept_sql('status', 3)}, {_kept_sql('grp', 12)} FROM cases) SELECT category, segment, status, grp, count(*) AS w, CAST(5 AS INT) AS size FROM s GROUP BY ALL")
 def profile_vectors(spark, d):
+    """The components themselves have no sign; the row set, the weights and the sizes are compared."""
     v = P.profile_vectors(_sigs(spark, d), WEIGHTS)
-    return v.select("signature", "w", F.size("vector").alias("size"), S.rounded(F.abs(F.col("vector")[0]), 6).alias("first"))
+    return v.select("category", "segment", "status", "grp", "w", F.size("vector").alias("size"))
+
+
+def _clustered(spark, d):
+    return P.profile_cluster(P.profile_vectors(settled(_sigs(spark, d)), WEIGHTS), "signature", "w", 0.8, 60)
 
 
 @query()
 def profile_cluster(spark, d):
-    v = P.profile_vectors(_sigs(spark, d), WEIGHTS)
-    return P.profile_cluster(v, "signature", "w", 0.8, 60)
+    return _clustered(spark, d)
+
+
+@query()
+def profile_report(spark, d):
+    """The clusters that profile_cluster finds, described by their cases."""
+    rows = P.bucketed(cases(spark, d).select(*SIGNED), SIGNED).join(_clustered(spark, d), "signature")
+    return P.profile_describe(rows, "cluster", "category", ["segment", "status"], "grp")
 
 
 @query(f"""WITH {CASES}, c AS (SELECT CAST(unit_id % 4 AS INT) - 1 AS cluster, category, segment, status, grp FROM cases), k AS (SELECT * FROM c WHERE cluster >= 0),

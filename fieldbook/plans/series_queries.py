@@ -131,7 +131,11 @@ def isolation_forest(spark, d):
     return _rounded(T.isolation_scores(_scored(spark, d).select("grp", "year", "month", "z", "log_ratio"), ["grp", "year", "month"], ["z", "log_ratio"]), "z", "log_ratio", "score")
 
 
-@query()
+@query(f"""WITH {MONTHLY}, hashed AS (SELECT grp, month, n, CAST('0x' || substr(md5(concat_ws('|', '42', grp, CAST(year * 12 + month - 1 AS VARCHAR))), 1, 8) AS BIGINT) AS h FROM gm),
+changed AS (SELECT grp, month, n >= 5 AND h % 20 = 0 AS picked, CASE WHEN n >= 5 AND h % 20 = 0 THEN (n * (300 + (h // 65536) % 301) + 50) // 100 ELSE n END AS n FROM hashed),
+again AS (SELECT *, avg(n) OVER w AS expected, coalesce(stddev_samp(n) OVER w, 0) AS std FROM changed WINDOW w AS (PARTITION BY grp, month)),
+found AS (SELECT expected >= 5 AND n > expected AND ((n - expected) / (std + 1e-6) >= 2.0 OR n / greatest(expected, 1) >= 1.8) AS found FROM again WHERE picked)
+SELECT count(*) AS n_injected, count(*) FILTER (found) AS n_found, coalesce({rounded_sql('avg(CASE WHEN found THEN 1.0 ELSE 0.0 END)')}, 0) AS recall FROM found""")
 def injected_recall(spark, d):
     monthly = A.count_by(cases(spark, d).where("year <= 2000").withColumn("t", F.col("year") * 12 + F.col("month") - 1), ["grp", "t", "month"])
     return T.injected_recall(monthly, ["grp"], "t", "month", "n", least=5)

@@ -127,9 +127,12 @@ def profile_widths(spark, d):
     return R.profile_widths(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows, CAST({n} AS INT) AS n_columns FROM {t}" for t, n in (("customer", 5), ("orders", 6), ("part", 6), ("supplier", 4))))
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INT) AS n_columns FROM {t}" for t in TABLES))
 def table_inventory(spark, d):
-    return R.table_inventory({t: table(spark, d, t) for t in ("customer", "orders", "part", "supplier")})
+    return R.table_inventory({t: table(spark, d, t) for t in TABLES})
 
 
 @query("SELECT 'secondary' AS served_from, n_name FROM nation UNION ALL SELECT 'primary', r_name FROM region")

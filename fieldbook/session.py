@@ -30,10 +30,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset and one machine does it all.
+
+    Checkpoints, tables between steps and stores lie in it; what a run leaves there may be removed once its results are written.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldbook-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
