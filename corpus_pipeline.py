@@ -27,7 +27,11 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (a score under 0.3) go."""
+    """Documents that the classifier rejects (a score under 0.3) go.
+
+    Null and empty texts are scored like any other, equal texts alike; repeated rows and null ids stay or go one by one; columns may
+    have any names. An empty table gives an empty result.
+    """
     name = unused(docs, "_score")
     trees = learn(docs, table(spark, sf_dir, "labels"))
     return score(docs, trees, into=name).where(F.col(name) >= 0.3).select(*docs.columns)
@@ -52,12 +56,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become the name of their kind in brackets."""
+    """Personal data become the name of their kind in brackets. Null texts stay null; repeated rows are masked alike; columns may have any names."""
     return mask_pii(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens; null texts are a closing token alone, repeated rows are packed once each, other columns go."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 

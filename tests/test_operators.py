@@ -84,7 +84,7 @@ def test_far_queries_find_their_nearest_point(spark):
     from fieldbook.operators.spatial import knn1_join
 
     points = [(i, -40 + (i % 9) / 7, 170 + (i % 11) / 5) for i in range(60)]
-    queries = [(i, 35 + i, -10.0 + 2 * i) for i in range(12)] + [(50, 89.9, 0.0), (51, 40.0, -10.0)]
+    queries = [(i, 35.0 + i, -10.0 + 2 * i) for i in range(12)] + [(50, 89.9, 0.0), (51, 40.0, -10.0)]
     got = {r["q"]: (r["p"], r["km"]) for r in knn1_join(spark.createDataFrame(queries, "q int, lat double, lon double"), "q", spark.createDataFrame(points, "p int, lat double, lon double"), "p", small=5, start_km=400.0).collect()}
 
     def km(a, b, c, d):
