@@ -44,7 +44,7 @@ FREQUENT_SHARE, FREQUENT_SETS = 0.01, 32
 #: Turns of comparing sets with hubs, and the most sets of a shingle whose open pairs are compared one by one.
 HUB_TURNS, RARE = 2, 32
 #: Rows that meet one copy of a hub.
-_HUB_ROWS = 1000
+_HUB_ROWS = 100
 #: Stands for the count of sets of a shingle that is frequent in some flush.
 _FREQUENT = np.uint32(0xFFFFFFFF)
 _PAYLOAD = np.uint64((1 << 48) - 1)
@@ -309,7 +309,7 @@ def _with_hub(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): the pairs (hub, sig) that link. A hub of many pairs is copied once for each thousand of them or so."""
+    """(src, dst): the pairs (hub, sig) that link. A hub of many pairs is copied once for each hundred of them or so."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / _HUB_ROWS).cast("int").alias("parts"))
     busy = hot_keys(pairs, "hub")
     dealt = spread_join(pairs, sizes, "hub", busy).select("hub", F.pmod(F.hash("sig"), F.col("parts")).alias("part"), "sig")
