@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldbook.functions.scalars import rounded
 from fieldbook.operators.components import connected_components
 from fieldbook.operators.ranking import dense_index, hash_sample
-from fieldbook.session import settled
+from fieldbook.session import settled, written
 
 
 def collapse_edges(edges: DataFrame, where_types: Sequence[str] = ("group",)) -> DataFrame:
@@ -104,17 +104,17 @@ def modularity(edges: DataFrame, labels: DataFrame, weight: str = "lw") -> DataF
 def louvain(edges: DataFrame, weight: str = "lw", levels: int = 4, rounds: int = 8) -> DataFrame:
     """(node, community): parallel local moving. In a round half of the nodes (by hash) may move to the neighbouring community with the
     best gain; then communities become nodes, and the next level starts. Communities are numbered from 0, largest first."""
-    current = settled(edges.select("a", "b", F.col(weight).cast("double").alias("w")))
+    current = written(edges.select("a", "b", F.col(weight).cast("double").alias("w")))
     total = current.agg(F.sum("w")).first()[0]
-    membership = settled(both_ways(edges).select(F.col("node")).distinct().withColumn("community", F.col("node")))
+    membership = written(both_ways(edges).select(F.col("node")).distinct().withColumn("community", F.col("node")))
     if not total:
         return membership
     for _ in range(levels):
         near = current.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"), "w").union(current.where("a <> b").select("b", "a", "w"))
-        near = settled(near)
+        near = written(near)
         own_loops = current.where("a = b").select(F.col("a").alias("node"), (2 * F.col("w")).alias("k"))
-        degree = settled(near.select("node", F.col("w").alias("k")).union(own_loops).groupBy("node").agg(F.sum("k").alias("k")))
-        labels = settled(degree.select("node", F.col("node").alias("c"), "k"))
+        degree = written(near.select("node", F.col("w").alias("k")).union(own_loops).groupBy("node").agg(F.sum("k").alias("k")))
+        labels = written(degree.select("node", F.col("node").alias("c"), "k"))
         moved_any = False
         for turn in range(rounds):
             size = labels.groupBy("c").agg(F.sum("k").alias("dc"))
@@ -125,7 +125,7 @@ def louvain(edges: DataFrame, weight: str = "lw", levels: int = 4, rounds: int =
             gain = F.col("kin") / total - F.col("k") * dc / (2 * total * total)
             best = options.groupBy("node").agg(F.max_by(F.struct("to", F.lit(0)), F.struct(F.round(gain, 12), (F.col("to") == F.col("c")).cast("int"), F.col("to"))).alias("m"))
             may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-            following = settled(labels.join(best, "node").select("node", F.when(may, F.col("m.to")).otherwise(F.col("c")).alias("c"), "k", F.col("c").alias("was")))
+            following = written(labels.join(best, "node").select("node", F.when(may, F.col("m.to")).otherwise(F.col("c")).alias("c"), "k", F.col("c").alias("was")))
             changed = not following.where("c <> was").isEmpty()
             labels = following.select("node", "c", "k")
             moved_any |= changed
@@ -133,9 +133,9 @@ def louvain(edges: DataFrame, weight: str = "lw", levels: int = 4, rounds: int =
                 break
         if not moved_any:
             break
-        membership = settled(membership.join(labels.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")))
+        membership = written(membership.join(labels.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")))
         la, lb = labels.select(F.col("node").alias("a"), F.col("c").alias("ca")), labels.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-        current = settled(current.join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+        current = written(current.join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
     sizes = membership.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first"))
     numbers = dense_index(sizes, [F.desc("n"), "first"], "number")
     return membership.join(numbers.select("community", "number"), "community").select("node", F.col("number").alias("community"))
