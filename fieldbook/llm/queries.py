@@ -79,9 +79,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_substring_dedup, op3_cross_polytope, op4_contextual_pii, op5_best_two_fit, op6_quality_trees, op7_transport_streams, op8_virtual_slots, op9_byte_bpe, op10_token_counts)
+    for f in (op1_ngram_jaccard, op2_substring_dedup, op3_cross_polytope, op4_contextual_pii, op5_best_two_fit, op6_quality_trees, op7_transport_streams, op8_virtual_slots, op9_byte_bpe, op10_token_counts, op11_periodic_runs)
 }
 _WORDS = r"list_filter(string_split_regex({x}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
