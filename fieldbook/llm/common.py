@@ -65,6 +65,14 @@ def even_keys(spark: SparkSession) -> list[int]:
     return [found[p] for p in range(n)]
 
 
+def parts_for(df: DataFrame, bytes_each: int, least: int = 32) -> int:
+    """How many parts of bytes_each the planner's estimate of df makes, `least` at least; where it has none, the session's shuffle partitions count."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 2**62:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // bytes_each))
+
+
 def packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 

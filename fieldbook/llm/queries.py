@@ -85,9 +85,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_substring_dedup, op3_cross_polytope, op4_contextual_pii, op5_best_two_fit, op6_quality_trees, op7_transport_streams, op8_virtual_slots, op9_byte_bpe, op10_token_counts, op11_periodic_runs)
+    for f in (op1_ngram_jaccard, op2_substring_dedup, op3_cross_polytope, op4_contextual_pii, op5_best_two_fit, op6_quality_trees, op7_transport_streams, op8_virtual_slots, op9_byte_bpe, op10_token_counts, op11_periodic_runs, op12_phrase_collocations)
 }
 _WORDS = r"list_filter(string_split_regex({x}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -109,5 +115,18 @@ x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM
 k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept, count(*) AS n FROM x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY x.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
+_P = r"list_transform(string_split_regex({x}, '[.,;:!?\x0A-\x0D]'), lambda p: list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> ''))".format(x=_LOWER)
+OP12_SQL = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_P}) AS ws FROM documents),
+u AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS g, ws[i] AS w1, CASE WHEN k > 1 THEN ws[i + 1] END AS w2, CASE WHEN k > 2 THEN ws[i + 2] END AS w3 FROM u, (VALUES (1), (2), (3)) t(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, g, w1, w2, w3, count(*) AS a FROM g GROUP BY ALL), t AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang), c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT c.lang, c.g, c.k, 1 AS cut, c.w1 AS x, CASE WHEN c.k = 2 THEN c.w2 ELSE c.w2 || ' ' || c.w3 END AS y, c.a FROM c UNION ALL SELECT lang, g, k, 2, w1 || ' ' || w2, w3, a FROM c WHERE k = 3),
+s AS (SELECT cut.*, l.a AS l, r.a AS r, CAST(cut.a AS HUGEINT) * cut.a * 1000000 // (CAST(l.a AS HUGEINT) * r.a) AS score FROM cut JOIN f l ON l.lang = cut.lang AND l.g = cut.x AND l.k = cut.cut JOIN f r ON r.lang = cut.lang AND r.g = cut.y AND r.k = cut.k - cut.cut),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, k, g ORDER BY score, cut) = 1),
+m AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, w1 || ' ' || w2 AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM c WHERE k = 3) GROUP BY ALL),
+q AS (SELECT b.* FROM b LEFT JOIN m ON m.lang = b.lang AND m.g = b.g AND b.k = 2 WHERE coalesce(100 * longer < 50 * b.a, true)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM q)
+SELECT z.lang, rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM z JOIN t USING (lang) WHERE rank <= 2000"""
+
 #: The others need hashes, tokens, trees or searches that SQL doesn't have; their tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_substring_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op12_phrase_collocations": OP12_SQL}
