@@ -91,9 +91,15 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldbook.llm.lattice import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_substring_dedup, op3_cross_polytope, op4_contextual_pii, op5_best_two_fit, op6_quality_trees, op7_transport_streams, op8_virtual_slots, op9_byte_bpe, op10_token_counts, op11_periodic_runs, op12_phrase_collocations)
+    for f in (op1_ngram_jaccard, op2_substring_dedup, op3_cross_polytope, op4_contextual_pii, op5_best_two_fit, op6_quality_trees, op7_transport_streams, op8_virtual_slots, op9_byte_bpe, op10_token_counts, op11_periodic_runs, op12_phrase_collocations, op13_subword_lattice)
 }
 _WORDS = r"list_filter(string_split_regex({x}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
