@@ -1,20 +1,17 @@
-"""Supervised models on MLlib, always beside their naive baselines."""
+"""Supervised models, always beside their naive baselines."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import rounded
-from fieldbook.operators.ranking import quantiles, top_values
+from fieldbook.operators import boosting
+from fieldbook.operators.boosting import Boosted
+from fieldbook.operators.ranking import top_values
 from fieldbook.operators.stats import average_rank_auc
 
 
@@ -23,31 +20,23 @@ def label_map(column: str, positive: Sequence[str], negative: Sequence[str]) ->
     return F.when(F.col(column).isin(*positive), 1).when(F.col(column).isin(*negative), 0)
 
 
-def _stages(categories: Sequence[str], numbers: Sequence[str]) -> list:
-    indexed = [f"{c}_index" for c in categories]
-    indexers = [StringIndexer(inputCols=list(categories), outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="keep")] if categories else []
-    return [*indexers, VectorAssembler(inputCols=[*indexed, *numbers], outputCol="features", handleInvalid="keep")]
+def train_binary(df: DataFrame, label: str, categories: Sequence[str], numbers: Sequence[str], **options) -> Boosted:
+    """Boosted trees on an integer 0/1 label, with the options of boosting.train (300 rounds of 63 leaves unless told otherwise); rows without a label are left out."""
+    return boosting.train(df, label, categories, numbers, **options)[-1]
 
 
-def train_binary(df: DataFrame, label: str, categories: Sequence[str], numbers: Sequence[str], rounds: int = 15, depth: int = 4, bins: int = 64, seed: int = 7) -> PipelineModel:
-    """Boosted trees on an integer 0/1 label; rows without one are left out."""
-    kept = df.where(F.col(label).isNotNull()).withColumn("_label", F.col(label).cast("double"))
-    return Pipeline(stages=[*_stages(categories, numbers), GBTClassifier(labelCol="_label", maxIter=rounds, maxDepth=depth, maxBins=bins, seed=seed)]).fit(kept)
-
-
-def scores(model: PipelineModel, df: DataFrame, into: str = "score") -> DataFrame:
+def scores(model: Boosted, df: DataFrame, into: str = "score") -> DataFrame:
     """Adds the probability of label 1."""
-    drop = [c for c in model.transform(df.limit(0)).columns if c not in df.columns]
-    return model.transform(df).withColumn(into, vector_to_array("probability")[1]).drop(*(c for c in drop if c != into))
+    return boosting.predicted(model, df, into)
 
 
 def cross_validated(df: DataFrame, label: str, fold: str, folds: int, categories: Sequence[str], numbers: Sequence[str], **options) -> DataFrame:
-    """(fold, n, auc, accuracy, f1, majority): each fold scored by a model that never saw it, beside the accuracy of the larger class."""
+    """(fold, n, auc, accuracy, f1, majority): each fold scored by a model that never saw it, beside the accuracy of the larger class. The models are fitted side by side."""
+    models = boosting.train(df, label, categories, numbers, fold=fold, folds=folds, **options)
     out = None
     for k in range(folds):
         test = df.where((F.col(fold) == k) & F.col(label).isNotNull())
-        model = train_binary(df.where(F.col(fold) != k), label, categories, numbers, **options)
-        got = average_rank_auc(scores(model, test), label, "score")
+        got = average_rank_auc(scores(models[k], test), label, "score")
         got = got.withColumn("fold", F.lit(k)).withColumn("majority", F.coalesce(rounded(F.greatest("n_positive", F.col("n") - F.col("n_positive")).cast("double") / F.col("n"), 6), F.lit(0.0)))
         out = got if out is None else out.unionByName(got)
     return out
@@ -61,31 +50,39 @@ def majority_baseline(df: DataFrame, label: str) -> DataFrame:
     return got.select("n", F.col("m.c").alias("majority"), rounded(k.cast("double") / F.col("n")).alias("accuracy"), rounded(2.0 * k / (k + F.col("n")) / F.col("classes")).alias("macro_f1"))
 
 
-def train_multiclass(train: DataFrame, test: DataFrame, label: str, categories: Sequence[str], numbers: Sequence[str], trees: int = 20, depth: int = 6, bins: int = 64, seed: int = 7) -> DataFrame:
-    """One row: n, accuracy and macro F1 of a random forest on the test rows, and the accuracy of the modal class there."""
-    labels = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-    model = Pipeline(stages=[*_stages(categories, numbers), RandomForestClassifier(labelCol="_label", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed)]).fit(labels.transform(train))
-    cells = model.transform(labels.transform(test)).groupBy(F.col("_label").alias("a"), F.col("prediction").alias("p")).agg(F.count("*").alias("n"))
+def train_multiclass(train: DataFrame, test: DataFrame, label: str, categories: Sequence[str], numbers: Sequence[str], **options) -> DataFrame:
+    """One row: n, accuracy and macro F1 of softmax boosting (a tree for each class in a round) on the test rows, and the accuracy of the modal class there."""
+    model = boosting.train(train, label, categories, numbers, objective="multiclass", **options)[-1]
+    cells = boosting.predicted(model, test.where(F.col(label).isNotNull()), "_said").groupBy(F.col(label).cast("string").alias("a"), F.col("_said").alias("p")).agg(F.count("*").alias("n"))
     ends = cells.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.lit(0).alias("side")), F.struct(F.col("p").alias("c"), F.lit(1).alias("side")))).alias("x"), "a", "p", "n")
     per = ends.groupBy("x.c").agg(F.sum(F.when(F.col("x.side") == 0, F.col("n")).otherwise(0)).alias("actual"), F.sum(F.when(F.col("x.side") == 1, F.col("n")).otherwise(0)).alias("said"), F.sum(F.when((F.col("a") == F.col("p")) & (F.col("x.side") == 0), F.col("n")).otherwise(0)).alias("hit"))
     per = per.where("actual > 0")
     return per.agg(F.sum("actual").alias("n"), rounded(F.sum("hit").cast("double") / F.sum("actual")).alias("accuracy"), rounded(F.avg(2.0 * F.col("hit") / (F.col("actual") + F.col("said")))).alias("macro_f1"), rounded(F.max("actual").cast("double") / F.sum("actual")).alias("majority"))
 
 
-def importances(spark: SparkSession, model: PipelineModel, names: Sequence[str]) -> DataFrame:
-    """(feature, share) in percent; a row for each feature of the model."""
-    values = model.stages[-1].featureImportances.toArray()
-    total = values.sum() or 1.0
-    return spark.createDataFrame([(n, round(float(100 * v / total), 4)) for n, v in zip(names, values, strict=True)], "feature string, share double")
+def importances(spark: SparkSession, model: Boosted) -> DataFrame:
+    """(feature, share): each feature's share of all gain, in percent; a row for each feature of the model."""
+    gains = model.gains()
+    total = sum(gains.values()) or 1.0
+    return spark.createDataFrame([(n, round(100 * v / total, 4)) for n, v in gains.items()], "feature string, share double")
+
+
+#: How the growth model is fitted: many rounds of small trees, since a panel has few rows.
+GROWTH = {"rounds": 400, "leaves": 15, "least": 5, "rate": 0.03}
 
 
-def growth_model(panel: DataFrame, target: str, base: str, numbers: Sequence[str], year: str, holdout: int, low: float = 0.4, high: float = 2.5, rounds: int = 10, depth: int = 3, seed: int = 7) -> DataFrame:
-    """Hold-out rows with predicted = base * predicted growth, clipped; trained on the years before. Rows without base or target teach nothing."""
+def fit_growth(panel: DataFrame, target: str, base: str, numbers: Sequence[str], year: str, holdout: int, low: float = 0.4, high: float = 2.5, **options) -> Boosted:
+    """Boosted trees on the clipped ratio target / base of the years before the hold-out. Rows without base or target teach nothing."""
     ratio = F.least(F.greatest(F.col(target) / F.col(base), F.lit(low)), F.lit(high))
     train = panel.where((F.col(year) < holdout) & F.col(target).isNotNull() & (F.col(base) > 0)).withColumn("_label", ratio)
-    model = Pipeline(stages=[*_stages([], numbers), GBTRegressor(labelCol="_label", maxIter=rounds, maxDepth=depth, seed=seed)]).fit(train)
-    got = model.transform(panel.where(F.col(year) == holdout))
-    return got.select(*panel.columns, rounded(F.least(F.greatest(F.col("prediction"), F.lit(low)), F.lit(high)) * F.col(base), 2).alias("predicted"))
+    return boosting.train(train, "_label", [], numbers, objective="regression", **(GROWTH | options))[-1]
+
+
+def growth_model(panel: DataFrame, target: str, base: str, numbers: Sequence[str], year: str, holdout: int, low: float = 0.4, high: float = 2.5, **options) -> DataFrame:
+    """Hold-out rows with predicted = base * predicted growth, clipped; trained on the years before."""
+    model = fit_growth(panel, target, base, numbers, year, holdout, low, high, **options)
+    got = boosting.predicted(model, panel.where(F.col(year) == holdout), "_growth")
+    return got.select(*panel.columns, rounded(F.least(F.greatest(F.col("_growth"), F.lit(low)), F.lit(high)) * F.col(base), 2).alias("predicted"))
 
 
 def regression_baselines(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
@@ -104,19 +101,14 @@ def calibration_guard(df: DataFrame, predicted: str, actual: str, low: float = 0
     return got
 
 
-def row_drivers(model: PipelineModel, df: DataFrame, key: str, numbers: Sequence[str], k: int = 3) -> DataFrame:
-    """(key, drivers): the k numeric features that raise a row's score most, against their medians; all replacements are scored in one pass."""
-    every = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in numbers))).alias("x")).select("x.c", "x.v")
-    middle = quantiles(every, "v", [0.5], ["c"])  # a row for each number
-    medians = middle.agg(*(F.max(F.when(F.col("c") == c, F.get("edges", F.lit(0)))).alias(f"_m_{c}") for c in numbers))
-    variants = F.explode(F.array(F.lit(""), *map(F.lit, numbers))).alias("_without")
-    wide = df.crossJoin(F.broadcast(medians)).select("*", variants)
-    wide = wide.withColumns({c: F.when(F.col("_without") == c, F.col(f"_m_{c}")).otherwise(F.col(c).cast("double")) for c in numbers})
-    scored = scores(model, wide, "_s").select(key, "_without", "_s")
-    base = scored.where("_without = ''").select(key, F.col("_s").alias("_base"))
-    gain = scored.where("_without <> ''").join(base, key).withColumn("gain", F.col("_base") - F.col("_s")).where("gain > 1e-9")
-    ranked = gain.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("g"), F.col("_without").alias("f")))), 1, k).alias("t"))
-    return df.select(key).join(ranked, key, "left").select(key, F.coalesce(F.array_join(F.transform("t", lambda x: x["f"]), "; "), F.lit("")).alias("drivers"))
+def row_drivers(model: Boosted, df: DataFrame, key: Sequence[str], k: int = 3, names: Mapping[str, str] | None = None, none: str = "") -> DataFrame:
+    """(key, drivers): the k features with the largest positive Shapley values of each row, by names; `none` where nothing raises the row."""
+    got = boosting.row_contributions(model, df, "_c")
+    names = names or {}
+    said = F.create_map(*(F.lit(x) for f in model.binning.names for x in (f, names.get(f, f))))
+    top = F.slice(F.filter("_c", lambda x: x["value"] > 1e-12), 1, k)
+    drivers = F.array_join(F.transform(top, lambda x: F.element_at(said, x["feature"])), "; ")
+    return got.select(*key, F.when(F.size(top) > 0, drivers).otherwise(none).alias("drivers"))
 
 
 #: Levels of a category that isn't bucketed; a contract lists them all, so more of them raise.
@@ -138,11 +130,11 @@ def make_contract(df: DataFrame, categories: Sequence[str], numbers: Sequence[st
     return {"features": [*categories, *numbers], "numbers": list(numbers), "kept": kept, "levels": levels}
 
 
-def save_contract(model: PipelineModel, path: str, df: DataFrame, contract: Mapping, metrics: Mapping[str, float]) -> None:
+def save_contract(model: Boosted, path: str, df: DataFrame, contract: Mapping, metrics: Mapping[str, float]) -> None:
     """The estimator with the contract it was fitted under, its metrics and its rows. A model must have seen what apply_contract makes."""
     spark = df.sparkSession
     contract = dict(contract) | {"metrics": dict(metrics), "rows": df.count()}
-    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(model.dumps(),)], "model string").write.mode("overwrite").text(f"{path}/model")
     spark.createDataFrame([(json.dumps(contract),)], "contract string").write.mode("overwrite").text(f"{path}/contract")
 
 
@@ -150,6 +142,10 @@ def read_contract(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/contract").first()[0])
 
 
+def read_model(spark: SparkSession, path: str) -> Boosted:
+    return Boosted.loads(spark.read.text(f"{path}/model").first()[0])
+
+
 def apply_contract(df: DataFrame, contract: Mapping) -> DataFrame:
     """Raw columns as the model takes them: rare values OTHER, unseen levels null, numbers parsed (bad ones 0). A missing feature raises."""
     if missing := [c for c in contract["features"] if c not in df.columns]:
@@ -170,7 +166,7 @@ def score_batch(df: DataFrame, spark: SparkSession, path: str, defaults: Mapping
     """Missing columns filled with defaults, the contract applied, scored, and flagged under the cut."""
     df = df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
     ready = apply_contract(df, read_contract(spark, path))
-    return scores(PipelineModel.load(f"{path}/model"), ready).withColumn("is_low", F.col("score") < cut)
+    return scores(read_model(spark, path), ready).withColumn("is_low", F.col("score") < cut)
 
 
 def skew_check(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

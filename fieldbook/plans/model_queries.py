@@ -47,13 +47,13 @@ def _labelled(spark, d):
 
 @query()
 def train_binary(spark, d):
-    return M.cross_validated(_labelled(spark, d), "label", "fold", 3, CATEGORIES, NUMBERS, rounds=5)
+    return M.cross_validated(_labelled(spark, d), "label", "fold", 3, CATEGORIES, NUMBERS)
 
 
 @query()
 def train_multiclass(spark, d):
     f = features(spark, d)
-    return M.train_multiclass(f.where("year < 2000"), f.where("year >= 2000"), "category", ["segment", "parent", "season"], NUMBERS, trees=10)
+    return M.train_multiclass(f.where("year < 2000"), f.where("year >= 2000"), "category", ["segment", "parent", "season"], NUMBERS)
 
 
 @query(f"""WITH {CASES}, g AS (SELECT category, count(*) AS n FROM cases GROUP BY category), t AS (SELECT sum(n) AS n, count(*) AS k FROM g), m AS (SELECT category, n AS top FROM g ORDER BY n DESC, category LIMIT 1)
@@ -74,8 +74,8 @@ def class_metrics(spark, d):
 
 @query()
 def importances(spark, d):
-    model = M.train_binary(_labelled(spark, d), "label", CATEGORIES, NUMBERS, rounds=5)
-    return M.importances(spark, model, [*CATEGORIES, *NUMBERS])
+    model = M.train_binary(_labelled(spark, d), "label", CATEGORIES, NUMBERS)
+    return M.importances(spark, model)
 
 
 @query()
@@ -93,8 +93,12 @@ def risk_panel_baselines(spark, d):
     return M.regression_baselines(panel(spark, d).where("year = 2000"), "target", ["lag1", "avg3"])
 
 
+GROWTH_NAMES = {"lag1": "Last year", "lag2": "Year before last", "avg3": "Three-year mean", "slope": "Trend", "yoy": "Latest change"}
+GROWTH_NUMBERS = list(GROWTH_NAMES)
+
+
 def _grown(spark, d):
-    return M.growth_model(panel(spark, d), "target", "lag1", ["lag1", "lag2", "avg3", "slope", "yoy"], "year", 2000)
+    return M.growth_model(panel(spark, d), "target", "lag1", GROWTH_NUMBERS, "year", 2000)
 
 
 @query()
@@ -107,11 +111,18 @@ def calibration_guard(spark, d):
     return M.calibration_guard(panel(spark, d).where("year = 2000"), "avg3", "target", strict=True)
 
 
-@query()
+@query(f"WITH {PANEL} SELECT grp, CAST(year AS INT) AS year, true AS explained FROM panel WHERE year = 2000")
 def row_drivers(spark, d):
-    f = _labelled(spark, d)
-    model = M.train_binary(f, "label", CATEGORIES, NUMBERS, rounds=5)
-    return M.row_drivers(model, f, "case_id", NUMBERS)
+    """Of each group's projected growth; SQL holds the row set, since the values are the model's."""
+    known = panel(spark, d)
+    got = M.row_drivers(M.fit_growth(known, "target", "lag1", GROWTH_NUMBERS, "year", 2000), known.where("year = 2000"), ["grp", "year"], names=GROWTH_NAMES, none="mixed factors")
+    return got.select("grp", F.col("year").cast("int").alias("year"), (F.length("drivers") > 0).alias("explained"))
+
+
+@query()
+def growth_drivers(spark, d):
+    known = panel(spark, d)
+    return M.row_drivers(M.fit_growth(known, "target", "lag1", GROWTH_NUMBERS, "year", 2000), known.where("year = 2000"), ["grp"], names=GROWTH_NAMES, none="mixed factors")
 
 
 def _saved(spark, d) -> str:
@@ -119,7 +130,7 @@ def _saved(spark, d) -> str:
     categories = ["category", "first_item", "parent"]
     f = _labelled(spark, d)
     contract = M.make_contract(f, categories, NUMBERS, {"first_item": 8})
-    model = M.train_binary(M.apply_contract(f, contract), "label", categories, NUMBERS, rounds=3)
+    model = M.train_binary(M.apply_contract(f, contract), "label", categories, NUMBERS)
     M.save_contract(model, path, f, contract, {"folds": 3.0})
     return path
 
@@ -158,8 +169,8 @@ def skew_check(spark, d):
 def matched_benchmark(spark, d):
     f = _labelled(spark, d)
     train, held = f.where("fold <> 0"), f.where("fold = 0")
-    ours = average_rank_auc(M.scores(M.train_binary(train, "label", CATEGORIES, NUMBERS, rounds=5), held), "label", "score").select(F.lit("boosted").alias("model"), "n", "auc")
-    small = average_rank_auc(M.scores(M.train_binary(train, "label", [], NUMBERS, rounds=3), held), "label", "score").select(F.lit("numbers only").alias("model"), "n", "auc")
+    ours = average_rank_auc(M.scores(M.train_binary(train, "label", CATEGORIES, NUMBERS), held), "label", "score").select(F.lit("boosted").alias("model"), "n", "auc")
+    small = average_rank_auc(M.scores(M.train_binary(train, "label", [], NUMBERS), held), "label", "score").select(F.lit("numbers only").alias("model"), "n", "auc")
     both = ours.unionByName(small)
     return both.crossJoin(F.broadcast(small.select(F.col("auc").alias("baseline_auc")))).withColumn("verdict", verdict(F.col("auc"), F.col("baseline_auc"), 0.01))
 
