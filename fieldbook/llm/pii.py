@@ -14,6 +14,7 @@ where a run starts and gives nothing back, and a word's neighbours are found wit
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +42,7 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s{1,3}dot\s{1,3}|\s{0,3}[\[({]\s{0,3
 _LOCAL_LENGTH = 64
 _DIGITS = re.compile("[0-9]")
 _EDGE = ".:!?()[]{}*#$%&"
-_NEXT = re.compile(r"\W*+(\w++)")
+_WORD = re.compile(r"\w++")
 #: Words, shapes and tokens beyond this length stand in the graph as their 128-bit hash, so that they stay apart but small.
 _LONG = 64
 
@@ -90,13 +91,27 @@ def _shape(token: str) -> str:
     return _short(re.sub(r"[0-9]+", lambda m: "1" if len(m[0]) < 4 else "4" if len(m[0]) < 10 else "9", kinds))
 
 
-def _two_words(text: str, at: int, backward: bool) -> list[str]:
-    """The next two words (runs of letters and digits) from a place on, lower-case, each run of digits as 9."""
-    words = []
-    while len(words) < 2 and (m := _NEXT.match(text, at)):
-        at = m.end()
-        words.append(_short(re.sub("[0-9]+", "9", (m[1][::-1] if backward else m[1]).lower())))
-    return words
+class _Neighbours:
+    """The words (runs of letters and digits) of a text, found in one pass, and those next to a place by bisection."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans = [m.span() for m in _WORD.finditer(text)]
+
+    def _said(self, a: int, b: int) -> str:
+        """Lower-case, each run of digits as 9."""
+        return _short(re.sub("[0-9]+", "9", self.text[a:b].lower()))
+
+    def before(self, at: int) -> list[str]:
+        """The two words before a place, the nearer one first; a word that the place cuts counts up to it."""
+        i = bisect_left(self.spans, (at,))
+        return [self._said(a, min(b, at)) for a, b in reversed(self.spans[max(0, i - 2) : i])]
+
+    def after(self, at: int) -> list[str]:
+        i = bisect_left(self.spans, (at,))
+        if i and self.spans[i - 1][1] > at:
+            i -= 1
+        return [self._said(max(a, at), b) for a, b in self.spans[i : i + 2]]
 
 
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
@@ -116,7 +131,7 @@ def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
         token = text[a:b]
         if "@" in token or sum(map(token.count, "0123456789")) >= 4:
             a, b = b - len(token.lstrip(_EDGE)), a + len(token.rstrip(_EDGE))
-            if a < b:
+            if text[a:b].strip("@"):
                 yield a, b, "@" in text[a:b]
     for m in _GROUPS.finditer(text):
         if 7 <= sum(map(m[0].count, "0123456789")) <= 19:
@@ -146,11 +161,11 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str |
             out.append((None, a, b, mail))
     if not out:
         return []
-    found, turned = [], text[::-1]
+    found, near = [], _Neighbours(text)
     for kind, a, b, mail in out:
         token = text[a:b]
         shape = _shape(token)
-        left, right = _two_words(turned, len(text) - a, True), _two_words(text, b, False)
+        left, right = near.before(a), near.after(b)
         patterns = [f"{side}{words[0] if words else '^'} {shape}" for side, words in (("<", left), (">", right))]
         patterns += [f"{side}{'@' if mail else '9'} {' '.join([*words, '^'][:2])}" for side, words in (("2<", left), ("2>", right)) if words]
         found.append((kind, a, b, _short(token.lower()), patterns))
@@ -207,8 +222,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     base: what the fixed shapes match; spans: these and what trusted patterns add. A pattern is trusted from a confidence of
     `confidence` and `support` different instances believed to be of its kind. An instance that is no seed starts at `prior`; with the
     defaults, a context is trusted by itself if at least half of its different instances are seeds of one kind. Of added spans that
-    hold each other the longest stays. Null and empty texts have none; repeated rows are
-    separate rows with equal results; an empty table gives an empty result. Columns of docs other than these don't matter.
+    hold each other the longest stays. Null and empty texts have none; very long texts are scanned whole, in time that grows with their
+    length times its logarithm; repeated rows are separate rows with equal results; an empty table gives an empty result. Columns of docs other than these don't matter.
     """
     ship(docs.sparkSession)
     keep = [id_col] if keep is None else keep
@@ -255,7 +270,8 @@ def _masked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with every span replaced by its kind in brackets, such as [EMAIL]; rows, columns and their order stay.
 
-    Spans find their text again by id and the text's hash, null-safe, so repeated rows are masked alike.
+    Spans find their text again by id and the text's hash, null-safe, so repeated rows are masked alike. Null and empty texts stay as they are,
+    very long ones are masked whole; an empty table gives an empty result.
     """
     spans = find_pii(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_mark")), "_id", "_t", ["_id", "_mark"], **options)
     spans = spans.where(F.size("spans") > 0).select("_id", "_mark", F.col("spans").alias("_spans")).dropDuplicates(["_id", "_mark"])

@@ -49,6 +49,7 @@ def test_base_spans_on_odd_texts():
 def test_very_long_texts_are_scanned_in_proportion():
     n = 1_000_000
     texts = ["x" * n + "123", "7" * n, "x" * n + "1234" + "y" * n, "12345," * (n // 6), "1-2345678a" * (n // 10), "漢字" * (n // 2) + "99999", "a" * n + "@" + "b" * n, "1." * (n // 2), "(1" * (n // 2), "a at " * (n // 5), " " * n + "1234567" + " " * n]
+    texts += ["@ " * (n // 2), "@. " * (n // 3), "@" * n, "a at a dot b " * (n // 13), "12.34." * (n // 6)]
     for t in texts:
         start = time.perf_counter()
         pii.occurrences(t, pii.base_spans(t))
@@ -59,6 +60,13 @@ def test_very_long_texts_are_scanned_in_proportion():
         assert time.perf_counter() - start < 2
 
 
+def test_neighbours_of_a_place():
+    near = pii._Neighbours("one, Two-33x four")
+    assert near.before(5) == ["one"] and near.before(12) == ["9x", "two"] and near.before(11) == ["9", "two"] and near.before(0) == []
+    assert near.after(4) == ["two", "9x"] and near.after(10) == ["9x", "four"] and near.after(17) == [] and near.after(6) == ["wo", "9x"]
+    assert [x for x in pii.occurrences("@ @@ .@: a@b", []) if x[0] is None] == pii.occurrences("@ @@ .@: a@b", []) and [x[3] for x in pii.occurrences("@ @@ .@: a@b", [])] == ["a@b"]
+
+
 def test_planted_identifiers(spark, data):
     """Precision and recall of the added spans on identifiers that no fixed shape takes, planted in the given documents."""
     folder = data.replace("0.001", "0.01")
