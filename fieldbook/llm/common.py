@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words whose hashes a worker remembers; beyond that it starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 300_000
 #: Odd multiplier of the polynomial hashes (2**64 over the golden ratio).
 BASE = 0x9E3779B97F4A7C15
 

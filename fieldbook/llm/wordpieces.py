@@ -16,7 +16,7 @@ from functools import cache
 from pathlib import Path
 
 #: Stretches that a worker remembers (some 200 bytes each); beyond that it starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 450_000
 #: Signs that end a stretch after a letter or digit and start a token there; an apostrophe, or a part of a special token, may not.
 _TAIL = b".,;:!?#$%&*()[]{}+-/=@^_`~\"\\"
 
