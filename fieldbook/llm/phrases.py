@@ -33,7 +33,7 @@ FIRST, CHILDREN, FINE = 16, 16, 64
 #: Words that are counted at a time.
 WORDS_AT_ONCE = 200_000
 #: Bytes of input for each prefix partition.
-PART_BYTES = 24_000_000
+PART_BYTES = 6_000_000
 
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 _END = b"\xff"  # no byte of UTF-8 text; ends a piece
@@ -244,6 +244,7 @@ def _merge(least: int):
             third.append(place[at[2]])
             times.append(np.frombuffer(data, np.int64, size, 12 * size))
         prefix, third, times = (np.concatenate(x) for x in (prefix, third, times))
+        del known, table
         order = np.argsort(prefix, kind="stable")
         prefix, third, times = prefix[order], third[order], times[order]
         cuts = runs(prefix)
