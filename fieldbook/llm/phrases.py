@@ -6,7 +6,7 @@ dealt to two, and a container of one word bursts into children by the second wor
 its largest subtrees as sorted runs, one for each prefix partition (a hash of the first word and a few bits of the second, so that a very frequent
 word is dealt out). Runs carry hashes of words with a dictionary of their own, compressed. Spark brings the runs of a prefix partition
 together, where they are merged: a path's count is the trigram's, and a bigram's is the sum below it. Hashes have 64 bits and are checked: the
-vocabulary is counted by its words, and where two words of a language share a hash, all is counted anew with another seed.
+vocabulary is counted by its words first, and where two words of a language would share a hash, another seed is taken.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ PART_BYTES = 6_000_000
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 _END = b"\xff"  # no byte of UTF-8 text; ends a piece
 _LOW = (1 << BITS) - 1
-_COUNTED = "lang string, word string, h bigint, n bigint, part int, known binary, run binary"
+_RUNS = "lang string, part int, known binary, run binary"
 _FOUND = "lang string, h1 bigint, h2 bigint, h3 bigint, a bigint"
 
 
@@ -70,7 +70,6 @@ class PhraseTrie:
 
     def start(self) -> None:
         self.words = _Words(self.seed)
-        self.times = np.zeros(1, np.int64)
         self.containers: list[Counter] = [Counter() for _ in range(FIRST)]
         self.single: list[bool] = [False] * FIRST  # containers of one first word, which burst by the second
         self.route = np.zeros(1, np.int32)  # container of each first word, or the first of its CHILDREN
@@ -86,8 +85,6 @@ class PhraseTrie:
             fresh = np.arange(len(self.route), n)
             self.route = np.concatenate([self.route, (fresh % FIRST).astype(np.int32)])
             self.deep = np.concatenate([self.deep, np.zeros(len(fresh), bool)])
-            self.times = np.concatenate([self.times, np.zeros(len(fresh), np.int64)])
-        self.times += np.bincount(ids[:-2], minlength=n)
         first, second, third = ids[:-2], ids[1:-1], np.where(ids[1:-1] == 0, 0, ids[2:])
         own = first > 0
         first, second, third = first[own], second[own], third[own]
@@ -149,12 +146,22 @@ def _entries(held: Counter) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    data = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    """Columns by planes of bytes (all first bytes, all second ones, ...), which compress better."""
+    data = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _unpacked(held: bytes) -> bytes:
-    return pa.decompress(held[8:], int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True)
+def _unpacked(held: bytes, *kinds: type) -> list[np.ndarray]:
+    """The columns again, which are equally long."""
+    data = np.frombuffer(pa.decompress(held[8:], int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n = len(data) // sum(widths)
+    ends = np.cumsum([0, *widths]) * n
+    return [np.ascontiguousarray(data[a:b].reshape(w, n).T).view(k)[:, 0] for a, b, w, k in zip(ends.tolist(), ends[1:].tolist(), widths, kinds, strict=False)]
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def _sorted_runs(paths: np.ndarray, times: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -171,46 +178,69 @@ def _sorted_runs(paths: np.ndarray, times: np.ndarray, hashes: np.ndarray, parts
     for a, b in zip((cuts := np.append(runs(part), len(part)).tolist()), cuts[1:], strict=False):
         own = order[a:b]
         known, x = np.unique(np.concatenate([[0], first[own], second[own], third[own]]), return_inverse=True)
-        yield int(part[a]), _packed(hashes[known]), _packed(x[1:].astype(np.uint32), times[own])
+        n, x = b - a, x[1:].astype(np.uint32)
+        yield int(part[a]), _packed(_steps(hashes[known])), _packed(_steps(x[:n]), x[n : 2 * n], x[2 * n :], times[own])
+
+
+def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
+    found: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+        found.setdefault(lang, []).append(text or b"")
+    return found
+
+
+def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of a task, a vocabulary at a time."""
+    held: dict[str, Counter] = {}
+
+    def told(lang: str) -> pa.RecordBatch:
+        own = held.pop(lang)
+        own.pop(_END, None)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.binary()).cast(pa.string()), pa.array(own.values(), pa.int64())], ["lang", "word", "n"])
+
+    for batch in source:
+        for lang, texts in _by_lang(batch).items():
+            for text in texts:
+                held.setdefault(lang, Counter()).update(pieces(text))
+            if len(held[lang]) > VOCABULARY:
+                yield told(lang)
+    for lang in list(held):
+        yield told(lang)
+
+
+def _hashed(seed: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            h = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) or 1 for w in utf8(batch.column(1))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h.view(np.int64))], ["lang", "word", "n", "h"])
+
+    return run
 
 
 def _count(seed: int, parts: int):
-    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("h", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("known", pa.binary()), ("run", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("known", pa.binary()), ("run", pa.binary())])
 
     def told(lang: str, spilled: Iterator[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         held = list(spilled)
         if held:
-            none = pa.nulls(len(held))
-            columns = [pa.array([lang] * len(held)), none, none, none, *(pa.array(c) for c in zip(*held, strict=True))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    def ended(lang: str, trie: PhraseTrie) -> Iterator[pa.RecordBatch]:
-        yield from told(lang, trie.spill(parts, 0))
-        words = list(trie.words)[1:]
-        for a in range(0, len(words), 100_000):
-            own = words[a : a + 100_000]
-            none = pa.nulls(len(own))
-            columns = [pa.array([lang] * len(own)), pa.array(own, pa.binary()), pa.array(np.array(trie.words.hashes[a + 1 : a + 1 + len(own)], np.uint64).view(np.int64)), pa.array(trie.times[a + 1 : a + 1 + len(own)]), none, none, none]
+            columns = [pa.array([lang] * len(held)), *(pa.array(c) for c in zip(*held, strict=True))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-        trie.start()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, PhraseTrie] = {}
         for batch in source:
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                by_lang.setdefault(lang, []).append(text or b"")
-            for lang, texts in by_lang.items():
+            for lang, texts in _by_lang(batch).items():
                 trie = tries.setdefault(lang, PhraseTrie(seed))
                 for stream, after in _streams(texts):
                     trie.add(stream, after)
                     if len(trie.words) > VOCABULARY:
-                        yield from ended(lang, trie)
+                        yield from told(lang, trie.spill(parts, 0))
+                        trie.start()
                     while (total := sum(t.size for t in tries.values())) > PATHS:
                         large = max(tries, key=lambda x: tries[x].size)
                         yield from told(large, tries[large].spill(parts, max(0.0, 1 - total / 2 / tries[large].size)))
         for lang, trie in tries.items():
-            yield from ended(lang, trie)
+            yield from told(lang, trie.spill(parts, 0))
 
     return run
 
@@ -232,17 +262,15 @@ def _merge(least: int):
     schema = pa.schema([("lang", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("h3", pa.int64()), ("a", pa.int64())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        known = [np.frombuffer(_unpacked(x), np.uint64) for x in table["known"].to_pylist()]
+        known = [np.cumsum(_unpacked(x, np.uint64)[0]) for x in table["known"].to_pylist()]
         every = np.unique(np.concatenate([*known, np.zeros(1, np.uint64)]))
         prefix, third, times = [], [], []
         for own, x in zip(known, table["run"].to_pylist(), strict=True):
             place = np.searchsorted(every, own)
-            data = _unpacked(x)
-            size = len(data) // 20  # three places of 4 bytes and a count of 8
-            at = np.frombuffer(data, np.uint32, 3 * size).reshape(3, size)
-            prefix.append(place[at[0]] * len(every) + place[at[1]])
-            third.append(place[at[2]])
-            times.append(np.frombuffer(data, np.int64, size, 12 * size))
+            first, second, last, n = _unpacked(x, np.uint32, np.uint32, np.uint32, np.int64)
+            prefix.append(place[np.cumsum(first, dtype=np.uint32)] * len(every) + place[second])
+            third.append(place[last])
+            times.append(n)
         prefix, third, times = (np.concatenate(x) for x in (prefix, third, times))
         del known, table
         order = np.argsort(prefix, kind="stable")
@@ -276,17 +304,14 @@ def counted(docs: DataFrame, lang_col: str, text_col: str, least: int, parts: in
     ship(spark)
     parts = parts or parts_for(docs, PART_BYTES)
     own = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    words = own.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     for seed in range(8):
-        rows = own.mapInArrow(_count(seed, parts), _COUNTED.replace("word string", "word binary"))
-        rows = written(rows)
-        words = rows.where("word is not null").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
-        words = written(words.withColumn("word", F.decode("word", "UTF-8")))
+        words = written(words.select("lang", "word", "n").mapInArrow(_hashed(seed), "lang string, word string, n bigint, h bigint"))
         if words.groupBy("lang", "h").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
             break
     else:
         raise RuntimeError("words share hashes under every seed")
-    found = rows.where("run is not null").select("lang", "part", "known", "run")
-    merged = found.groupBy("lang", "part").applyInArrow(_merge(least), _FOUND)
+    merged = own.mapInArrow(_count(seed, parts), _RUNS).groupBy("lang", "part").applyInArrow(_merge(least), _FOUND)
     return words, written(merged)
 
 
