@@ -221,9 +221,9 @@ def boost(x: np.ndarray, n: np.ndarray, sums: np.ndarray, objective: str, binnin
     """Boosting over cells: x (features by cells), their rows n, and sums of their labels (a row for each output)."""
     rng = np.random.default_rng(seed)
     width = len(x)
-    total = max(1.0, float(n.sum()))
+    total = float(n.sum())
     if objective == "regression":
-        base = [float(sums[0].sum() / total)]
+        base = [float(sums[0].sum() / max(1.0, total))]
     elif objective == "binary":
         p = (float(sums[0].sum()) + 1) / (total + 2)
         base = [math.log(p / (1 - p))]

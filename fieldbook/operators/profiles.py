@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import rounded
-from fieldbook.operators.components import connected_components
-from fieldbook.operators.ranking import dense_index, mode_per_group, top_values
-from fieldbook.session import settled
+from fieldbook.operators.density import density_clusters
+from fieldbook.operators.ranking import mode_per_group, top_values
 
 
 def bucketed(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
@@ -28,37 +26,47 @@ def signatures(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
     return bucketed(df, columns).groupBy(*columns, "signature").agg(F.count("*").alias("w"))
 
 
-def profile_vectors(sigs: DataFrame, weights: Mapping[str, float], size: int = 5) -> DataFrame:
-    """Adds `vector`: weighted one-hot blocks of the columns, reduced by principal components (centred)."""
-    parts = []
-    for c, w in weights.items():
-        values = [r[0] for r in sigs.select(c).distinct().orderBy(c).collect()]  # bounded by the top lists of the signatures
-        parts += [F.when(F.col(c) == v, w).otherwise(0.0) for v in values]
-    wide = sigs.withColumn("_wide", array_to_vector(F.array(*parts)))
-    k = min(size, len(parts))
-    model = PCA(k=k, inputCol="_wide", outputCol="_pca").fit(wide)
-    return model.transform(wide).withColumn("vector", vector_to_array("_pca")).drop("_wide", "_pca")
-
+def singular_vectors(sigs: DataFrame, weights: Mapping[str, float], size: int = 5, times: str = "w") -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
+    """(names of the one-hot columns, singular values, right singular vectors by column) of the weighted one-hot rows, each `times` over, not centred.
 
-def profile_cluster(vectors: DataFrame, key: str, weight: str, eps: float, least: float) -> DataFrame:
-    """(key, cluster): weighted density clusters of the distinct signatures, -1 for noise.
-
-    Signatures are few (their columns are bucketed), and they meet by cells of their first two components, not all with all.
+    The Gramian is counted by Spark, pair of values by pair of values, so what comes back is the square of the top lists of the signatures; its
+    eigenvectors are the right singular vectors. Signs: the entry of the largest size is positive.
     """
-    v = F.col("vector")
-    a = vectors.select(F.col(key).alias("a"), v.alias("va"), F.floor(v[0] / eps).alias("x"), F.floor(v[1] / eps).alias("y"))
-    step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    b = vectors.select(F.col(key).alias("b"), v.alias("vb"), F.col(weight).alias("w"), step.alias("o")).withColumns({"x": F.floor(F.col("vb")[0] / eps) + F.col("o.i"), "y": F.floor(F.col("vb")[1] / eps) + F.col("o.j")})
-    d2 = F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x)
-    pairs = settled(a.join(b, ["x", "y"]).where(d2 <= eps * eps).select("a", "b", "w"))
-    cores = settled(pairs.groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= least).select("a"))
-    links = pairs.join(cores, "a", "left_semi").join(cores.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
-    labels = connected_components(links, "a", "b")
-    numbers = dense_index(labels.select("component").distinct(), ["component"], "cluster")
-    own = labels.join(numbers, "component").select(F.col("node").alias("b"), "cluster")
-    near = pairs.join(own, "b").groupBy("a").agg(F.min("cluster").alias("near"))
-    got = vectors.select(F.col(key).alias("a")).join(own.select(F.col("b").alias("a"), "cluster"), "a", "left").join(near, "a", "left")
-    return got.select(F.col("a").alias(key), F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
+    at = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in weights))
+    rows = sigs.select(F.col(times).cast("double").alias("n"), at.alias("x"))
+    pairs = rows.select("n", "x", F.explode("x").alias("p")).select("n", "p", F.explode("x").alias("q")).groupBy("p", "q").agg(F.sum("n").alias("n")).collect()
+    names = sorted({(r["p"]["c"], r["p"]["v"]) for r in pairs}, key=lambda x: (list(weights).index(x[0]), x[1] is None, x[1] or ""))
+    place = {x: i for i, x in enumerate(names)}
+    gram = np.zeros((len(names), len(names)))
+    for r in pairs:
+        gram[place[tuple(r["p"])], place[tuple(r["q"])]] = r["n"] * weights[r["p"]["c"]] * weights[r["q"]["c"]]
+    values, vectors = np.linalg.eigh(gram)
+    k = min(size, len(names))
+    values, vectors = np.sqrt(np.maximum(values[::-1][:k], 0)), vectors[:, ::-1][:, :k]
+    if k:
+        vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
+    return names, values, vectors
+
+
+def profile_vectors(sigs: DataFrame, weights: Mapping[str, float], size: int = 5, times: str = "w") -> DataFrame:
+    """Adds `vector`: weighted one-hot blocks of the columns, reduced by a truncated singular value decomposition (not centred)."""
+    names, _, vectors = singular_vectors(sigs, weights, size, times)
+    k = vectors.shape[1]
+    parts = []
+    for c, w in weights.items():
+        own = {v: (vectors[i] * w).tolist() for i, (of, v) in enumerate(names) if of == c}
+        said = F.create_map(*(x for v, y in own.items() if v is not None for x in (F.lit(v), F.array(*map(F.lit, y))))) if any(v is not None for v in own) else None
+        blank = F.array(*map(F.lit, own.get(None, [0.0] * k))).cast("array<double>")
+        parts.append(F.coalesce(F.element_at(said, F.col(c).cast("string")), blank) if said is not None else blank)
+    total = parts[0]
+    for p in parts[1:]:
+        total = F.zip_with(total, p, lambda a, b: a + b)
+    return sigs.withColumn("vector", total)
+
+
+def profile_cluster(vectors: DataFrame, key: str, weight: str, least: float, samples: int = 20) -> DataFrame:
+    """(key, cluster): the most stable hierarchical density clusters of the distinct signatures, -1 for noise. least: rows of a cluster; samples: rows that make a core distance."""
+    return density_clusters(vectors, key, weight, "vector", least, samples)
 
 
 def profile_describe(df: DataFrame, cluster: str, head: str, details: Sequence[str], group: str) -> DataFrame:

@@ -10,6 +10,7 @@ from fieldbook.functions import scalars as S
 from fieldbook.operators import models as M
 from fieldbook.operators import profiles as P
 from fieldbook.operators import ranking as R
+from fieldbook.operators.density import vector_silhouette
 from fieldbook.operators.guards import feature_guard
 from fieldbook.operators.stats import average_rank_auc, verdict
 from fieldbook.plans.bindings import CASES, LINES, cases, lines
@@ -200,18 +201,33 @@ def profile_vectors(spark, d):
 
 
 def _clustered(spark, d):
-    return P.profile_cluster(P.profile_vectors(settled(_sigs(spark, d)), WEIGHTS), "signature", "w", 0.8, 60)
+    vectors = settled(P.profile_vectors(settled(_sigs(spark, d)), WEIGHTS))
+    return vectors, settled(P.profile_cluster(vectors, "signature", "w", 60, 20))
 
 
 @query()
 def profile_cluster(spark, d):
-    return _clustered(spark, d)
+    return _clustered(spark, d)[1]
+
+
+@query()
+def profile_quality(spark, d):
+    """How many clusters there are, the share of rows that is noise, and the mean silhouette in the reduced space."""
+    vectors, found = _clustered(spark, d)
+    return vector_silhouette(vectors.join(found, "signature"), "signature", "w", "vector", "cluster")
+
+
+@query()
+def profile_assign(spark, d):
+    """The cluster of profile_cluster that most rows of each group are in, the groups of each cluster by rows."""
+    rows = P.bucketed(cases(spark, d).select(*SIGNED), SIGNED).join(_clustered(spark, d)[1].where("cluster >= 0"), "signature")
+    return P.signature_assign(rows, "grp", "cluster")
 
 
 @query()
 def profile_report(spark, d):
     """The clusters that profile_cluster finds, described by their cases."""
-    rows = P.bucketed(cases(spark, d).select(*SIGNED), SIGNED).join(_clustered(spark, d), "signature")
+    rows = P.bucketed(cases(spark, d).select(*SIGNED), SIGNED).join(_clustered(spark, d)[1], "signature")
     return P.profile_describe(rows, "cluster", "category", ["segment", "status"], "grp")
 
 
