@@ -341,10 +341,10 @@ def density_clusters(points: DataFrame, key: str, weight: str, vector: str, leas
 
     def condensed(key: tuple, t: pa.Table) -> pa.Table:
         real = t["b"].is_valid().to_numpy()
-        a, b, d, w = (t[c].to_numpy() for c in ("a", "b", "d", "w"))
+        a, b, d, w = (t[c].fill_null(0).to_numpy() for c in ("a", "b", "d", "w"))  # nulls would make them floats
         order = np.argsort(a[~real])
         ids = a[~real][order]
-        got = stable_clusters(ids, w[~real][order], a[real].astype(np.int64), b[real].astype(np.int64), d[real], least)
+        got = stable_clusters(ids, w[~real][order], a[real], b[real], d[real], least)
         return pa.table({"id": ids, "cluster": got.astype(np.int32)})
 
     got = own.unionByName(tree).groupBy(F.lit(0).alias("_g")).applyInArrow(condensed, "id bigint, cluster int")

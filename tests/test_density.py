@@ -98,8 +98,9 @@ def test_clusters_equal_the_definition(seed):
 
 def test_blocks_and_joins_give_the_same_clusters(spark):
     x, w = case(1, 90)
-    frame = spark.createDataFrame([(i, int(m), v.tolist()) for i, (v, m) in enumerate(zip(x, w, strict=True))], "id bigint, w bigint, v array<double>").repartition(2)
-    got = {r["id"]: r["cluster"] for r in D.density_clusters(frame, "id", "w", "v", 20, 6, 30).collect()}
+    far = 2**62 + 1  # ids that no float holds
+    frame = spark.createDataFrame([(far + i, int(m), v.tolist()) for i, (v, m) in enumerate(zip(x, w, strict=True))], "id bigint, w bigint, v array<double>").repartition(2)
+    got = {r["id"] - far: r["cluster"] for r in D.density_clusters(frame, "id", "w", "v", 20, 6, 30).collect()}
     assert [got[i] for i in range(len(x))] == brute(x, w, 20, 6).tolist()
     tree = D.spanning_tree(frame, "id", "w", "v", 6, 1024).collect()
     core = D._core(*D._neighbours(x, x, w.astype(float), 6), 6)
