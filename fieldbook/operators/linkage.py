@@ -35,15 +35,31 @@ def block_keys(x: Column) -> Column:
     return F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit("?")))
 
 
-def candidate_pairs(df: DataFrame, key: str, name: str, within: Sequence[str] = ()) -> DataFrame:
+def _blocked(df: DataFrame, key: str, name: str, within: Sequence[str]) -> DataFrame:
+    return df.select(F.col(key).alias("k"), *within, F.explode(block_keys(F.col(name))).alias("block"))
+
+
+def block_sizes(df: DataFrame, key: str, name: str, within: Sequence[str] = ()) -> DataFrame:
+    """(block, *within, n, pairs): the records of each block and the comparisons it costs, counted before any pair is made."""
+    n = F.count("*")
+    return _blocked(df, key, name, within).groupBy("block", *within).agg(n.alias("n"), (n * (n - 1) / 2).cast("bigint").alias("pairs"))
+
+
+def candidate_pairs(df: DataFrame, key: str, name: str, within: Sequence[str] = (), block_rows: int = 2000) -> DataFrame:
     """(a, b): pairs of records that share a block, each once, a before b.
 
     within: columns that linked records must share, such as a gate of the score: they are part of the block, so
-    pairs that would score 0 never form. A block's pairs grow with its square, which blocking by name has in itself; AQE splits those that are skewed.
+    pairs that would score 0 never form. A block of more than block_rows records is dealt to sub-blocks, each of which meets each, so that no
+    task makes more than block_rows squared pairs; the pairs of all stay as many as blocking by name has in itself (`block_sizes` counts them).
     """
-    blocks = df.select(F.col(key).alias("k"), *within, F.explode(block_keys(F.col(name))).alias("block"))
-    a, b = blocks.select(F.col("k").alias("a"), "block", *within), blocks.select(F.col("k").alias("b"), "block", *within)
-    return a.join(b, ["block", *within]).where("a < b").select("a", "b").distinct()
+    blocks = _blocked(df, key, name, within)
+    on = ["block", *within]
+    parts = blocks.groupBy(*on).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_parts")).where("_parts > 1")
+    dealt = blocks.join(parts, on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("k"), F.col("_parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    a = dealt.select(F.col("k").alias("a"), *on, F.col("_own").alias("_i"), other.alias("_j"))
+    b = dealt.select(F.col("k").alias("b"), *on, other.alias("_i"), F.col("_own").alias("_j"))
+    return a.join(b, [*on, "_i", "_j"]).where("a < b").select("a", "b").distinct()
 
 
 def jaro_winkler(a: str, b: str) -> float:

@@ -219,6 +219,11 @@ def link_block(spark, d):
     return records(spark, d).select("text", F.explode(K.block_keys(K.normalized(F.col("text"), TITLES))).alias("block")).distinct()
 
 
+@query(f"WITH {RECORDS}, d AS (SELECT DISTINCT text, block FROM blocks) SELECT block, count(*) AS n, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS pairs FROM d GROUP BY block")
+def block_sizes(spark, d):
+    return K.block_sizes(records(spark, d).select("text", K.normalized(F.col("text"), TITLES).alias("norm")).distinct(), "text", "norm")
+
+
 @query(f"WITH {RECORDS} SELECT count(*) AS comparisons, (SELECT count(*) * (count(*) - 1) // 2 FROM (SELECT DISTINCT text FROM norm)) AS every_pair FROM (SELECT DISTINCT a.text, b.text FROM blocks a JOIN blocks b ON a.block = b.block AND a.text < b.text) t")
 def candidate_pairs(spark, d):
     r = records(spark, d).select("text", K.normalized(F.col("text"), TITLES).alias("norm")).distinct()

@@ -159,10 +159,13 @@ def score_batch(spark, d):
     return got.select("case_id", S.rounded(F.col("score"), 6).alias("score"), "is_low")
 
 
-@query(f"WITH {CASES} SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_differ, CAST(0 AS DOUBLE) AS largest_gap, CAST(1 AS DOUBLE) AS correlation FROM cases")
+@query(f"""WITH {CASES}, s AS (SELECT isodow(day) - 1 AS x, isodow(CASE WHEN case_id % 7 = 0 THEN day + 2 ELSE day END) - 1 AS y FROM cases)
+SELECT count(*) AS n, count(*) FILTER (x <> y) AS n_differ, CAST(max(abs(x - y)) AS DOUBLE) AS largest_gap, CAST(round(corr(x, y), 6) AS DOUBLE) AS correlation FROM s""")
 def skew_check(spark, d):
+    """The day of the week as training takes it, and as a second preparation does that parses it from text and is two days off for every seventh case."""
     c = cases(spark, d)
-    other = c.select("case_id", F.weekday(F.try_to_date(F.date_format("day", "yyyy-MM-dd"), "yyyy-MM-dd")).alias("dow"))
+    late = F.when(F.col("case_id") % 7 == 0, F.date_add("day", 2)).otherwise(F.col("day"))
+    other = c.select("case_id", F.weekday(F.try_to_date(F.date_format(late, "yyyy-MM-dd"), "yyyy-MM-dd")).alias("dow"))
     return M.skew_check(c.select("case_id", S.day_of_week("day").alias("dow")), other, "case_id", "dow")
 
 

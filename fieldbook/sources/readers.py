@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,16 @@ def write_sorted_table(df: DataFrame, keys: Sequence[str], path: str) -> DataFra
     return df.sparkSession.read.parquet(path).agg(F.count("*").alias("n_rows"))
 
 
+def file_order(spark: SparkSession, path: str, into: str = "place") -> DataFrame:
+    """The rows of a folder of Parquet files with their places (from 1) in the order in which they lie there: files by name, then rows. Offsets come from a count of each file."""
+    rows = spark.read.parquet(path)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sizes = [(r["_file"], r["n"]) for r in rows.groupBy("_file").agg(F.count("*").alias("n")).orderBy("_file").collect()]  # a row for each file
+    starts = dict(zip((f for f, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
+    before = spark.createDataFrame(list(starts.items()), "_file string, _before bigint")
+    return rows.join(F.broadcast(before), "_file").withColumn(into, F.col("_before") + F.col("_at") + 1).drop("_file", "_at", "_before")
+
+
 def profile_widths(df: DataFrame, headroom: float = 1.5, buckets: Sequence[int] = (255, 500, 1000, 2000)) -> DataFrame:
     """(column, longest, bucket): longest string of every string column in one pass, and the bucket that holds it with headroom."""
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]

@@ -259,3 +259,13 @@ def test_betweenness_by_joins_equals_a_plain_search(spark, monkeypatch):
     n = len(near)
     got = {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()}
     assert got == {f"n{v:02d}": pytest.approx(x / ((n - 1) * (n - 2))) for v, x in want.items()}
+
+
+def test_large_blocks_are_dealt_and_lose_no_pair(spark):
+    names = [(i, f"{'TERRY TORRE TRI TAR'.split()[i % 4]} {'LONA LIN'.split()[i % 2]} {i % 3 or 'Q'}") for i in range(40)] + [(99, None), (100, "")]
+    frame = spark.createDataFrame(names, "id int, name string")
+    whole = sorted(map(tuple, linkage.candidate_pairs(frame, "id", "name").collect()))
+    assert whole and all(a < b for a, b in whole) and len(set(whole)) == len(whole)
+    assert sorted(map(tuple, linkage.candidate_pairs(frame, "id", "name", block_rows=3).collect())) == whole
+    sizes = linkage.block_sizes(frame.where("id < 99"), "id", "name").collect()
+    assert all(r["pairs"] == r["n"] * (r["n"] - 1) // 2 for r in sizes) and max(r["n"] for r in sizes) > 3
