@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +46,25 @@ def first_map(sizes: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
 
 
 def write_map(chosen: DataFrame, store: str) -> None:
-    """Adds one version of a map to the store, a folder that all machines reach."""
-    chosen.select(F.col("version").cast("int"), F.col("virtual_slot").cast("int"), F.col("shard").cast("int"), F.col("bytes").cast("bigint")).coalesce(1).write.mode("append").parquet(store)
+    """Adds one version of a map to the store, a folder that all machines reach: a folder of its own for each version.
+
+    A version that is there already raises AnalysisException (PATH_ALREADY_EXISTS), so of two runs that edit one map the later one fails.
+    """
+    version = chosen.first()["version"]
+    own = chosen.select(F.col("virtual_slot").cast("int"), F.col("shard").cast("int"), F.col("bytes").cast("bigint"))
+    own.coalesce(1).write.mode("errorifexists").parquet(f"{store}/version={version}")
 
 
 def read_map(spark: SparkSession, store: str, version: int | None = None) -> DataFrame | None:
-    """A version of the stored map (none given: the newest); None if the store doesn't hold it. An append that ran twice does no harm."""
-    spark.range(0).select(*(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in MAP_SCHEMA.split(", "))).write.mode("append").parquet(store)
-    held = spark.read.schema(MAP_SCHEMA).parquet(store)
+    """A version of the stored map (none given: the newest); None if the store doesn't hold it. Nothing is written."""
+    try:
+        held = spark.read.schema(MAP_SCHEMA).parquet(store)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     known = held.agg(F.max("version")).first()[0] if version is None else version
-    found = held.where(F.col("version") == known).dropDuplicates(["virtual_slot"])
+    found = held.where(F.col("version") == known).select(*(x.split()[0] for x in MAP_SCHEMA.split(", ")))
     return None if known is None or found.isEmpty() else found
 
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fieldbook.llm import ann, media, pii, quality, sharding
@@ -345,6 +346,16 @@ def test_stored_maps(spark, docs, tmp_path):
     assert set(maps[1].values()) == set(range(16))
     with pytest.raises(ValueError, match="slots"):
         sharding.shard_documents(docs, store=store, slots=128)
+    # Two runs that edit version 4: the later one fails and leaves the map as it is.
+    newest = sharding.read_map(spark, store)
+    for _ in range(2):
+        sharding.read_map(spark, store, 4)
+    sharding.write_map(sharding.rebalanced(newest, 17), store)
+    kept = sorted(map(tuple, sharding.read_map(spark, store, 5).collect()))
+    with pytest.raises(AnalysisException):
+        sharding.write_map(sharding.rebalanced(newest, 3), store)
+    assert sorted(map(tuple, sharding.read_map(spark, store).collect())) == kept and len(kept) == 256
+    assert sharding.read_map(spark, str(tmp_path / "none")) is None and not (tmp_path / "none").exists()
 
 
 def test_equal_rows_are_spread(spark):
