@@ -332,10 +332,10 @@ def _finest(df: DataFrame, binning: Binning, cells: int) -> Binning:
 
 
 def train(
-    df: DataFrame, label: str, categories: Sequence[str], numbers: Sequence[str], objective: str = "binary", fold: str | None = None, folds: int = 0, rounds: int = 300, leaves: int = 63, least: int = 100,
+    df: DataFrame, label: str, categories: Sequence[str], numbers: Sequence[str], objective: str = "binary", fold: str | None = None, folds: int = 0, whole: bool = True, rounds: int = 300, leaves: int = 63, least: int = 100,
     rate: float = 0.05, row_share: float = 0.9, column_share: float = 0.9, smooth: float = 10.0, penalty: float = 10.0, cells: int = CELLS, seed: int = 0,
 ) -> dict[int, Boosted]:
-    """Models by the fold they leave out; -1 leaves none out and is the only one without `folds`.
+    """Models by the fold they leave out; -1 leaves none out (with `whole`) and is the only one without `folds`.
 
     Rows without a label teach nothing. Missing and unknown values are a bin of their own. least: rows of a leaf; row_share, column_share: samples of each
     round (rows are drawn within cells); smooth, penalty: of categories' gradients. cells: bound on the combinations of bins that a fit holds.
@@ -348,7 +348,7 @@ def train(
     binning = _finest(df, learn_binning(df, categories, numbers), cells)
     outputs = len(classes) if objective == "multiclass" else 1
     found = settled(_cells(df, binning, label, fold, classes, objective))
-    models = [*range(folds), -1]
+    models = [*range(folds), *([-1] if whole or not folds else [])]
     sums = [f"s{k}" for k in range(outputs)]
     spread = found.withColumn("model", F.explode(F.filter(F.array(*map(F.lit, models)), lambda m: m != F.col("fold")) if folds else F.array(F.lit(-1))))
     spread = spread.groupBy("model", "key").agg(*(F.sum(c).alias(c) for c in ("n", *sums)))
@@ -362,7 +362,7 @@ def train(
 
     fitted = {r["model"]: Boosted.loads(r["told"]) for r in spread.groupBy("model").applyInArrow(fit, "model int, told string").collect()}
     none = np.zeros((len(binning.names), 0), np.uint8)
-    return {m: fitted.get(m) or boost(none, np.zeros(0), np.zeros((outputs, 0)), *options) for m in models if folds or m == -1}
+    return {m: fitted.get(m) or boost(none, np.zeros(0), np.zeros((outputs, 0)), *options) for m in models}
 
 
 def predicted(model: Boosted, df: DataFrame, into: str = "score") -> DataFrame:

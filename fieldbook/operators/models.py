@@ -32,7 +32,7 @@ def scores(model: Boosted, df: DataFrame, into: str = "score") -> DataFrame:
 
 def cross_validated(df: DataFrame, label: str, fold: str, folds: int, categories: Sequence[str], numbers: Sequence[str], **options) -> DataFrame:
     """(fold, n, auc, accuracy, f1, majority): each fold scored by a model that never saw it, beside the accuracy of the larger class. The models are fitted side by side."""
-    models = boosting.train(df, label, categories, numbers, fold=fold, folds=folds, **options)
+    models = boosting.train(df, label, categories, numbers, fold=fold, folds=folds, whole=False, **options)
     out = None
     for k in range(folds):
         test = df.where((F.col(fold) == k) & F.col(label).isNotNull())
