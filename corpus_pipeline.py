@@ -30,7 +30,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (a score under 0.3) go.
 
     Null and empty texts are scored like any other, equal texts alike; repeated rows and null ids stay or go one by one; columns may
-    have any names. An empty table gives an empty result.
+    have any names; very long texts are scored whole. An empty table gives an empty result.
     """
     name = unused(docs, "_score")
     trees = learn(docs, table(spark, sf_dir, "labels"))
@@ -40,14 +40,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id; documents without words or id stay.
 
-    Rows that share an id are one document and stay or go together.
+    Rows that share an id are one document and stay or go together; null and empty texts have no words; very long texts are compared whole;
+    columns may have any names; an empty table gives an empty result.
     """
     groups = jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document has are cut; texts without any stay as they are."""
+    """Passages of 50 words or more that an earlier document has are cut; texts without any stay as they are.
+
+    Null and empty texts stay so; a row with a null id is left whole; repeated rows, and rows that share an id, cut nothing from each other; very long
+    texts are cut whole; columns may have any names; an empty table gives an empty result.
+    """
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     cut = substring_dedup(docs, keep=rest, whole=True)
     places = {c: f"c{i}" for i, c in enumerate(rest)} | {"text": "kept", "n_chars": "length"}
@@ -56,12 +61,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become the name of their kind in brackets. Null texts stay null; repeated rows are masked alike; columns may have any names."""
+    """Personal data become the name of their kind in brackets. Null texts stay null; repeated rows are masked alike; very long texts are masked whole; columns may have any names; an empty table gives an empty result."""
     return mask_pii(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens; null texts are a closing token alone, repeated rows are packed once each, other columns go."""
+    """Sequences of at most 4096 tokens; null texts are a closing token alone, repeated rows are packed once each, very long texts are cut into pieces of 4096 tokens, other columns go; an empty table gives an empty result."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
