@@ -88,6 +88,18 @@ def forecast_ets(spark, d):
     return _rounded(T.forecast_ets(dense(spark, d), KEYS, "t", 18), "yhat", "sigma")
 
 
+@query(
+    f"""WITH {NAIVE}, able AS (SELECT level, key, category, count(*) >= 30 AND count(*) FILTER (y <> 0) >= 60 AS fits FROM dense GROUP BY ALL)
+SELECT level, key, category, t, h, CASE WHEN fits THEN 'ets' ELSE 'naive' END AS method, CASE WHEN NOT fits THEN {rounded_sql('yhat')} END AS naive_yhat, CASE WHEN NOT fits THEN {rounded_sql('sigma')} END AS naive_sigma
+FROM naive JOIN able USING (level, key, category)"""
+)
+def forecast_ets_fallback(spark, d):
+    """Which series are fitted and which fall back, with the fallback's figures: the part of `forecast_ets` that SQL can follow. Sixty months with cases are asked for, so that both occur."""
+    got = _rounded(T.forecast_ets(dense(spark, d), KEYS, "t", 18, least_nonzero=60), "yhat", "sigma")
+    fell = F.col("method") == "naive"
+    return got.select(*KEYS, "t", "h", "method", F.when(fell, F.col("yhat")).alias("naive_yhat"), F.when(fell, F.col("sigma")).alias("naive_sigma"))
+
+
 @query()
 def backtest_ets(spark, d):
     return T.backtest(dense(spark, d), KEYS, "t", END, T.forecast_ets)
