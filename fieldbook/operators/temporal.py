@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldbook.operators.ranking import running_total
 from fieldbook.session import written
 
 
@@ -95,6 +96,27 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_end
     return both.where(own & met & first).select("l_row.*", *(F.col(f"r_row.c{i}").alias(c) for i, c in enumerate(take.values())))
 
 
+def interval_load(left: DataFrame, right: DataFrame, key: Sequence[str], by: Sequence[str], left_ends: tuple[str, str], right_ends: tuple[str, str], into: str = "n") -> DataFrame:
+    """(key, n): how many pairs of `interval_join` the rows of each key of left are in, without any pair; keys with none don't appear.
+
+    An interval overlaps those that start before its end, but for those that end by its start. Both numbers are running totals over the moments, so
+    the work grows with the rows, however crowded a moment is. Moments of right are counted first; those of left are dealt by a hash of their key too.
+    """
+    ends = lambda df, names: df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), *(F.col(c).alias(f"_i{i}") for i, c in enumerate(key) if df is left), whole_number(df, names[0]).alias("_s"), whole_number(df, names[1]).alias("_e")).where("_s < _e").dropna(subset=[f"_k{i}" for i in range(len(by))] or ["_s"])
+    a, b = ends(left, left_ends), ends(right, right_ends)
+    keys, ids = [f"_k{i}" for i in range(len(by))], [f"_i{i}" for i in range(len(key))]
+    # Starts are looked up at ends and come after them at one moment; ends are looked up at starts and come before them.
+    mark = lambda of, side, t: F.struct(F.lit(of).alias("_of"), F.lit(side).alias("_side"), F.col(t).alias("_t"))
+    marks = lambda df, x, y: df.withColumn("_m", F.explode(F.array(x, y))).select("*", "_m.*").drop("_m", "_s", "_e")
+    points = marks(b, mark(0, 1, "_s"), mark(1, 0, "_e")).groupBy("_of", *keys, "_t", "_side").agg(F.count("*").alias("_w"))
+    probes = marks(a, mark(0, 0, "_e"), mark(1, 1, "_s")).withColumns({"_w": F.lit(0).cast("bigint"), "_h": F.xxhash64(*ids)})
+    every = b.agg(F.count("*").alias("_all"))
+    held = running_total(points.unionByName(probes, allowMissingColumns=True), ["_of", *keys, "_t", "_side", "_h"], "_w", "_before").where("_h is not null").crossJoin(F.broadcast(every))
+    # Every point of right has a start and an end, so keys before cancel out; all starts come before the first end.
+    n = F.sum(F.when(F.col("_of") == 0, F.col("_before")).otherwise(F.col("_all") - F.col("_before")))
+    return held.groupBy(*ids).agg(n.alias(into)).where(F.col(into) > 0).select(*(F.col(f"_i{i}").alias(c) for i, c in enumerate(key)), into)
+
+
 def subtotals(df: DataFrame, dims: Sequence[str], sums: Sequence[str], sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """Counts and sums for each grouping set (all subsets of the dimensions if none are given) with `level`, whose bits tell which dimensions are summed away.
 

@@ -77,3 +77,26 @@ def test_subtotals_tell_null_groups_from_totals(spark):
     some = T.subtotals(df, ["p", "q"], ["v"], [["p"], []])
     assert {r["level"] for r in some.collect()} == {1, 3}
     assert T.subtotals(df.limit(0), ["p"], ["v"], [["p"]]).count() == 0
+
+
+def test_load_of_intervals_without_their_pairs(spark):
+    draw = random.Random(9)
+    left, right = list(spans(draw, 400)), list(spans(draw, 400))
+    left += left[:3]
+    a = spark.createDataFrame(left, "k int, s bigint, e bigint, i int")
+    b = spark.createDataFrame(right, "k int, s bigint, e bigint, i int")
+    for by in (["k"], []):
+        want = {}
+        for x in left:
+            n = sum(None not in (x[1], y[1]) and x[2] > x[1] and y[2] > y[1] and x[1] < y[2] and y[1] < x[2] and (not by or (x[0] is not None and x[0] == y[0])) for y in right)
+            want[x[3]] = want.get(x[3], 0) + n
+        got = T.interval_load(a, b, ["i"], by, ("s", "e"), ("s", "e"))
+        assert {r["i"]: r["n"] for r in got.collect()} == {k: v for k, v in want.items() if v}
+    assert T.interval_load(a, b.limit(0), ["i"], [], ("s", "e"), ("s", "e")).count() == 0
+
+
+def test_load_of_a_crowd(spark):
+    """Everything overlaps everything: 10^10 pairs."""
+    a = spark.range(100_000).select("id", (F.col("id") % 7).alias("s"), (F.col("id") % 5 + 100).alias("e"))
+    got = T.interval_load(a, a, ["id"], [], ("s", "e"), ("s", "e"))
+    assert [tuple(r) for r in got.groupBy("n").count().collect()] == [(100_000, 100_000)]
