@@ -140,7 +140,7 @@ def cluster_summary(points: DataFrame, cluster: str, key: str, weight: str, unit
 
 
 def in_polygon(lat: Column, lon: Column, ring: Column) -> Column:
-    """Ray casting: whether a point is inside a ring (an array of structs lon, lat; closed or not)."""
+    """Ray casting: whether a point is inside a ring (an array of structs lon, lat; closed or not): a ray to the east crosses an odd number of edges."""
     crossings = F.aggregate(
         F.sequence(F.lit(1), F.size(ring)),
         F.lit(False),
@@ -170,7 +170,7 @@ def _edge_distance(lat: Column, lon: Column, ring: Column) -> Column:
 def point_in_polygon(points: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str = "lon", buffer: float = 0.0, ring: str = "ring") -> DataFrame:
     """Points inside the union of the polygons, widened by `buffer` degrees. Distinct places are tested once and joined back.
 
-    A polygon's box is tested before its edges. The polygons are a dimension; the planner broadcasts them if they are small.
+    A polygon's box is tested before its edges; of its border, what the rule of `in_polygon` gives in double precision is inside. The polygons are a dimension; the planner broadcasts them if they are small.
     """
     places = points.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where("_lat is not null and _lon is not null").distinct()
     lats, lons = F.transform(ring, lambda p: p["lat"]), F.transform(ring, lambda p: p["lon"])

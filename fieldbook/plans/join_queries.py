@@ -191,11 +191,15 @@ def cluster_summary(spark, d):
     return P.cluster_summary(clusters(spark, d), "cluster", "cell", "w", sites(spark, d), "site", "site_grp", top).select("cluster", "n_cells", "total", "lat", "lon", "radius_km", "site_grp", "category")
 
 
-#: Each region is a diamond around a point of its own.
-DIAMOND = "(abs(lat - (12.5 + r_regionkey * 1.2)) + abs(lon - (74.5 + r_regionkey * 0.8)) < 0.9)"
+#: Each region is a diamond around a point of its own; a point is inside if a ray to the east crosses an odd number of its edges, so a border belongs to the inside in the west.
+DIAMONDS = """diamonds AS (SELECT r_regionkey, 12.5e0 + CAST(r_regionkey AS DOUBLE) * 1.2e0 AS y, 74.5e0 + CAST(r_regionkey AS DOUBLE) * 0.8e0 AS x FROM region),
+edges AS (SELECT *, y + 0.9e0 AS y1, x AS x1, y AS y2, x + 0.9e0 AS x2 FROM diamonds UNION ALL SELECT *, y, x + 0.9e0, y - 0.9e0, x FROM diamonds
+  UNION ALL SELECT *, y - 0.9e0, x, y, x - 0.9e0 FROM diamonds UNION ALL SELECT *, y, x - 0.9e0, y + 0.9e0, x FROM diamonds),
+crossed AS (SELECT lat, lon, r_regionkey FROM (SELECT DISTINCT lat, lon FROM cases) JOIN edges ON lat BETWEEN y - 0.9e0 AND y + 0.9e0 AND lon BETWEEN x - 0.9e0 AND x + 0.9e0
+  AND (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
 
 
-@query(f"WITH {CASES} SELECT unit_id, count(*) AS n FROM cases WHERE EXISTS (SELECT 1 FROM region WHERE {DIAMOND}) GROUP BY unit_id")
+@query(f"WITH {CASES}, {DIAMONDS} SELECT unit_id, count(*) AS n FROM cases WHERE EXISTS (SELECT 1 FROM crossed WHERE crossed.lat = cases.lat AND crossed.lon = cases.lon) GROUP BY unit_id")
 def point_in_polygon(spark, d):
     k = F.col("r_regionkey").cast("double")
     lat, lon = F.lit(12.5) + k * 1.2, F.lit(74.5) + k * 0.8

@@ -40,6 +40,23 @@ def test_oracle(spark, duck, data, name):
     assert plain(ours) == plain(theirs)
 
 
+def test_borders_of_polygons(spark, duck, data, tmp_path):
+    """Units on the border of a diamond, where the last bit of a coordinate decides."""
+    lat, lon = "(11400 + k * 7919 % 7300)", "(73800 + k * 104729 % 5100)"
+    on = f"SELECT DISTINCT k FROM range(100000) t(k), range(5) r(i) WHERE k % 10 NOT IN (0, 1, 2) AND abs({lat} - 12500 - i * 1200) + abs({lon} - 74500 - i * 800) = 900"
+    con = duck.cursor()
+    made = {"customer": f"SELECT k AS c_custkey, 'c' AS c_name, 1 AS c_nationkey, 0.0::DOUBLE AS c_acctbal, 'BUILDING' AS c_mktsegment FROM ({on})", "nation": "SELECT * FROM nation", "region": "SELECT * FROM region"}
+    made["orders"] = f"SELECT k AS o_orderkey, k AS o_custkey, 'F' AS o_orderstatus, 1.0::DOUBLE AS o_totalprice, TIMESTAMP '1999-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM ({on})"
+    for name, sql in made.items():
+        con.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    own = duckdb.connect()
+    for name in made:
+        own.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    ours, theirs = OWN["point_in_polygon"](spark, str(tmp_path)).toPandas(), own.sql(SQL["point_in_polygon"]).df()
+    assert 0 < len(ours) < own.sql("select k.c from (select count(*) c from customer) k").df()["c"][0]
+    assert plain(ours) == plain(theirs)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
