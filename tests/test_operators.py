@@ -283,3 +283,13 @@ def test_citations_are_numbered_row_by_row(spark):
     one = [("A", "2", 2, 1), ("B", "1", 1, 2), ("B", "3", 1, 1), ("B", "7", 1, 3)]
     assert sorted(tuple(r) for r in got.collect()) == [(i, *x) for i in (1, 2) for x in one] + [(5, "", "9", 1, 1)]
     assert not any(x in _plan(got) for x in ("Join", "Window", "Sort", "Aggregate"))
+
+
+def test_citations_are_counted_in_one_pass(spark):
+    from fieldbook.operators.aggregates import citation_counts
+
+    rows = [("A U/s: 1,1 B U/s: 2",), ("A U/s: 1,1 B U/s: 2",), ("A",), (None,)]
+    acts, pairs = citation_counts(spark.createDataFrame(rows, "t string"), "t")
+    assert sorted(tuple(r) for r in acts.collect()) == [("A", 3), ("B", 2)]
+    assert sorted(tuple(r) for r in pairs.collect()) == [("A", "1", 4), ("B", "2", 2)]
+    assert "Aggregate" not in _plan(acts) + _plan(pairs)  # what was counted is read, not counted again
