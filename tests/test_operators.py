@@ -293,3 +293,23 @@ def test_citations_are_counted_in_one_pass(spark):
     assert sorted(tuple(r) for r in acts.collect()) == [("A", 3), ("B", 2)]
     assert sorted(tuple(r) for r in pairs.collect()) == [("A", "1", 4), ("B", "2", 2)]
     assert "Aggregate" not in _plan(acts) + _plan(pairs)  # what was counted is read, not counted again
+
+
+def test_edges_are_made_once(spark, data, monkeypatch):
+    from fieldbook.operators.graph import louvain
+    from fieldbook.plans import graph_queries
+
+    made = spark.sparkContext.accumulator(0)
+
+    def told(rows):
+        for batch in rows:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([("a", "b", 1, 1.0), ("b", "c", 1, 1.0), ("a", "c", 1, 1.0), ("d", "e", 1, 2.0)], "a string, b string, weight int, lw double")
+    found = louvain(edges.mapInArrow(told, edges.schema)).collect()
+    assert made.value == 4 and len(found) == 5
+    calls, real = [], graph_queries.edges
+    monkeypatch.setattr(graph_queries, "edges", lambda *a: calls.append(a) or real(*a))
+    graph_queries.entity_detail(spark, data)
+    assert len(calls) == 1
