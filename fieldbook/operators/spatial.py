@@ -36,29 +36,61 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat",
 
 
 def knn1_join(queries: DataFrame, key: str, points: DataFrame, point: str, lat: str = "lat", lon: str = "lon", small: int = 5000, start_km: float = 25.0) -> DataFrame:
-    """The nearest point of each query (ties to the smaller point) and its distance.
+    """The nearest point of each query (ties to the smaller point) and its distance. Places count once, however many queries or points share them.
 
-    Up to `small` points, which is checked, the points are broadcast. Beyond, the search radius grows for those that have found
+    Up to `small` points and a thousand times as many pairs, which is checked, the points are broadcast. Beyond, the search radius starts at start_km
+    or, where that meets more than PAIRS_A_QUERY points for each query, at a quarter of it, and so on; it grows for those that have found
     none within it, so that each round is a grid join; those that are far from all points look through cells of one degree first.
     """
-    q = queries.select(key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    from fieldbook.session import settled
+
+    every = queries.select(key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    q = settled(every.select(lat, lon).distinct().withColumns({"_q": F.struct(lat, lon)}))
     p = points.select(F.col(point), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where("_lat is not null and _lon is not null")
-    best = lambda df: df.groupBy(key).agg(F.min(F.struct("km", F.col(point).alias("p"))).alias("m")).select(key, F.col("m.p").alias(point), F.col("m.km").alias("km"))
-    if p.limit(small + 1).count() <= small:
-        return best(q.crossJoin(F.broadcast(p)).withColumn("km", haversine(lat, lon, "_lat", "_lon")))
+    right = settled(p.groupBy(F.col("_lat").alias(lat), F.col("_lon").alias(lon)).agg(F.min(point).alias("p")).select("p", lat, lon))
+    nearest = _nearest(q, right, lat, lon, small, start_km)
+    return every.join(nearest, [lat, lon]).select(key, F.col("p").alias(point), "km")
+
+
+#: Points that a query meets on average in the first round of a search.
+PAIRS_A_QUERY = 32
+
+
+def _nearest(q: DataFrame, right: DataFrame, lat: str, lon: str, small: int, start_km: float) -> DataFrame:
+    """(lat, lon, p, km) of distinct places; both sides are settled."""
     from fieldbook.session import settled
 
+    best = lambda df, p: df.groupBy("_q").agg(F.min(F.struct("km", F.col(p).alias("p"))).alias("m")).select("_q", "m.p", "m.km")
+    told = lambda df: df.select(f"_q.{lat}", f"_q.{lon}", "p", "km")
+    n, n_points = q.count(), right.count()
+    if n_points <= small and n * n_points <= 1000 * small:
+        r = right.select("p", F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+        return told(best(q.crossJoin(F.broadcast(r)).withColumn("km", haversine(lat, lon, "_lat", "_lon")), "p"))
+    top = q.select(lat).union(right.select(lat)).agg(F.max(F.abs(lat))).first()[0] or 0.0
+    # A circle around a point of latitude y reaches no farther than its radius by the cosine of y and the radius.
+    reach = lambda km: min(85.0, top + km / KM_A_DEGREE)
     found, radius = None, start_km
-    right = settled(p.select(F.col(point).alias("p"), F.col("_lat").alias(lat), F.col("_lon").alias(lon)))
+    for _ in range(8):
+        if _met(q, right, radius, lat, lon, reach(radius)) <= PAIRS_A_QUERY * n:
+            break
+        radius /= 4
     while radius < 1.3e4:
-        near = radius_join(q, right, radius, lat, lon, max_lat=85.0).groupBy(key).agg(F.min(F.struct("km", F.col("r_p").alias("p"))).alias("m")).select(key, F.col("m.p").alias(point), F.col("m.km").alias("km"))
-        near = settled(near)
+        near = settled(best(radius_join(q, right, radius, lat, lon, reach(radius)), "r_p"))
         found = near if found is None else found.unionByName(near)
-        q = settled(q.join(near.select(key), key, "left_anti"))
+        q = settled(q.join(near.select("_q"), "_q", "left_anti"))
         if q.isEmpty():
-            return found
+            return told(found)
         radius *= 4
-    return found.unionByName(_farthest(q, key, right, point, lat, lon))
+    return told(found.unionByName(_farthest(q, "_q", right, "p", lat, lon)))
+
+
+def _met(left: DataFrame, right: DataFrame, km: float, lat: str, lon: str, max_lat: float) -> int:
+    """How many pairs a radius join would test, from the counts of its cells."""
+    dy, dx = _steps(km, max_lat)
+    count = lambda df, n: df.groupBy(F.floor(F.col(lat) / dy).alias("_y"), F.floor(F.col(lon) / dx).alias("_x")).agg(F.count("*").alias(n))
+    around = F.explode(F.expr("flatten(transform(sequence(_y - 1, _y + 1), y -> transform(sequence(_x - 1, _x + 1), x -> struct(y as _y, x as _x))))"))
+    b = count(right, "m").select(around.alias("_o"), "m").select("_o.*", "m")
+    return count(left, "n").join(b, ["_y", "_x"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
 
 
 def _farthest(q: DataFrame, key: str, points: DataFrame, point: str, lat: str, lon: str) -> DataFrame:

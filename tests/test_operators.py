@@ -313,3 +313,21 @@ def test_edges_are_made_once(spark, data, monkeypatch):
     monkeypatch.setattr(graph_queries, "edges", lambda *a: calls.append(a) or real(*a))
     graph_queries.entity_detail(spark, data)
     assert len(calls) == 1
+
+
+def test_nearest_of_a_crowd(spark):
+    """2,000 queries and 6,000 points within some kilometres, copies among them: few pairs, whichever way they are found."""
+    from pyspark.sql import functions as F
+
+    from fieldbook.operators import spatial
+
+    place = lambda k: ((15 + F.col("id") * 7919 % 1999 / 40000).alias("lat"), (76 + F.col("id") * 104729 % k / 40000).alias("lon"))
+    q, p = spark.range(2000).select("id", *place(1009)), spark.range(6000).select(F.col("id").alias("site"), *place(997))
+    a = spatial.knn1_join(q, "id", p, "site")
+    km = spatial.haversine(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo"))
+    pairs = q.crossJoin(p.select("site", F.col("lat").alias("la"), F.col("lon").alias("lo"))).withColumn("km", km)
+    want = pairs.groupBy("id").agg(F.min(F.struct("km", "site")).alias("m")).select("id", "m.site", "m.km")
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in want.collect())
+    twice = spatial.knn1_join(q.unionByName(q.limit(0)), "id", p.unionByName(p.withColumn("site", F.col("site") + 6000)), "site")
+    assert sorted(tuple(r) for r in twice.collect()) == sorted(tuple(r) for r in want.collect())
+    assert spatial._met(q, p, 25.0, "lat", "lon", 20.0) > 1000 * spatial.PAIRS_A_QUERY  # what the first round met before
