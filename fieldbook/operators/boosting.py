@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.operators.ranking import top_values
 from fieldbook.session import settled, ship
 
 #: Bins of a feature besides the one of missing and unknown values, which is 0.
@@ -266,11 +265,8 @@ def boost(x: np.ndarray, n: np.ndarray, sums: np.ndarray, objective: str, binnin
 
 def learn_binning(df: DataFrame, categories: Sequence[str], numbers: Sequence[str]) -> Binning:
     """The most frequent levels of each category and about MOST_BINS quantiles of each number: what comes back is bounded by them."""
-    levels = {c: [r[0] for r in top_values(df.select(F.col(c).cast("string").alias(c)).where(F.col(c).isNotNull()), c, MOST_BINS).orderBy(c).collect()] for c in categories}
-    counts = {c: df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")) for c in categories}
-    for c in categories:
-        times = {r["v"]: r["n"] for r in counts[c].where(F.col("v").isin(levels[c])).collect()} if levels[c] else {}
-        levels[c] = sorted(levels[c], key=lambda v: (-times.get(v, 0), v))
+    most = lambda c: df.select(F.col(c).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(MOST_BINS)
+    levels = {c: [r["v"] for r in sorted(most(c).collect(), key=lambda r: (-r["n"], r["v"]))] for c in categories}
     edges: dict[str, list[float]] = {}
     if numbers:
         shares = [k / MOST_BINS for k in range(1, MOST_BINS)]
@@ -365,6 +361,24 @@ def train(
     return {m: fitted.get(m) or boost(none, np.zeros(0), np.zeros((outputs, 0)), *options) for m in models}
 
 
+def _remembered(model: Boosted) -> Callable[[np.ndarray], pa.Array]:
+    """Predictions for rows of bins; equal rows are told once for as long as the task remembers them, CELLS of them at most."""
+    held: dict[bytes, float | str] = {}
+
+    def told(x: np.ndarray) -> pa.Array:
+        x = np.ascontiguousarray(np.concatenate([np.zeros((len(x), 1), np.uint8), x], 1))  # a model may have no feature
+        names, first, inverse = np.unique(x.view(np.dtype((np.void, x.shape[1])))[:, 0], return_index=True, return_inverse=True)
+        keys = [v.tobytes() for v in names]
+        if len(held) + len(keys) > CELLS:
+            held.clear()
+        if new := [i for i, v in enumerate(keys) if v not in held]:
+            got = model.predict(x[first[new], 1:])
+            held.update(zip((keys[i] for i in new), [model.classes[k] for k in got.argmax(1)] if model.objective == "multiclass" else got.tolist(), strict=True))
+        return pa.array([held[v] for v in keys], pa.string() if model.objective == "multiclass" else pa.float64()).take(pa.array(inverse))
+
+    return told
+
+
 def predicted(model: Boosted, df: DataFrame, into: str = "score") -> DataFrame:
     """Adds the probability of label 1, the number, or for many classes the likeliest class (ties: the first)."""
     ship(df.sparkSession)
@@ -374,11 +388,10 @@ def predicted(model: Boosted, df: DataFrame, into: str = "score") -> DataFrame:
     kept = [f"c{i}" for i in range(len(df.columns))]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = _remembered(model)
         for batch in source:
             x = model.binning.bins(pa.RecordBatch.from_arrays([batch.column(f"_f{i}") for i in range(len(names))], names) if names else batch)
-            got = model.predict(x)
-            found = pa.array([model.classes[k] for k in got.argmax(1)], pa.string()) if model.objective == "multiclass" else pa.array(got, pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "_found"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), told(x)], [*kept, "_found"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name in kept)
     got = own.mapInArrow(run, f"{kinds}, _found {kind}")

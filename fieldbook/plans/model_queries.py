@@ -16,7 +16,7 @@ from fieldbook.operators.stats import average_rank_auc, verdict
 from fieldbook.plans.bindings import CASES, LINES, cases, lines
 from fieldbook.plans.registry import query, rounded_sql
 from fieldbook.plans.series_queries import PANEL, panel
-from fieldbook.session import checkpoint_folder, settled, table
+from fieldbook.session import checkpoint_folder, settled, table, written
 
 CATEGORIES, NUMBERS = ["category", "segment", "parent"], ["month", "dow", "n_items"]
 MODEL = f"""{CASES}, {LINES}, k AS (SELECT case_id, count(*) AS n_items, min(item) AS first_item FROM lines GROUP BY case_id), mt AS (SELECT case_id, year, month, CAST(isodow(day) - 1 AS INT) AS dow, CASE WHEN month IN (12, 1, 2) THEN 'Winter' WHEN month <= 5 THEN 'Summer' WHEN month <= 9 THEN 'Monsoon' ELSE 'Post-Monsoon' END AS season,
@@ -41,8 +41,9 @@ def label_map(spark, d):
     return cases(spark, d).select("case_id", M.label_map("status", ["F"], ["O"]).cast("double").alias("label"))
 
 
-def _labelled(spark, d):
-    got = features(spark, d).withColumn("label", M.label_map("status", ["F"], ["O"])).where("label is not null")
+def _labelled(spark, d, f=None):
+    """Made from features that are written once, since folds read them twice."""
+    got = (written(features(spark, d)) if f is None else f).withColumn("label", M.label_map("status", ["F"], ["O"])).where("label is not null")
     return settled(R.stratified_folds(got, "label", ["case_id"], 3))
 
 

@@ -158,3 +158,48 @@ def test_nothing_to_learn_from(spark):
     for frame in (empty, rows):
         assert [r["score"] for r in M.scores(M.train_binary(frame, "y", ["c"], ["x"]), rows).collect()] == [0.5]
     assert M.scores(M.train_binary(rows, "y", ["c"], ["x"]), empty).count() == 0
+
+
+def test_equal_rows_are_predicted_once():
+    from fieldbook.operators.boosting import _remembered
+
+    asked = []
+
+    class Model:
+        objective, classes = "binary", []
+
+        def predict(self, x):
+            asked.append(len(x))
+            return x.sum(1) / 10
+
+    told = _remembered(Model())
+    rows = np.array([[1, 2], [0, 3], [1, 2], [0, 0]], np.uint8)
+    assert told(rows).to_pylist() == [0.3, 0.3, 0.3, 0.0] and told(rows[::-1]).to_pylist() == [0.0, 0.3, 0.3, 0.3]
+    assert asked == [3]
+    assert told(np.zeros((2, 0), np.uint8)).to_pylist() == [0.0, 0.0]
+
+
+def test_features_are_made_once(spark, data, monkeypatch):
+    from fieldbook.plans import model_queries as Q
+
+    made, real = spark.sparkContext.accumulator(0), Q.features
+
+    def told(rows):
+        for batch in rows:
+            made.add(batch.num_rows)
+            yield batch
+
+    def counted(spark, d):
+        f = real(spark, d)
+        return f.mapInArrow(told, f.schema)
+
+    monkeypatch.setattr(Q, "features", counted)
+    n = real(spark, data).count()
+    Q._labelled(spark, data)
+    assert made.value == n
+    monkeypatch.setattr(Q.M, "train_multiclass", lambda train, test, *a: train.count() + test.count())
+    assert Q.train_multiclass(spark, data) == n and made.value == 2 * n
+    monkeypatch.setattr(Q, "_saved", lambda *a: "")
+    monkeypatch.setattr(Q.M, "read_contract", lambda *a: {"features": ["x"], "rows": 1, "levels": {"first_item": ["y"]}})
+    Q.save_contract(spark, data).collect()
+    assert made.value == 3 * n
