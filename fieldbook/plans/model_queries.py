@@ -127,10 +127,10 @@ def growth_drivers(spark, d):
     return M.row_drivers(M.fit_growth(known, "target", "lag1", GROWTH_NUMBERS, "year", 2000), known.where("year = 2000"), ["grp"], names=GROWTH_NAMES, none="mixed factors")
 
 
-def _saved(spark, d) -> str:
+def _saved(spark, d, f=None) -> str:
     path = f"{checkpoint_folder(spark)}/model-{uuid.uuid4().hex}"
     categories = ["category", "first_item", "parent"]
-    f = _labelled(spark, d)
+    f = _labelled(spark, d, f)
     contract = M.make_contract(f, categories, NUMBERS, {"first_item": 8})
     model = M.train_binary(M.apply_contract(f, contract), "label", categories, NUMBERS)
     M.save_contract(model, path, f, contract, {"folds": 3.0})
@@ -140,9 +140,10 @@ def _saved(spark, d) -> str:
 @query(f"""WITH {MODEL}, known AS (SELECT * FROM mt WHERE status IN ('F', 'O')), top AS (SELECT first_item FROM known GROUP BY first_item ORDER BY count(*) DESC, first_item LIMIT 8)
 SELECT status, count(*) AS n, 'category; first_item; parent; month; dow; n_items' AS features, (SELECT count(*) FROM known) AS model_rows, (SELECT string_agg(x, '; ' ORDER BY x) FROM (SELECT first_item AS x FROM top UNION ALL SELECT 'OTHER')) AS levels FROM mt GROUP BY status""")
 def save_contract(spark, d):
-    c = M.read_contract(spark, _saved(spark, d))
+    f = written(features(spark, d))
+    c = M.read_contract(spark, _saved(spark, d, f))
     told = {"features": F.lit("; ".join(c["features"])), "model_rows": F.lit(c["rows"]).cast("bigint"), "levels": F.lit("; ".join(c["levels"]["first_item"]))}
-    return features(spark, d).groupBy("status").agg(F.count("*").alias("n")).withColumns(told)
+    return f.groupBy("status").agg(F.count("*").alias("n")).withColumns(told)
 
 
 CONTRACT = {"features": ["item", "kind", "quantity"], "numbers": ["quantity"], "kept": {"item": ["Brand#11", "Brand#12"]}, "levels": {"item": ["Brand#11", "Brand#12", "OTHER"], "kind": ["ECONOMY", "PROMO"]}}
