@@ -12,7 +12,7 @@ from fieldbook.operators.ranking import argmax_per_group
 from fieldbook.plans.bindings import CASES, cases
 from fieldbook.plans.registry import query, rounded_sql
 from fieldbook.plans.scalar_queries import HAVERSINE
-from fieldbook.session import table
+from fieldbook.session import table, written
 
 #: One region plays the part that isn't geographic.
 DIM = """dim AS (SELECT n_name AS member, r_name AS parent, 'K' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code, r_name <> 'MIDDLE EAST' AS is_geographic, n_nationkey
@@ -164,8 +164,8 @@ clusters AS (SELECT cell, lat, lon, w, CAST(coalesce(core_of.cluster, border.c,
 
 
 def clusters(spark, d):
-    c = cells(spark, d)
-    return c.join(P.dbscan_weighted(c, "cell", "w", 25.0, 105), "cell")
+    c = written(cells(spark, d))  # read several times, made from all cases
+    return written(c.join(P.dbscan_weighted(c, "cell", "w", 25.0, 105), "cell"))
 
 
 @query(f"WITH RECURSIVE {DBSCAN} SELECT cell, cluster FROM clusters")

@@ -331,3 +331,18 @@ def test_nearest_of_a_crowd(spark):
     twice = spatial.knn1_join(q.unionByName(q.limit(0)), "id", p.unionByName(p.withColumn("site", F.col("site") + 6000)), "site")
     assert sorted(tuple(r) for r in twice.collect()) == sorted(tuple(r) for r in want.collect())
     assert spatial._met(q, p, 25.0, "lat", "lon", 20.0) > 1000 * spatial.PAIRS_A_QUERY  # what the first round met before
+
+
+def test_cells_are_made_once_for_clusters(spark, data, monkeypatch):
+    from fieldbook.plans import join_queries as Q
+
+    made, real = spark.sparkContext.accumulator(0), Q.cells
+
+    def told(rows):
+        for batch in rows:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(Q, "cells", lambda *a: real(*a).mapInArrow(told, real(*a).schema))
+    n = real(spark, data).count()
+    assert Q.clusters(spark, data).count() == n and made.value == n
