@@ -7,7 +7,7 @@ block: the block learns only that it is frequent, which puts it last in everyone
 Shingles of one set alone cannot count towards any overlap and stop there. The rest goes back to the sets,
 in blocks again. A set of n shingles links with none unless at least 75 % of n are shared ones (the first
 size-derived bound); of those that are left, the rarest shingles beyond that bound must meet a partner's
-rarest ones, so sets that share one of these are candidates.
+rarest ones, so sets that share one of these are candidates. Of shingles that the same sets have there, one is kept.
 
 Candidates of a shingle are first compared with one of its sets, its hub, and linked sets become components; this is repeated
 with other hubs for frequent shingles whose sets are still in several components. That takes rows in proportion to the
@@ -18,6 +18,7 @@ counts accumulate, and pairs that can no longer reach 75 * (n + m) / 175 are dis
 found, not all pairs. So only sets that share a frequent shingle among their rarest and yet aren't alike cost more than in proportion:
 m of them m / 256 rows each.
 
+A set's hash goes with its entries once for each block it lies in, and its size once to its row block.
 Equal sets are one row of the matrix, so exact copies cost nothing after the first shuffle.
 Shingles are equal if 48 bits of their hashes and their block are, sets if the 64-bit sums of their shingles' hashes are.
 """
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 
 from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, stretches, utf8
 from fieldbook.operators.components import connected_components
-from fieldbook.operators.skew import hot_keys, spread_join
+from fieldbook.operators.skew import HOT_SHARE, LEAST_HOT, hot_keys, spread_join
 from fieldbook.session import ship, written
 
 #: Shingles that a map task gathers before it sends a block to every partition.
 FLUSH = 1_000_000
 #: A shingle in this share of the sets of a flush, and in so many at least, is frequent there.
 FREQUENT_SHARE, FREQUENT_SETS = 0.01, 32
+#: Words of a shingle that choose its column block: fewer would put more shingles of a set together, but fill blocks less evenly.
+STRETCH = 3
 #: Turns of comparing sets with hubs, and the most sets of a shingle whose open pairs are compared one by one.
 HUB_TURNS, RARE = 2, 32
 #: Rows that meet one copy of a hub.
@@ -48,10 +51,10 @@ _HUB_ROWS = 100
 #: Stands for the count of sets of a shingle that is frequent in some flush.
 _FREQUENT = np.uint32(0xFFFFFFFF)
 _PAYLOAD = np.uint64((1 << 48) - 1)
-_TO_BLOCK = pa.schema([("key", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64()))])
-_BLOCK_SQL = "key int, lo binary, hi binary, sigs binary, sizes binary, counts binary, ids array<bigint>, doc_sizes array<bigint>, doc_sigs array<bigint>"
-_TO_SET = pa.schema([("key", pa.int32()), ("grams", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("freqs", pa.binary()), ("ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64()))])
-_SET_SQL = "key int, grams binary, sigs binary, sizes binary, freqs binary, ids array<bigint>, doc_sizes array<bigint>, doc_sigs array<bigint>"
+_TO_BLOCK = pa.schema([("key", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary()), ("sigs", pa.binary()), ("counts", pa.binary()), ("freqs", pa.binary()), ("sizes", pa.binary()), ("ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64()))])
+_BLOCK_SQL = "key int, lo binary, hi binary, sigs binary, counts binary, freqs binary, sizes binary, ids array<bigint>, doc_sizes array<bigint>, doc_sigs array<bigint>"
+_TO_SET = pa.schema([("key", pa.int32()), ("grams", pa.binary()), ("sigs", pa.binary()), ("counts", pa.binary()), ("freqs", pa.binary()), ("sizes", pa.binary()), ("ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64()))])
+_SET_SQL = "key int, grams binary, sigs binary, counts binary, freqs binary, sizes binary, ids array<bigint>, doc_sizes array<bigint>, doc_sigs array<bigint>"
 _SETS = pa.schema([("sig", pa.int64()), ("size", pa.int64()), ("n_prefix", pa.int64()), ("grams", pa.binary()), ("ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64()))])
 _SETS_SQL = "sig bigint, size bigint, n_prefix bigint, grams binary, ids array<bigint>, doc_sizes array<bigint>, doc_sigs array<bigint>"
 _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
@@ -60,7 +63,8 @@ _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 def shingles(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles: ASCII lower case, words between ASCII white space.
 
-    Fewer words than `width`: the whole sequence as one; no word: none.
+    Fewer words than `width`: the whole sequence as one; no word: none. The upper 16 bits, which name the column block, follow from the stretch
+    of `STRETCH` words in the shingle that has the smallest hash. Neighbours often share it, so a set lies in half as many blocks.
     """
     words = text.lower().split() if text else []
     if not words:
@@ -70,16 +74,38 @@ def shingles(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
     g = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
         g = g * np.uint64(BASE) + h[i : len(h) - k + 1 + i]
-    return np.unique(mixed(g))
+    m = min(STRETCH, k)
+    t = np.zeros(len(words) - m + 1, np.uint64)
+    for i in range(m):
+        t = t * np.uint64(BASE) + h[i : len(h) - m + 1 + i]
+    t = mixed(t)
+    least = t[: len(g)]
+    for i in range(1, k - m + 1):
+        least = np.minimum(least, t[i : i + len(g)])
+    return np.unique((mixed(g) & _PAYLOAD) | (mixed(least ^ np.uint64(BASE)) & ~_PAYLOAD))
 
 
-def _to_sets(gram: np.ndarray, sig: np.ndarray, size: np.ndarray, freq: np.ndarray, keys: list[int], gram_name: str, freq_name: str) -> Iterator[dict]:
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal neighbours; a length is one byte, so long runs are split."""
+    starts = runs(x)
+    place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    starts = np.flatnonzero(place % 255 == 0)
+    return starts, np.diff(np.append(starts, len(x))).astype(np.uint8)
+
+
+def _home(sig: np.ndarray, partitions: int) -> np.ndarray:
+    """The row block of each set."""
+    return ((sig >> np.uint64(48)) % np.uint64(partitions)).astype(np.uint32)
+
+
+def _to_sets(gram: np.ndarray, sig: np.ndarray, freq: np.ndarray, keys: list[int], gram_name: str) -> Iterator[dict]:
     """Entries packed for the row blocks of their sets."""
-    part = ((sig >> np.uint64(48)) % np.uint64(len(keys))).astype(np.uint32)
+    part = _home(sig, len(keys))
     order = np.lexsort((sig, part))
-    part, gram, sig, size, freq = part[order], gram[order], sig[order], size[order], freq[order]
+    part, gram, sig, freq = part[order], gram[order], sig[order], freq[order]
     for a, b in stretches(runs(part), len(part)):
-        yield {"key": keys[part[a]], gram_name: packed(gram[a:b]), "sigs": packed(sig[a:b]), "sizes": packed(size[a:b]), freq_name: packed(freq[a:b])}
+        first, counts = _counted(sig[a:b])
+        yield {"key": keys[part[a]], gram_name: packed(gram[a:b]), "sigs": packed(sig[a:b][first]), "counts": packed(counts), "freqs": packed(freq[a:b])}
 
 
 def _blocks(keys: list[int], width: int):
@@ -92,6 +118,11 @@ def _blocks(keys: list[int], width: int):
         part, all_grams = part[order], all_grams[order] & _PAYLOAD
         row = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)[order]
         sig, size = np.array(sigs, np.uint64), np.array(sizes, np.uint32)
+        # A set's size goes to its row block once, not with its entries in every column block.
+        home = _home(sig, partitions)
+        by_home = np.argsort(home, kind="stable")
+        for a, b in stretches(runs(home[by_home]), len(home)):
+            yield {"key": keys[home[by_home[a]]], "sigs": packed(sig[by_home[a:b]]), "sizes": packed(size[by_home[a:b]])}
         # What is frequent here goes to its sets at once; the column block only hears that it is, by an entry of set 0.
         number = all_grams | part.astype(np.uint64) << np.uint64(48)
         by_number = np.argsort(number)
@@ -100,19 +131,18 @@ def _blocks(keys: list[int], width: int):
         often = np.zeros(len(number), bool)
         often[by_number] = np.repeat(times >= max(FREQUENT_SETS, FREQUENT_SHARE * len(grams)), times)
         if often.any():
-            yield from _to_sets(number[often], sig[row[often]], size[row[often]], np.full(often.sum(), _FREQUENT), keys, "lo", "counts")
+            yield from _to_sets(number[often], sig[row[often]], np.full(often.sum(), _FREQUENT), keys, "lo")
             told = np.unique(number[often])
-            sig, size = np.append(sig, np.uint64(0)), np.append(size, np.uint32(0))
+            sig = np.append(sig, np.uint64(0))
             part = np.concatenate([part[~often], (told >> np.uint64(48)).astype(part.dtype)])
             all_grams, row = np.concatenate([all_grams[~often], told & _PAYLOAD]), np.concatenate([row[~often], np.full(len(told), len(grams), np.int32)])
             order = np.argsort(part, kind="stable")
             part, all_grams, row = part[order], all_grams[order], row[order]
         starts = runs(part)
         for a, b in stretches(starts, len(part)):
-            first = runs(row[a:b])
-            own = row[a:b][first]
+            first, counts = _counted(row[a:b])
             g = all_grams[a:b]
-            yield {"key": keys[part[a]], "lo": packed(g.astype(np.uint32)), "hi": packed((g >> np.uint64(32)).astype(np.uint16)), "sigs": packed(sig[own]), "sizes": packed(size[own]), "counts": packed(np.diff(np.append(first, b - a)).astype(np.uint32))}
+            yield {"key": keys[part[a]], "lo": packed(g.astype(np.uint32)), "hi": packed((g >> np.uint64(32)).astype(np.uint16)), "sigs": packed(sig[row[a:b][first]]), "counts": packed(counts)}
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes = WordHashes()
@@ -147,6 +177,13 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist() if x is not None)])
 
 
+def _set_sizes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sets in order and their sizes, each set once."""
+    table = table.filter(table.column("sizes").is_valid())
+    sig, first = np.unique(_joined(table, "sigs", np.uint64), return_index=True)
+    return sig, _joined(table, "sizes", np.uint32)[first]
+
+
 def _documents(table: pa.Table) -> list[dict]:
     return [x for x in table.select(["ids", "doc_sizes", "doc_sigs"]).to_pylist() if x["ids"] is not None]
 
@@ -159,30 +196,32 @@ def _count(keys: list[int]):
         key = table.column("key")[0].as_py()
         for x in table.filter(pc.and_(table.column("hi").is_null(), table.column("lo").is_valid())).to_pylist():
             # Sent on with the key of the sets, as they came.
-            yield {"key": x["key"], "grams": x["lo"], "sigs": x["sigs"], "sizes": x["sizes"], "freqs": x["counts"]}
+            yield {"key": x["key"], "grams": x["lo"], "sigs": x["sigs"], "counts": x["counts"], "freqs": x["freqs"]}
+        own, size = _set_sizes(table)
+        if len(own):
+            yield {"key": key, "sigs": packed(own), "sizes": packed(size)}
         for x in _documents(table):
             yield {"key": key} | x
         table = table.filter(table.column("hi").is_valid())
         gram = _joined(table, "lo", np.uint32).astype(np.uint64) | (_joined(table, "hi", np.uint16).astype(np.uint64) << np.uint64(32))
-        counts = _joined(table, "counts", np.uint32)
-        sig, size = np.repeat(_joined(table, "sigs", np.uint64), counts), np.repeat(_joined(table, "sizes", np.uint32), counts)
+        sig = np.repeat(_joined(table, "sigs", np.uint64), _joined(table, "counts", np.uint8))
         order = np.argsort(gram)
         gram = gram[order]
         same = np.concatenate([[False], gram[1:] == gram[:-1], [False]]) if len(gram) else np.zeros(1, bool)
         kept = same[1:] | same[:-1]
         order, gram = order[kept], gram[kept]
-        sig, size = sig[order], size[order]
+        sig = sig[order]
         order = np.lexsort((sig, gram))
-        gram, sig, size = gram[order], sig[order], size[order]
+        gram, sig = gram[order], sig[order]
         if len(gram):
             new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])])
-            gram, sig, size = gram[new], sig[new], size[new]
+            gram, sig = gram[new], sig[new]
         starts = runs(gram)
         times = np.diff(np.append(starts, len(gram)))
         told = sig[starts] == 0  # set 0 sorts first
         freq = np.repeat(np.where(told, _FREQUENT, times.astype(np.uint32)), times).astype(np.uint32)
         shared = (freq > 1) & (sig != 0)
-        yield from _to_sets(gram[shared] | np.uint64(number[key] << 48), sig[shared], size[shared], freq[shared], keys, "grams", "freqs")
+        yield from _to_sets(gram[shared] | np.uint64(number[key] << 48), sig[shared], freq[shared], keys, "grams")
 
     return lambda table: pa.Table.from_batches(list(batches(rows(table), _TO_SET)), _TO_SET)
 
@@ -191,19 +230,23 @@ def _sets(percent: int):
     """A row block: sets with enough shared shingles, rarest first, and how many of those a partner must meet."""
 
     def rows(table: pa.Table) -> Iterator[dict]:
-        gram, sig = _joined(table, "grams", np.uint64), _joined(table, "sigs", np.uint64)
-        size, freq = _joined(table, "sizes", np.uint32).astype(np.int64), _joined(table, "freqs", np.uint32)
+        own_sig, own_size = _set_sizes(table)
+        entries = table.filter(table.column("grams").is_valid())
+        gram, freq = _joined(entries, "grams", np.uint64), _joined(entries, "freqs", np.uint32)
+        sig = np.repeat(_joined(entries, "sigs", np.uint64), _joined(entries, "counts", np.uint8))
         order = np.lexsort((gram, sig))
         if len(order):  # copies in several flushes send a frequent shingle each
             g, x = gram[order], sig[order]
             order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])]
         starts = runs(sig[order])
         shared = np.diff(np.append(starts, len(order)))
-        needed = -(-percent * size[order][starts] // 100)
-        for a, n, need in zip(starts[shared >= needed], shared[shared >= needed], needed[shared >= needed], strict=True):
+        size = own_size[np.searchsorted(own_sig, sig[order][starts])].astype(np.int64)
+        needed = -(-percent * size // 100)
+        kept = shared >= needed
+        for a, n, m, need in zip(starts[kept], shared[kept], size[kept], needed[kept], strict=True):
             own = order[a : a + n]
             own = own[np.lexsort((gram[own], freq[own]))]
-            yield {"sig": int(sig[own[0]].astype(np.int64)), "size": int(size[own[0]]), "n_prefix": int(n - need + 1), "grams": packed(gram[own])}
+            yield {"sig": int(sig[own[0]].astype(np.int64)), "size": int(m), "n_prefix": int(n - need + 1), "grams": packed(gram[own])}
         yield from _documents(table)
 
     return lambda table: pa.Table.from_batches(list(batches(rows(table), _SETS)), _SETS)
@@ -216,6 +259,18 @@ def _postings(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(n, sig, np.int64))], ["gram", "sig"])
 
 
+def _telling(postings: DataFrame) -> DataFrame:
+    """The postings of one shingle for each list of sets that occurs, of lists of several sets; near copies share dozens of shingles that tell the same.
+
+    Lists are equal if their lengths, ends and the combined 64-bit hashes of their sets are.
+    """
+    lists = postings.groupBy("gram").agg(F.count("*").alias("n"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.bit_xor(F.xxhash64("sig")).alias("mark"))
+    lists = written(lists.where("n > 1"))
+    often = [r[0] for r in lists.where(F.col("n") > max(LEAST_HOT, int(postings.count() * HOT_SHARE))).select("gram").collect()]
+    chosen = lists.groupBy("n", "low", "high", "mark").agg(F.min("gram").alias("gram")).select("gram")
+    return written(spread_join(postings, chosen, "gram", often).select("gram", "sig"))
+
+
 def _links(left: list[np.ndarray], right: list[np.ndarray] | None, n: np.ndarray, m: np.ndarray, percent: int, columns: int = 2048) -> np.ndarray:
     """Boolean matrix of the linked pairs: overlaps accumulate over blocks of columns, hopeless rows leave early."""
     needed = -(-percent * (n[:, None] + m[None, :]) // (100 + percent))
@@ -346,7 +401,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _links_of_sets(sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """(node, component) of the sets that link with others."""
-    postings = written(sets.select("sig", "n_prefix", "grams").mapInArrow(_postings, "gram bigint, sig bigint"))
+    postings = _telling(written(sets.select("sig", "n_prefix", "grams").mapInArrow(_postings, "gram bigint, sig bigint")))
     often = hot_keys(postings, "gram")
     marked = postings.withColumn("c", F.col("sig"))
     labels = postings.select(F.col("sig").alias("node"), F.col("sig").alias("component")).limit(0)

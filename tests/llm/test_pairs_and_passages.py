@@ -98,6 +98,33 @@ def test_frequent_shingles_in_small_flushes(texts, monkeypatch):
                     assert heads[a] & heads[b] and len(np.intersect1d(grams[a], grams[b])) == both and size[a] == len(own[a])
 
 
+def test_entries_stay_small_in_many_blocks():
+    """Most of what is shuffled: bytes for each shingle of a set, however many blocks there are."""
+    import pyarrow as pa
+
+    from fieldbook.llm import jaccard
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(500)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["id", "text"])
+    for partitions, most in ((8, 7), (3000, 12)):
+        rows = [x for b in jaccard._blocks(list(range(partitions)), 5)(iter([batch])) for x in b.to_pylist()]
+        entries = sum(len(x["hi"]) // 2 for x in rows if x["hi"])
+        assert entries == 40 * 496
+        assert sum(len(v) for x in rows for v in x.values() if isinstance(v, bytes)) < most * entries
+
+
+def test_one_posting_for_equal_lists(spark, monkeypatch):
+    from fieldbook.llm import jaccard
+
+    lists = {10: [1, 2], 11: [1, 2], 12: [1, 2, 3], 13: [2, 3], 14: [3], 15: [1, 2, 3], 16: [1, 4, 5, 9], 17: [1, 4, 6, 9]}
+    postings = spark.createDataFrame([(g, s) for g, own in lists.items() for s in own], "gram bigint, sig bigint")
+    want = sorted((g, s) for g in (10, 12, 13, 16, 17) for s in lists[g])
+    for least in (1000, 1):  # with 1, the shingles of several sets count as frequent
+        monkeypatch.setattr(jaccard, "LEAST_HOT", least)
+        assert sorted(map(tuple, jaccard._telling(postings).collect())) == want
+
+
 def test_jaccard_edges(spark, none):
     assert jaccard_join(none).collect() == []
     df = spark.createDataFrame([(None, "a b"), (7, "A  B"), (7, "A  B"), (9, None)], "doc_id bigint, text string")
