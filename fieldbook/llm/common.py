@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -89,8 +90,23 @@ def stretches(starts: np.ndarray, n: int) -> Iterable[tuple[int, int]]:
     return zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True) if len(starts) else ()
 
 
-def batches(rows: Iterable[dict], schema: pa.Schema, bytes_at_once: int = 16_000_000) -> Iterator[pa.RecordBatch]:
-    """Record batches of rows that hold packed blocks, a few MB each."""
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on between stages, and what its allocators keep counts beside its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def slices(source: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that few texts at a time are Python objects; what was freed is given back at the end."""
+    for batch in source:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    give_back()
+
+
+def batches(rows: Iterable[dict], schema: pa.Schema, bytes_at_once: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows that hold packed blocks, a few MB each; what was freed is given back at the end."""
     held: list[dict] = []
     size = 0
     for row in rows:
@@ -101,3 +117,5 @@ def batches(rows: Iterable[dict], schema: pa.Schema, bytes_at_once: int = 16_000
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
+        held = []
+    give_back()

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, stretches, utf8
+from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, slices, stretches, utf8
 from fieldbook.operators.components import connected_components
 from fieldbook.operators.skew import HOT_SHARE, LEAST_HOT, hot_keys, spread_join
 from fieldbook.session import ship, written
@@ -113,10 +113,12 @@ def _blocks(keys: list[int], width: int):
 
     def flush(grams: list, sigs: list, sizes: list) -> Iterator[dict]:
         all_grams = np.concatenate(grams)
+        grams.clear()
         part = ((all_grams >> np.uint64(48)) % np.uint64(partitions)).astype(np.uint16 if partitions <= 65536 else np.uint32)
         order = np.argsort(part, kind="stable")
         part, all_grams = part[order], all_grams[order] & _PAYLOAD
-        row = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)[order]
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        del order
         sig, size = np.array(sigs, np.uint64), np.array(sizes, np.uint32)
         # A set's size goes to its row block once, not with its entries in every column block.
         home = _home(sig, partitions)
@@ -124,20 +126,25 @@ def _blocks(keys: list[int], width: int):
         for a, b in stretches(runs(home[by_home]), len(home)):
             yield {"key": keys[home[by_home[a]]], "sigs": packed(sig[by_home[a:b]]), "sizes": packed(size[by_home[a:b]])}
         # What is frequent here goes to its sets at once; the column block only hears that it is, by an entry of set 0.
-        number = all_grams | part.astype(np.uint64) << np.uint64(48)
+        number = part.astype(np.uint64)
+        number <<= np.uint64(48)
+        number |= all_grams
         by_number = np.argsort(number)
         cuts = runs(number[by_number])
         times = np.diff(np.append(cuts, len(number)))
         often = np.zeros(len(number), bool)
-        often[by_number] = np.repeat(times >= max(FREQUENT_SETS, FREQUENT_SHARE * len(grams)), times)
+        often[by_number] = np.repeat(times >= max(FREQUENT_SETS, FREQUENT_SHARE * len(sizes)), times)
+        del by_number
         if often.any():
             yield from _to_sets(number[often], sig[row[often]], np.full(often.sum(), _FREQUENT), keys, "lo")
             told = np.unique(number[often])
             sig = np.append(sig, np.uint64(0))
             part = np.concatenate([part[~often], (told >> np.uint64(48)).astype(part.dtype)])
-            all_grams, row = np.concatenate([all_grams[~often], told & _PAYLOAD]), np.concatenate([row[~often], np.full(len(told), len(grams), np.int32)])
+            all_grams, row = np.concatenate([all_grams[~often], told & _PAYLOAD]), np.concatenate([row[~often], np.full(len(told), len(sizes), np.int32)])
             order = np.argsort(part, kind="stable")
             part, all_grams, row = part[order], all_grams[order], row[order]
+            del order
+        del number, often
         starts = runs(part)
         for a, b in stretches(starts, len(part)):
             first, counts = _counted(row[a:b])
@@ -147,7 +154,7 @@ def _blocks(keys: list[int], width: int):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes = WordHashes()
         grams, sigs, sizes, seen, held = [], [], [], set(), 0
-        for batch in source:
+        for batch in slices(source):
             ids, doc_sizes, doc_sigs = batch.column(0).to_pylist(), [], []
             for text in utf8(batch.column(1)):
                 g = shingles(text, hashes, width)
@@ -163,10 +170,7 @@ def _blocks(keys: list[int], width: int):
                     if held > FLUSH:
                         yield from flush(grams, sigs, sizes)
                         grams, sigs, sizes, seen, held = [], [], [], set(), 0
-            for i in range(0, len(ids), 1000):
-                part = slice(i, i + 1000)
-                key = keys[(doc_sigs[i] ^ i) % partitions]
-                yield {"key": key, "ids": ids[part], "doc_sizes": doc_sizes[part], "doc_sigs": doc_sigs[part]}
+            yield {"key": keys[hash((ids[0], doc_sigs[0])) % partitions], "ids": ids, "doc_sizes": doc_sizes, "doc_sigs": doc_sigs}
         if grams:
             yield from flush(grams, sigs, sizes)
 

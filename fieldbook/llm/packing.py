@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm import wordpieces
-from fieldbook.llm.common import utf8
+from fieldbook.llm.common import slices, utf8
 from fieldbook.session import settled, ship
 
 _PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("twin", pa.int64())])
@@ -91,7 +91,7 @@ def _pieces(path: str, capacity: int, end: int):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = wordpieces.packed_ids(path)
-        for batch in source:
+        for batch in slices(source):
             out: list[list] = [[] for _ in _PIECES]
             for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 ids = ids_of(text) + close

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.llm.common import slices
 from fieldbook.session import settled, ship
 
 # The kinds in their order, and the shapes of the base.
@@ -178,7 +179,7 @@ _ROW_SQL = "array<struct<kind:string,start:bigint,end:bigint,instance:string,pat
 
 def _found(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("kind", "start", "end", "instance", "patterns")
-    for batch in source:
+    for batch in slices(source):
         texts = batch.column("_text").to_pylist()
         out = []
         for text in texts:
@@ -252,7 +253,7 @@ def pii_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _masked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in source:
+    for batch in slices(source):
         out = []
         for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
             if text and spans:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import utf8
+from fieldbook.llm.common import slices, utf8
 from fieldbook.session import ship
 
 #: Labelled rows that the trees see at most.
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_described(utf8(batch.column(2))).tolist(), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     # Ids that repeat may bring more rows than ids; a hash chooses among them, too.
@@ -150,7 +150,7 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", into: str = "sc
     at = kept.index(text_col)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             found = trees.scores(_described(utf8(batch.column(at))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_score"])
 

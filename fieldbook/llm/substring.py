@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, stretches, utf8
+from fieldbook.llm.common import BASE, WordHashes, batches, even_keys, mixed, packed, runs, slices, stretches, utf8
 from fieldbook.session import ship
 
 #: Windows that a map task gathers before it sends a block to every partition.
@@ -96,6 +96,7 @@ def _blocks(keys: list[int], width: int):
     def flush(windows: list, ids: list, marks: list) -> Iterator[dict]:
         sizes = [len(w) for w in windows]
         h = np.concatenate(windows)
+        windows.clear()
         ids, marks = np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(marks, np.int64), sizes)
         starts = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])
         order = np.argsort(h)
@@ -103,6 +104,7 @@ def _blocks(keys: list[int], width: int):
         least = np.empty(len(h), np.int64)
         least[order] = np.repeat(np.minimum.reduceat(ids[order], cuts), np.diff(np.append(cuts, len(h))))
         known = ids > least
+        del order, least
         yield from _dealt(keys, _of_rows(ids[known], marks[known], partitions), ids[known], marks[known], starts[known], None)
         ask = ~known
         h = h[ask]
@@ -111,7 +113,7 @@ def _blocks(keys: list[int], width: int):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes, rolling = WordHashes(), Windows(width)
         windows, ids, marks, held = [], [], [], 0
-        for batch in source:
+        for batch in slices(source):
             for i, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 words = text.split() if text and i is not None else []
                 if len(words) >= width:
@@ -189,7 +191,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _cut(whole: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             texts, spans = utf8(batch.column("_text")), batch.column("_spans").to_pylist()
             kept, totals, removed = [], [], []
             for text, packed_spans in zip(texts, spans, strict=True):

@@ -1,3 +1,8 @@
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -44,3 +49,31 @@ def test_stages_take_odd_tables(spark, data, docs):
 
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+HELD = """
+import random, re, sys
+from pathlib import Path
+import pyarrow as pa
+from fieldbook.llm import jaccard, substring
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+rng = random.Random(5)
+words = [f"w{i}" for i in range(20_000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), pa.array([" ".join(rng.choices(words, k=400)) for _ in range(4000)])], ["id", "mark", "text"])
+before = mb()
+for _ in range(2):
+    rows = sum(b.num_rows for b in jaccard._blocks(list(range(12)), 5)(iter([batch.select(["id", "text"])])))
+    assert rows and sum(b.num_rows for b in substring._blocks(list(range(12)), 50)(iter([batch])))
+print(mb() - before)
+"""
+
+
+def test_workers_give_memory_back():
+    """A worker serves many stages; what a stage freed must not stay with it, beside its executor."""
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("needs Linux")
+    held = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert float(held.stdout) < 25
